@@ -133,3 +133,13 @@ def shingles(h: np.ndarray, first: np.ndarray, width: int = 5) -> tuple[np.ndarr
         term = h[np.minimum(p, n - 1)]
         acc = np.where(inside, acc * np.uint64(0xD6E8FEB86659FD93) + term, acc)
     return mix(acc), out_first
+
+
+def row_ranges(offsets: np.ndarray, most: int = 4 << 20) -> list[tuple[int, int]]:
+    """Consecutive ranges of rows of about ``most`` bytes each (at least one row), so that working memory follows neither batch nor table."""
+    out, at, n = [], 0, len(offsets) - 1
+    while at < n:
+        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)
+        out.append((at, min(end, n)))
+        at = min(end, n)
+    return out
