@@ -49,7 +49,7 @@ def _header(page_id: int | None, url: str | None, digest: str, size: int, refers
     return ("\r\n".join(lines) + "\r\n\r\n").encode()
 
 
-def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _write(batches: Iterator[pa.RecordBatch], chunk: int) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
     archive, seq, rows, held = TaskContext.get().partitionId(), 0, [], 0
@@ -59,19 +59,21 @@ def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             record_id = _record_uuid(ids[i], f"{digests[i]}:{archive}", seq)
             body = b["html"][i].as_buffer() if refers[i] is None and sizes[i] else None
             view, at, sha, n = memoryview(body) if body is not None else memoryview(b""), 0, hashlib.sha256(), 0
-            rows.append((archive, record_id, seq, n, False, _header(ids[i], urls[i], digests[i], sizes[i], refers[i], record_id), sha.hexdigest()))
-            while at < len(view):
-                piece = view[at : at + CHUNK]
+            lead = _header(ids[i], urls[i], digests[i], sizes[i], refers[i], record_id)
+            while True:
+                piece = view[at : at + chunk]
                 sha.update(piece)
-                n, at = n + 1, at + len(piece)
-                rows.append((archive, record_id, seq, n, False, bytes(piece), sha.hexdigest()))
-                held += len(piece)
+                at += len(piece)
+                last = at >= len(view)
+                rows.append((archive, record_id, seq, n, last, b"".join((lead, piece, b"\r\n\r\n" if last else b"")), sha.hexdigest()))
+                held += len(lead) + len(piece)
+                n, lead = n + 1, b""
                 if held >= _BATCH_BYTES:
                     yield _batch(rows, _TABLE)
                     rows, held = [], 0
-            rows.append((archive, record_id, seq, n + 1, True, b"\r\n\r\n", sha.hexdigest()))
+                if last:
+                    break
             seq += 1
-            held += 1000
     if rows:
         yield _batch(rows, _TABLE)
 
@@ -91,9 +93,9 @@ def plan_records(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     return p.withColumn("refers_to", F.when(F.col("first") < F.col("page_id"), F.col("first"))).drop("first")
 
 
-def write_archives(pages: DataFrame, path: str, least: int = LEAST_REVISIT) -> None:
+def write_archives(pages: DataFrame, path: str, least: int = LEAST_REVISIT, chunk: int = CHUNK) -> None:
     """Write a WARC record per page to the chunk table at ``path``; a lost task is redone from its pages alone."""
-    plan_records(pages, least).mapInArrow(_write, TABLE).write.parquet(path)
+    plan_records(pages, least).mapInArrow(lambda batches: _write(batches, chunk), TABLE).write.option("compression", "zstd").parquet(path)
 
 
 class _Reader:
@@ -153,9 +155,11 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """One row per record: page_id, payload_bytes, payload_digest, record_type, refers_to, url. Raises on a damaged or cut record."""
-    chunks = spark.read.schema(TABLE).parquet(path).select("record_id", "chunk_no", "data", "digest")
-    chunks = chunks.repartition("record_id").sortWithinPartitions("record_id", "chunk_no")
-    return chunks.select("record_id", "data", "digest").mapInArrow(_read, RECORDS)
+    chunks = spark.read.schema(TABLE).parquet(path)
+    whole = F.col("last") & (F.col("chunk_no") == 0)
+    parts = chunks.where(~whole).select("record_id", "chunk_no", "data", "digest").repartition("record_id").sortWithinPartitions("record_id", "chunk_no")
+    read = lambda x: x.select("record_id", "data", "digest").mapInArrow(_read, RECORDS)
+    return read(chunks.where(whole)).unionByName(read(parts))  # only records of several chunks are brought together
 
 
 def export_archive(spark: SparkSession, path: str, archive: int) -> Iterator[bytes]:
