@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstone.llm import mixing, quality, suffix_tree, url_filter, warc
+from quillstone.llm import minhash, mixing, quality, suffix_tree, url_filter, warc
 from quillstone.llm.storage import table
 
 
@@ -22,6 +22,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -31,7 +35,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op3_suffix_tree, op6_mixing, op8_quality, op9_warc)}
+    return {f.__name__: f for f in (op1_url_filter, op3_suffix_tree, op6_mixing, op7_minhash, op8_quality, op9_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
