@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstone.llm import minhash, mixing, quality, suffix_tree, url_filter, warc
+from quillstone.llm import embed_dedup, minhash, mixing, quality, suffix_tree, url_filter, warc
 from quillstone.llm.storage import table
 
 
@@ -34,8 +34,12 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op10_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op3_suffix_tree, op6_mixing, op7_minhash, op8_quality, op9_warc)}
+    return {f.__name__: f for f in (op1_url_filter, op3_suffix_tree, op6_mixing, op7_minhash, op8_quality, op9_warc, op10_embed_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
