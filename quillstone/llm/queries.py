@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstone.llm import embed_dedup, minhash, mixing, pii, quality, suffix_tree, url_filter, warc
+from quillstone.llm import decontaminate, embed_dedup, minhash, mixing, pii, quality, suffix_tree, url_filter, warc
 from quillstone.llm.storage import table
 
 
@@ -22,6 +22,10 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(table(spark, sf_dir, "documents"))
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -43,7 +47,7 @@ def op10_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op3_suffix_tree, op4_pii, op6_mixing, op7_minhash, op8_quality, op9_warc, op10_embed_dedup)}
+    return {f.__name__: f for f in (op1_url_filter, op3_suffix_tree, op4_pii, op5_decontaminate, op6_mixing, op7_minhash, op8_quality, op9_warc, op10_embed_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
