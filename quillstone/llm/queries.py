@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstone.llm import decontaminate, embed_dedup, minhash, mixing, pii, quality, suffix_tree, url_filter, warc
+from quillstone.llm import decontaminate, embed_dedup, html_template, minhash, mixing, pii, quality, suffix_tree, url_filter, warc
 from quillstone.llm.storage import table
 
 
@@ -14,6 +14,10 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), url_filter.ALLOW, url_filter.BLOCK, url_filter.BLOCKED_HOSTS)
 
 
+def op2_html_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_template.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree.score_texts(table(spark, sf_dir, "documents"))
 
@@ -47,7 +51,7 @@ def op10_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op3_suffix_tree, op4_pii, op5_decontaminate, op6_mixing, op7_minhash, op8_quality, op9_warc, op10_embed_dedup)}
+    return {f.__name__: f for f in (op1_url_filter, op2_html_template, op3_suffix_tree, op4_pii, op5_decontaminate, op6_mixing, op7_minhash, op8_quality, op9_warc, op10_embed_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
