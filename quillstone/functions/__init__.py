@@ -1 +1 @@
-"""Functions of the document retrieval engine."""
+"""Column functions: text, identity, predicates."""

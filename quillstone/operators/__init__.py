@@ -1 +1 @@
-"""Operators of the document retrieval engine."""
+"""Operators: retrieval, catalogue, chunking, parsing, deduplication, context, answers, jobs."""
