@@ -1,11 +1,13 @@
 """Near-duplicate documents: improved consistent weighted sampling over TF-IDF shingles.
 
-Shingles are runs of five words. Weights are tf * idf, with document frequencies counted over all documents by hash bucket (a
+Shingles are runs of five words. Weights are (1 + ln tf) * idf, with document frequencies counted over all documents by hash bucket (a
 table of fixed size). HASHES consistent weighted samples a document (Gamma(2,1), Gamma(2,1) and uniform variates read from a
 fixed table by shingle hash) are cut into bands. Equal texts are one class from the start. In a bucket of up to SMALL
-classes all pairs are compared; in a larger one every class is compared with a centre (the class that meets most others over
-all bands), and those without a link try further centres. Pairs are verified on the whole texts, links are closed to classes
-by distributed connected components. Nothing groups a bucket or a class in one task.
+classes all pairs are compared; in a larger one every class is compared with three of its bucket in each of its bands: the one
+that meets most others over all bands, one drawn by a hash, and one drawn among those that share the next band too. So a
+class of a large group meets dozens of others, most of them near to it, and the pairs grow with the classes, not with the
+squares of the groups. Pairs are verified on the whole texts, links are closed to classes by distributed connected
+components. Nothing groups a bucket or a class in one task.
 """
 
 from __future__ import annotations
@@ -27,8 +29,9 @@ BANDS, ROWS = 14, 4
 HASHES = BANDS * ROWS
 IDF_BITS, BLOCK_BITS = 20, 12
 TABLE_BITS = 13
-SMALL = 8
-CENTRE_ROUNDS = 4
+SMALL = 4
+#: Ids of 8 bytes that are broadcast to read the candidates' texts without moving all others; more are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
 
 
 def weighted_shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -40,6 +43,11 @@ def weighted_shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray
     return (both >> np.uint64(44)).astype(np.int64), both & np.uint64((1 << 44) - 1), count
 
 
+def damped(count: np.ndarray) -> np.ndarray:
+    """1 + ln tf: a line that is repeated hundreds of times doesn't outweigh the text."""
+    return 1 + np.log(count)
+
+
 def bucket_of_shingle(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(44 - IDF_BITS)).astype(np.int64)
 
@@ -140,7 +148,7 @@ def _similarity(a: pa.Array, b: pa.Array, idf: np.ndarray) -> np.ndarray:
         rb, hb, cb = weighted_shingles(db[ob[lo] : ob[hi]], ob[lo : hi + 1] - ob[lo])
         key = np.concatenate([(ra.astype(np.uint64) << np.uint64(44)) | ha, (rb.astype(np.uint64) << np.uint64(44)) | hb])
         key, at = np.unique(key, return_inverse=True)
-        wa, wb = np.bincount(at[: len(ra)], ca, len(key)), np.bincount(at[len(ra) :], cb, len(key))
+        wa, wb = np.bincount(at[: len(ra)], damped(ca), len(key)), np.bincount(at[len(ra) :], damped(cb), len(key))
         row = (key >> np.uint64(44)).astype(np.int64)
         w = idf[bucket_of_shingle(key & np.uint64((1 << 44) - 1))]
         by = lambda x: np.bincount(row, x, n)
@@ -169,7 +177,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
             for lo, hi in row_ranges(offsets):
                 row, h, count = weighted_shingles(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 some, first = np.unique(row, return_index=True)
-                bands = bands_of(sampler.signatures(first, h, count * idf.value[bucket_of_shingle(h)])) if len(some) else np.zeros((0, BANDS), np.int64)
+                bands = bands_of(sampler.signatures(first, h, damped(count) * idf.value[bucket_of_shingle(h)])) if len(some) else np.zeros((0, BANDS), np.int64)
                 cuts = np.zeros(hi - lo + 1, np.int32)
                 cuts[some + 1] = BANDS
                 arrays = [b["doc_id"].slice(lo, hi - lo), b["text_key"].slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(np.cumsum(cuts).astype(np.int32)), pa.array(bands.ravel()))]
@@ -179,11 +187,15 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     signed = materialize(keyed.mapInArrow(sign, _SIGNED), "signatures")
     classes = signed.where("doc_id IS NOT NULL").groupBy("text_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_equal"), F.first("bands").alias("bands"))
     classes = materialize(classes, "classes")
-    members = classes.select("rep", F.explode("bands").alias("band"))
+    # each band with the next one: classes that share both are nearer to each other than those that share one
+    following = F.transform("bands", lambda x, i: F.struct(x.alias("band"), F.element_at("bands", F.pmod(i + 1, F.size("bands")).cast("int") + 1).alias("next")))
+    members = classes.select("rep", F.explode(following).alias("x")).select("rep", "x.band", "x.next")
     size = members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     members = materialize(members.join(size, "band"), "members")
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
     reps = classes.select(F.col("rep").alias("doc_id"), "text_key")
+    if wanted.count() <= BROADCAST_IDS:
+        wanted = F.broadcast(wanted)
     texts = docs.join(wanted, "doc_id").withColumn("text_key", F.md5(F.col("text").cast("binary")))
     # rows that repeat a doc_id with another text are not its class's text
     texts = materialize(texts.join(reps, ["doc_id", "text_key"], "left_semi").dropDuplicates(["doc_id"]).select("doc_id", F.lower("text").alias("text")), "texts")
@@ -200,27 +212,16 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
         return materialize(scored.where(F.col("similarity") >= similarity).select("a", "b"), name)
 
     small = members.where(F.col("n") <= SMALL).select("band", "rep")
-    pairs = small.select("band", F.col("rep").alias("b")).join(small.select("band", F.col("rep").alias("a")), "band").where("a > b").select("a", "b").distinct()
-    links = verified(pairs, "links")
+    pairs = small.select("band", F.col("rep").alias("b")).join(small.select("band", F.col("rep").alias("a")), "band").where("a > b").select("a", "b")
     large = members.where(F.col("n") > SMALL)
-    left = materialize(large.select("band", "rep"), "left")
-    rounds = 0
-    while not left.isEmpty():
-        meets = large.groupBy("rep").agg(F.sum("n").alias("meets"))
-        if rounds < CENTRE_ROUNDS:
-            best = F.max(F.struct("meets", (-F.col("rep")).alias("least")))
-            centres = left.join(meets, "rep").groupBy("band").agg(best.getField("least").alias("least")).select("band", (-F.col("least")).alias("centre"))
-        else:  # what has linked to no centre meets every class of its bucket
-            centres = left.select("band", F.col("rep").alias("centre"))
-        met = large.join(centres, "band").where("rep <> centre").select(F.greatest("rep", "centre").alias("a"), F.least("rep", "centre").alias("b")).distinct()
-        found = verified(met, "links")
-        links = links.union(found)
-        if rounds >= CENTRE_ROUNDS:
-            break
-        both = found.union(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        done = left.join(centres, "band").join(both.select(F.col("a").alias("rep"), F.col("b").alias("centre"), F.lit(1).alias("linked")), ["rep", "centre"], "left")
-        left = materialize(done.where("linked IS NULL AND rep <> centre").select("band", "rep"), "left")
-        rounds += 1
+    central = large.groupBy("rep").agg(F.sum("n").alias("meets"))
+    large = large.join(central, "rep")
+    # the class that meets most, over all bands, and for diversity the first by a hash of bucket and class
+    centres = large.groupBy("band").agg(F.max_by("rep", F.struct("meets", -F.col("rep"))).alias("most"), F.max_by("rep", F.xxhash64("band", "rep")).alias("any"))
+    finer = large.groupBy("band", "next").agg(F.max_by("rep", F.xxhash64("next", "rep")).alias("near"))
+    met = large.join(centres, "band").join(finer, ["band", "next"]).select("rep", F.explode(F.array("most", "any", "near")).alias("centre")).where("rep <> centre")
+    pairs = pairs.union(met.select(F.greatest("rep", "centre").alias("a"), F.least("rep", "centre").alias("b"))).distinct()
+    links = verified(pairs, "links")
     joined = connected_components(links).select(F.col("id").alias("rep"), "component")
     named = classes.select("text_key", "rep", "n_equal").join(joined, "rep", "left").select("text_key", "n_equal", F.coalesce("component", "rep").alias("class_id"))
     out = signed.select("doc_id", "text_key").join(named, "text_key", "left")
