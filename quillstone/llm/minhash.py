@@ -3,10 +3,11 @@
 Shingles are runs of five words. Weights are (1 + ln tf) * idf, with document frequencies counted over all documents by hash bucket (a
 table of fixed size). HASHES consistent weighted samples a document (Gamma(2,1), Gamma(2,1) and uniform variates read from a
 fixed table by shingle hash) are cut into bands. Equal texts are one class from the start. In a bucket of up to SMALL
-classes all pairs are compared; in a larger one every class is compared with three of its bucket in each of its bands: the one
-that meets most others over all bands, one drawn by a hash, and one drawn among those that share the next band too. So a
-class of a large group meets dozens of others, most of them near to it, and the pairs grow with the classes, not with the
-squares of the groups. Pairs are verified on the whole texts, links are closed to classes by distributed connected
+classes all pairs are compared. In a larger one every class is compared with two of the bucket (the one that meets most others over
+all bands, and one drawn by a hash), and the bucket is cut again by the next band, up to DEPTH bands together, with the same
+rule. So a class of a large group meets dozens of others, most of them those nearest to it, and the pairs grow with the
+classes, not with the squares of the groups. Classes that did not join what most of their bucket joined meet DRAWS more of it
+in each band. Pairs are verified on the whole texts, links are closed to classes by distributed connected
 components. Nothing groups a bucket or a class in one task.
 """
 
@@ -29,7 +30,9 @@ BANDS, ROWS = 14, 4
 HASHES = BANDS * ROWS
 IDF_BITS, BLOCK_BITS = 20, 12
 TABLE_BITS = 13
-SMALL = 4
+SMALL, DEPTH = 5, 4
+#: Members of a bucket's main component that each class which has not joined it meets, in each of its bands.
+DRAWS = 12
 #: Ids of 8 bytes that are broadcast to read the candidates' texts without moving all others; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 
@@ -187,9 +190,10 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     signed = materialize(keyed.mapInArrow(sign, _SIGNED), "signatures")
     classes = signed.where("doc_id IS NOT NULL").groupBy("text_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_equal"), F.first("bands").alias("bands"))
     classes = materialize(classes, "classes")
-    # each band with the next one: classes that share both are nearer to each other than those that share one
-    following = F.transform("bands", lambda x, i: F.struct(x.alias("band"), F.element_at("bands", F.pmod(i + 1, F.size("bands")).cast("int") + 1).alias("next")))
-    members = classes.select("rep", F.explode(following).alias("x")).select("rep", "x.band", "x.next")
+    # each band alone, and with the one to DEPTH - 1 that follow it: classes that share more bands are nearer to each other
+    count = F.size("bands")
+    keys = F.transform("bands", lambda _, i: F.array(*[F.xxhash64(*[F.element_at("bands", F.pmod(i + k, count).cast("int") + 1) for k in range(d + 1)]) for d in range(DEPTH)]))
+    members = classes.select("rep", F.explode(keys).alias("keys")).select("rep", "keys", F.col("keys")[0].alias("band"))
     size = members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     members = materialize(members.join(size, "band"), "members")
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
@@ -211,18 +215,32 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
         scored = pairs.join(a, "a").join(b, "b").select("a", "b", similar("text_a", "text_b").alias("similarity"))
         return materialize(scored.where(F.col("similarity") >= similarity).select("a", "b"), name)
 
-    small = members.where(F.col("n") <= SMALL).select("band", "rep")
-    pairs = small.select("band", F.col("rep").alias("b")).join(small.select("band", F.col("rep").alias("a")), "band").where("a > b").select("a", "b")
-    large = members.where(F.col("n") > SMALL)
-    central = large.groupBy("rep").agg(F.sum("n").alias("meets"))
-    large = large.join(central, "rep")
-    # the class that meets most, over all bands, and for diversity the first by a hash of bucket and class
-    centres = large.groupBy("band").agg(F.max_by("rep", F.struct("meets", -F.col("rep"))).alias("most"), F.max_by("rep", F.xxhash64("band", "rep")).alias("any"))
-    finer = large.groupBy("band", "next").agg(F.max_by("rep", F.xxhash64("next", "rep")).alias("near"))
-    met = large.join(centres, "band").join(finer, ["band", "next"]).select("rep", F.explode(F.array("most", "any", "near")).alias("centre")).where("rep <> centre")
-    pairs = pairs.union(met.select(F.greatest("rep", "centre").alias("a"), F.least("rep", "centre").alias("b"))).distinct()
+    central = members.where(F.col("n") > SMALL).groupBy("rep").agg(F.sum("n").alias("meets"))
+    here, pairs = members.join(central, "rep", "left"), None
+    for depth in range(DEPTH):
+        if depth:
+            here = here.drop("n").withColumn("band", F.col("keys")[depth])
+            here = here.join(here.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "band")
+        here = materialize(here, "buckets") if depth else here
+        small = here.where(F.col("n") <= SMALL).select("band", "rep")
+        found = small.select("band", F.col("rep").alias("b")).join(small.select("band", F.col("rep").alias("a")), "band").where("a > b").select("a", "b")
+        here = here.where(F.col("n") > SMALL)
+        centres = here.groupBy("band").agg(F.max_by("rep", F.struct("meets", -F.col("rep"))).alias("most"), F.max_by("rep", F.xxhash64("band", "rep")).alias("any"))
+        met = here.join(centres, "band").select("rep", F.explode(F.array("most", "any")).alias("centre")).where("rep <> centre")
+        found = found.union(met.select(F.greatest("rep", "centre").alias("a"), F.least("rep", "centre").alias("b")))
+        pairs = found if pairs is None else pairs.union(found)
+    pairs = materialize(pairs.distinct(), "pairs")
     links = verified(pairs, "links")
-    joined = connected_components(links).select(F.col("id").alias("rep"), "component")
+    joined = materialize(connected_components(links).select(F.col("id").alias("rep"), "component"), "joined")
+    # what most of a large bucket has joined, and a few have not: those few meet more of the bucket
+    large = members.where(F.col("n") > SMALL).select("band", "rep", "n").join(joined, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    inside = large.groupBy("band", "component").agg(F.count("*").alias("k"), F.first("n").alias("n"), *[F.max_by("rep", F.xxhash64("rep", F.lit(t))).alias(f"d{t}") for t in range(DRAWS)])
+    inside = inside.where(F.col("k") * 2 >= F.col("n")).select("band", F.col("component").alias("main"), F.array(*[f"d{t}" for t in range(DRAWS)]).alias("drawn"))
+    apart = large.join(inside, "band").where("component <> main").select(F.col("rep").alias("x"), F.explode("drawn").alias("y"))
+    apart = apart.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+    late = verified(apart, "late-links")
+    if not late.isEmpty():
+        joined = connected_components(links.union(late)).select(F.col("id").alias("rep"), "component")
     named = classes.select("text_key", "rep", "n_equal").join(joined, "rep", "left").select("text_key", "n_equal", F.coalesce("component", "rep").alias("class_id"))
     out = signed.select("doc_id", "text_key").join(named, "text_key", "left")
     class_id = F.when(F.col("doc_id").isNotNull(), F.col("class_id"))
