@@ -62,7 +62,7 @@ def sanitize_question(x: Column) -> Column:
 
 def words_of(x: Column, least: int = 4) -> Column:
     """Distinct lower-cased ASCII words of ``least`` letters or more."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(x, F.lit(rf"\b([a-zA-Z]{{{least},}})\b"), F.lit(1)), F.lower))
+    return F.array_distinct(F.transform(F.regexp_extract_all(x, F.lit(rf"(?<![\p{{L}}\p{{N}}_])([a-zA-Z]{{{least},}})(?![\p{{L}}\p{{N}}_])"), F.lit(1)), F.lower))
 
 
 def content_hash(content: Column) -> Column:

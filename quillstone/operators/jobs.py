@@ -38,8 +38,8 @@ def job_states(events: DataFrame) -> DataFrame:
 
 def phase_times(marks: DataFrame) -> DataFrame:
     """marks (request_id, phase, ts): milliseconds since the request's first mark, to two places, as a map; and the total."""
-    at = (F.unix_micros(F.col("ts").cast("timestamp")) - F.col("start")) / 1000
+    at = F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - F.col("start") + 5) / 10) / 100
     first = marks.groupBy("request_id").agg(F.min(F.unix_micros(F.col("ts").cast("timestamp"))).alias("start"))
-    timed = marks.join(first, "request_id").select("request_id", "phase", F.round(at, 2).alias("ms"))
+    timed = marks.join(first, "request_id").select("request_id", "phase", at.alias("ms"))
     timed = timed.groupBy("request_id", "phase").agg(F.max("ms").alias("ms"))
     return timed.groupBy("request_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("phase", "ms")))).alias("phases"), F.max("ms").alias("total"))

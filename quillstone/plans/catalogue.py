@@ -444,7 +444,7 @@ def citation_groups(spark, d):
 
 
 _STOPS = ", ".join(f"'{w}'" for w in context.STOP_WORDS)
-_SET = "list_distinct(list_transform(regexp_extract_all({}, '\\b([a-zA-Z]{{4,}})\\b', 1), lambda w: lower(w)))"
+_SET = "list_distinct(list_transform(list_filter(regexp_extract_all({}, '[\\p{{L}}\\p{{N}}_]+'), lambda w: regexp_full_match(w, '[a-zA-Z]{{4,}}')), lambda w: lower(w)))"
 _TURNS = "pairs AS (SELECT conv_id, turn, text AS answer, coalesce(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), '') AS context, role FROM conversations)"
 
 
@@ -509,7 +509,7 @@ def job_stages(spark, d):
     return jobs.job_states(_events(spark, d)).select("job_id", "current_stage", F.array_join("stages_completed", ",").alias("stages_completed"))
 
 
-@query("""WITH m AS (SELECT user_id, event_type, round((epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY user_id)) / 1000, 2) AS ms FROM events)
+@query("""WITH m AS (SELECT user_id, event_type, floor((epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY user_id) + 5) / 10) / 100 AS ms FROM events)
 SELECT user_id AS request_id, max(ms) AS total, count(DISTINCT event_type)::BIGINT AS phases FROM m GROUP BY user_id""")
 def phase_times(spark, d):
     marks = derive.table(spark, d, "events").select(F.col("user_id").alias("request_id"), F.col("event_type").alias("phase"), "ts")
