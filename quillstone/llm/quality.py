@@ -122,8 +122,8 @@ class Machine:
         return out
 
 
-def fit(texts: pa.Array, labels: np.ndarray, epochs: int = 12, rate: float = 0.05, decay: float = 1e-4, seed: int = 7) -> Machine:
-    """Logistic loss, AdaGrad in mini-batches. No labelled rows: a machine that scores 0.5."""
+def fit(texts: pa.Array, labels: np.ndarray, steps: int = 400, rate: float = 0.05, decay: float = 1e-4, seed: int = 7) -> Machine:
+    """Logistic loss, AdaGrad in about ``steps`` mini-batches. No labelled rows: a machine that scores 0.5."""
     rng = np.random.default_rng(seed)
     n = len(STATS)
     size = BUCKETS + n + n * BINS
@@ -141,10 +141,11 @@ def fit(texts: pa.Array, labels: np.ndarray, epochs: int = 12, rate: float = 0.0
     first = np.searchsorted(row, np.arange(len(labels) + 1))
     m.w0 = float(np.log((labels.mean() + 1e-3) / (1 - labels.mean() + 1e-3)))
     gw, gv = np.full(size, 1e-2), np.full((size, FACTORS), 1e-2)
-    for _ in range(epochs):
+    size_of = min(256, max(16, len(labels) // 30))
+    for _ in range(-(-steps * size_of // len(labels))):
         order = rng.permutation(len(labels))
-        for at in range(0, len(order), 256):
-            batch = np.sort(order[at : at + 256])
+        for at in range(0, len(order), size_of):
+            batch = np.sort(order[at : at + size_of])
             take = np.concatenate([np.arange(first[i], first[i + 1]) for i in batch])
             r = np.repeat(np.arange(len(batch)), first[batch + 1] - first[batch])
             f, xx = feature[take], x[take]

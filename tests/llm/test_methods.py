@@ -232,7 +232,7 @@ def test_quality_on_the_held_out_fold(spark):
 
 
 def test_factorisation_identity():
-    m = quality.fit(pa.array(["a b c d. e f", "A!! B!! C!!", "x y z"]), np.array([1.0, 0.0, 1.0]), epochs=2)
+    m = quality.fit(pa.array(["a b c d. e f", "A!! B!! C!!", "x y z"]), np.array([1.0, 0.0, 1.0]), steps=2)
     data, offsets = words.utf8(pa.array(["a b q r. s"]))
     row, f, x = m.design(data, offsets)
     pairs = sum(float(m.v[f[i]] @ m.v[f[j]]) * x[i] * x[j] for i in range(len(f)) for j in range(i))
