@@ -68,11 +68,16 @@ def files(spark: SparkSession, path: str, content: bool = True) -> DataFrame:
     return found if content else found.drop("content")
 
 
+def skipped(path: Column) -> Column:
+    """Files of skipped directories, and pages of namespaces that hold no articles."""
+    parts = F.split(path, "/")
+    below = F.exists(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), lambda d: d.isin(*SKIPPED_DIRS))
+    return below | basename(path).rlike("^(" + "|".join(SKIPPED_NAMES) + ")")
+
+
 def discover(spark: SparkSession, path: str) -> DataFrame:
-    """(path, length, type) of the files below a path; those in skipped directories or with skipped names are left out."""
-    skipped = F.exists(F.slice(F.split("path", "/"), 1, F.greatest(F.size(F.split("path", "/")) - 1, F.lit(0))), lambda d: d.isin(*SKIPPED_DIRS))
-    named = basename(F.col("path")).rlike("^(" + "|".join(SKIPPED_NAMES) + ")")
-    kept = files(spark, path).where(~skipped & ~named).select("path", "length", F.substring("content", 1, SNIFFED).alias("head"))
+    """(path, length, type) of the files below a path that are not skipped and have a known type. Only the heads of files are looked at."""
+    kept = files(spark, path).where(~skipped(F.col("path"))).select("path", "length", F.substring("content", 1, SNIFFED).alias("head"))
     return kept.withColumn("type", classify(F.col("path"), F.col("head"))).drop("head").where("type IS NOT NULL")
 
 
