@@ -132,13 +132,18 @@ def fit(texts: pa.Array, labels: np.ndarray, steps: int = 400, rate: float = 0.0
     if not len(labels):
         m.v[:] = 0
         return m
-    stats = np.concatenate([features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])[3] for a, b in row_ranges(offsets)])
+    stats = np.concatenate([features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])[3] for a, b in row_ranges(offsets, 1 << 20)])
     m.edges = np.quantile(stats, np.arange(1, BINS) / BINS, axis=0)
     m.mean, m.scale = stats.mean(0), stats.std(0) + 1e-6
-    parts = [(a, b, m.design(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])) for a, b in row_ranges(offsets)]
-    row = np.concatenate([d[0] + a for a, _, d in parts])
-    feature, x = (np.concatenate([d[i] for _, _, d in parts]) for i in (1, 2))
-    first = np.searchsorted(row, np.arange(len(labels) + 1))
+    counts, features_of, values_of = [], [], []
+    for a, b in row_ranges(offsets, 1 << 20):  # held in narrow types: a driver has little memory
+        r, f, v = m.design(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+        counts.append(np.bincount(r, minlength=b - a))
+        features_of.append(f.astype(np.int32))
+        values_of.append(v.astype(np.float32))
+    first = np.concatenate([[0], np.cumsum(np.concatenate(counts))])
+    feature, x = np.concatenate(features_of), np.concatenate(values_of)
+    del features_of, values_of
     m.w0 = float(np.log((labels.mean() + 1e-3) / (1 - labels.mean() + 1e-3)))
     gw, gv = np.full(size, 1e-2), np.full((size, FACTORS), 1e-2)
     size_of = min(256, max(16, len(labels) // 30))
