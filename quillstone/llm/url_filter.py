@@ -88,17 +88,18 @@ def split_url(url: F.Column) -> tuple[F.Column, F.Column]:
     return F.when(has, host).otherwise(F.lit("")), F.when(has, F.regexp_extract(url, parts, 2)).otherwise(F.lit(""))
 
 
-def _suffixes(host: str) -> list[str]:
-    out, at = [host], host.find(".")
+def _suffixes(host: str, longest: int) -> list[str]:
+    """The host and its parents, of ``longest`` characters at most: no entry has a longer host."""
+    out, at = [host] if len(host) <= longest else [], host.find(".", max(0, len(host) - longest - 1))
     while at >= 0:
         out.append(host[at + 1 :])
         at = host.find(".", at + 1)
     return out
 
 
-def _judge(index: DigestArray, lengths: list[int], host: str, path: str, out: list[bytes]) -> None:
+def _judge(lengths: list[int], longest: int, host: str, path: str, out: list[bytes]) -> None:
     """Appends the url's candidate entries, longest first: a rule is host suffix + path prefix, a blocked host is the bare suffix."""
-    suffixes = _suffixes(host)
+    suffixes = _suffixes(host, longest)
     out += [x.encode() for x in sorted((s + path[:n] for s in suffixes for n in lengths if len(path) >= n), key=len, reverse=True)]
     out += [s.encode() for s in suffixes if s]
 
@@ -114,7 +115,9 @@ def filter_urls(pages: DataFrame, allow: Iterable[str], block: Iterable[str], bl
     spark = pages.sparkSession
     rules = [(r, RULE_ALLOW) for r in allow] + [(r, RULE_BLOCK) for r in block]
     lengths = sorted({len(r) - r.index("/") for r, _ in rules}, reverse=True)
-    name = _publish(spark, DigestArray.build(rules + [(h, HOST_BLOCK) for h in blocked_hosts]))
+    hosts = [(h, HOST_BLOCK) for h in blocked_hosts]
+    longest = max([r.index("/") for r, _ in rules] + [len(h) for h, _ in hosts], default=0)
+    name = _publish(spark, DigestArray.build(rules + hosts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = DigestArray.open(SparkFiles.get(name))
@@ -122,7 +125,7 @@ def filter_urls(pages: DataFrame, allow: Iterable[str], block: Iterable[str], bl
             wanted: list[bytes] = []
             ends = []
             for host, path in zip(b["host"].to_pylist(), b["path"].to_pylist(), strict=True):
-                _judge(index, lengths, host, path, wanted)
+                _judge(lengths, longest, host, path, wanted)
                 ends.append(len(wanted))
             kinds = index.probe(wanted)
             hit = np.flatnonzero(kinds)
