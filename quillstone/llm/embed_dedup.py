@@ -21,14 +21,14 @@ from quillstone.llm.graph import connected_components
 from quillstone.llm.storage import materialize
 
 COSINE = 0.93
-BLOCK = 512
+BLOCK, PER_BUCKET = 512, 256
 RECALL = 0.995
 _KEY = ("label", "dim", "tab", "bucket", "bi", "bj")
 
 
 def plan(points: int, cosine: float = COSINE, recall: float = RECALL) -> tuple[int, int]:
-    """(bits, tables): buckets of about 64 points, and as many tables as find a pair right at the threshold with probability ``recall``."""
-    bits = min(24, max(10, round(math.log2(max(points, 1) / 64))))
+    """(bits, tables) for the largest label's ``points``: buckets of about PER_BUCKET, and as many tables as find a pair right at the threshold with probability ``recall``."""
+    bits = min(24, max(5, round(math.log2(max(points, 1) / PER_BUCKET))))
     met = (1 - math.acos(cosine) / math.pi) ** bits
     return bits, math.ceil(math.log(1 - recall) / math.log(1 - met))
 
@@ -43,7 +43,7 @@ def usable(label: F.Column, v: F.Column) -> F.Column:
     return F.coalesce(label.isNotNull() & v.isNotNull() & finite & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def _hash(bits: int, tables: int):
+def _hash(bits: int, tables: int, kind: type):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = 1 << np.arange(bits, dtype=np.int64)
         for b in batches:
@@ -56,7 +56,7 @@ def _hash(bits: int, tables: int):
                 x = values[(ends[at] - dim)[:, None] + np.arange(dim)]
                 signs[at] = ((x @ planes(int(dim), bits * tables)) > 0).reshape(len(at), tables, bits) @ weights
             packed = pa.array([row.tobytes() for row in signs], pa.binary())
-            vectors = pa.array([values[e - d : e].tobytes() for e, d in zip(ends, dims, strict=True)], pa.binary())
+            vectors = pa.array([values[e - d : e].astype(kind).tobytes() for e, d in zip(ends, dims, strict=True)], pa.binary())
             yield pa.RecordBatch.from_arrays([b["rep"], b["label"], b["dim"], b["copies"], vectors, packed], ["rep", "label", "dim", "copies", "vector", "signs"])
 
     return run
@@ -76,11 +76,11 @@ def _links(x: np.ndarray, signs: np.ndarray, table: int, side: np.ndarray, cosin
     return np.stack([i, j], 1)
 
 
-def _compare(cosine: float):
+def _compare(cosine: float, kind: type):
     def group(key: tuple, rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
         rep = np.array([r[0] for r in rows])
         copies = np.array([r[1] for r in rows])
-        x = np.frombuffer(b"".join(r[2] for r in rows)).reshape(len(rows), -1)
+        x = np.frombuffer(b"".join(r[2] for r in rows), kind).reshape(len(rows), -1).astype(np.float64)
         signs = np.frombuffer(b"".join(r[3] for r in rows), np.int32).reshape(len(rows), -1)
         side = np.array([r[4] for r in rows]) != key[4]
         if key[4] != key[5] and not (side.any() and not side.all()):
@@ -139,8 +139,10 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     v = v.withColumn("usable", usable(F.col("label"), F.col("embedding")) & F.col("vec_id").isNotNull())
     points = v.where("usable").groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
     points = materialize(points.withColumn("dim", F.size("embedding")), "points")
-    bits, tables = plan(points.count(), cosine)
-    hashed = points.select("rep", "label", "dim", "copies", "embedding").mapInArrow(_hash(bits, tables), "rep long, label long, dim int, copies long, vector binary, signs binary")
+    largest = points.groupBy("label").count().agg(F.max("count")).first()[0] or 0  # one number
+    bits, tables = plan(largest, cosine)
+    kind = np.float32 if dict(points.dtypes)["embedding"] == "array<float>" else np.float64  # as they are stored: floats lose nothing
+    hashed = points.select("rep", "label", "dim", "copies", "embedding").mapInArrow(_hash(bits, tables, kind), "rep long, label long, dim int, copies long, vector binary, signs binary")
     hashed = materialize(hashed, "hashed")
     each = F.explode(F.array(*[F.struct(F.lit(t).alias("tab"), F.hex(F.substring("signs", t * 4 + 1, 4)).alias("bucket")) for t in range(tables)]))
     placed = hashed.select("rep", "label", "dim", each.alias("e")).select("rep", "label", "dim", "e.tab", "e.bucket")
@@ -151,7 +153,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     met = met.withColumn("other", others).withColumn("bi", F.least("block", "other")).withColumn("bj", F.greatest("block", "other"))
     met = met.join(hashed.select("rep", "copies", "vector", "signs"), "rep").repartition(*_KEY).sortWithinPartitions(*_KEY)
-    found = materialize(met.select(*_KEY, "rep", "copies", "vector", "signs", "block").mapInArrow(_compare(cosine), "rep long, links long, peer long"), "found")
+    found = materialize(met.select(*_KEY, "rep", "copies", "vector", "signs", "block").mapInArrow(_compare(cosine, kind), "rep long, links long, peer long"), "found")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     components = connected_components(found.where("rep <> peer").select(F.col("rep").alias("a"), F.col("peer").alias("b")))
     named = points.join(links, "rep", "left").join(components.withColumnRenamed("id", "rep"), "rep", "left")
