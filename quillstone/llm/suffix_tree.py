@@ -5,8 +5,9 @@ becomes a state when the distribution of its next symbol diverges enough from th
 distributions are smoothed towards the suffix's. A text is scored by the longest state that ends its past at each symbol.
 
 One pass over the training texts gives two tables: counts of words and counts of (context, symbol). Both are summed by
-Spark; the tree is cut by SQL over the second and is small whatever the corpus (each state must carry EPSILON nats a symbol).
-A second pass scores every text whole. Frequent words (at most 2 * HOT_WORDS of them, proven by a histogram of their counts)
+Spark; the tree is cut by SQL over the second and grows with the corpus: a context is a state by the test of its own counts
+alone. The tree is scored in parts of about PART counts, ranges of contexts with the suffixes that they share; while
+it is one part, one pass scores every text whole, later each part adds the symbols whose past lies in its range. Frequent words (at most 2 * HOT_WORDS of them, proven by a histogram of their counts)
 are looked up in a broadcast array; occurrences of the others are joined to their counts by a shuffle.
 """
 
@@ -14,6 +15,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +30,9 @@ from quillstone.llm.words import SPACE_WORDS, hash_words, row_ranges, utf8
 DEPTH, BITS = 4, 6
 SYMBOLS = 1 << BITS
 START, END, SPACE = 0, 1, 2
-EPSILON = 1e-6  # nats per symbol of the corpus that a state must save
-SIGNIFICANCE = 4.0  # and its likelihood ratio, per symbol seen after it
+SIGNIFICANCE = 4.0  # the likelihood ratio that a state must reach, per symbol seen after it
+PART = 3_000_000  # counts of the tree that are broadcast at once
+PIECE = 2 << 20  # bytes of text that are worked on at once
 SMOOTHING = 4.0
 HOT_WORDS = 1 << 18
 _MARKS = b".,;:!?'\"-()"
@@ -54,7 +58,7 @@ _FOLDED = np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), np.arange(25
 
 
 def symbols(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(contexts, symbols, per-row bounds): one entry for each symbol of each row, the row's END included; contexts hold the last DEPTH symbols, the latest in the lowest bits."""
+    """(contexts, symbols, per-row bounds): one entry for each symbol of each row, the row's END included; contexts hold the last DEPTH symbols, the latest in the highest bits, so that a suffix is a range of contexts."""
     rows = len(offsets) - 1
     kept = CLASS[data] != SPACE
     inner = np.ones(len(starts), bool)
@@ -68,9 +72,9 @@ def symbols(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, first: np
     stream[np.arange(len(at)) + row * pad + DEPTH] = CLASS[data[at]]
     ends = upto[1:] + np.arange(rows) * pad + DEPTH
     stream[ends] = END
-    context = np.zeros(len(stream), np.uint32)
+    context = np.zeros(len(stream), np.int64)
     for j in range(1, DEPTH + 1):
-        context[j:] |= stream[:-j].astype(np.uint32) << np.uint32(BITS * (j - 1))
+        context[j:] |= stream[:-j].astype(np.int64) << (BITS * (DEPTH - j))
     scored = np.ones(len(stream), bool)
     for j in range(DEPTH):
         scored[upto[:-1] + np.arange(rows) * pad + j] = False
@@ -118,14 +122,15 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         data, offsets = utf8(b.column(0))
         rows += b.num_rows
-        for lo, hi in row_ranges(offsets):
+        for lo, hi in row_ranges(offsets, PIECE):
             d, o = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
             h, s, _, first = hash_words(d, o, SPACE_WORDS)
             words.add(h)
             context, symbol, _ = symbols(d, o, s, first)
-            grams.add((context << np.uint32(BITS)) | symbol)
+            grams.add((context << BITS) | symbol)
             single += np.bincount(_FOLDED[d], minlength=256)
         yield from words.batches(4_000_000)
+        yield from grams.batches(4_000_000)
     yield from words.batches()
     yield from grams.batches()
     last = _Sums(BYTES)
@@ -136,75 +141,132 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from last.batches()
 
 
+def suffix_of(context, depth):
+    """The context cut to its last ``depth`` symbols."""
+    return context >> (BITS * (DEPTH - depth)) << (BITS * (DEPTH - depth))
+
+
 def states(grams: DataFrame) -> DataFrame:
     """(depth, context, symbol, n) of the states, from (key = context and symbol, n). A state's suffixes are states too."""
-    masks = F.array(*[F.lit((1 << (BITS * d)) - 1).cast("long") for d in range(DEPTH + 1)])
+    masks = F.array(*[F.lit(suffix_of((1 << (BITS * DEPTH)) - 1, d)).cast("long") for d in range(DEPTH + 1)])
     masked = lambda depth: F.col("context").bitwiseAND(F.element_at(masks, depth + 1))
     every = grams.select(F.shiftright("key", BITS).alias("context"), F.col("key").bitwiseAND(SYMBOLS - 1).alias("symbol"), "n", F.explode(F.sequence(F.lit(0), F.lit(DEPTH))).alias("depth"))
     level = materialize(every.groupBy("depth", masked(F.col("depth")).alias("context"), "symbol").agg(F.sum("n").alias("n")), "suffix-levels")
     sums = level.groupBy("depth", "context").agg(F.sum("n").alias("all"))
-    suffix = level.join(sums, ["depth", "context"]).select((F.col("depth") + 1).alias("depth"), F.col("context").alias("suffix"), "symbol", (F.col("n") / F.col("all")).alias("q"))
+    level = materialize(level.join(sums, ["depth", "context"]), "suffix-counted")
+    suffix = level.select((F.col("depth") + 1).alias("depth"), F.col("context").alias("suffix"), "symbol", (F.col("n") / F.col("all")).alias("q"))
     # sum n ln(n / N / q) = sum n (ln n - ln q) - N ln N
     here = level.where("depth > 0").withColumn("suffix", masked(F.col("depth") - 1))
     tested = here.join(suffix, ["depth", "suffix", "symbol"]).groupBy("depth", "context").agg(
-        F.sum("n").alias("all"), F.count("*").alias("seen"), F.sum(F.col("n") * (F.log("n") - F.log("q"))).alias("s")
+        F.first("all").alias("all"), F.count("*").alias("seen"), F.sum(F.col("n") * (F.log("n") - F.log("q"))).alias("s")
     )
     saved = F.col("s") - F.col("all") * F.log("all")
-    corpus = level.where("depth = 0").agg(F.sum("n")).first()[0] or 0  # one number
-    kept = tested.where((2 * saved >= SIGNIFICANCE * F.col("seen")) & (saved >= EPSILON * corpus))
+    kept = tested.where(2 * saved >= SIGNIFICANCE * F.col("seen"))
     nodes = kept.select(F.explode(F.sequence(F.lit(1), F.col("depth"))).alias("depth"), "context").select("depth", masked(F.col("depth")).alias("context")).distinct()
+    level = level.select("depth", "context", "symbol", "n")
     return level.where("depth = 0").union(level.join(nodes, ["depth", "context"]).select("depth", "context", "symbol", "n"))
 
 
+def ranges(tree: DataFrame) -> list[tuple[int, int]]:
+    """Ranges of contexts, together all, each with about PART of the tree's counts."""
+    parts, bounds = ceil(tree.count() / PART), []
+    if parts > 1:
+        bounds = tree.agg(F.percentile_approx("context", [i / parts for i in range(1, parts)], 100_000)).first()[0]
+    bounds = sorted({0, *bounds, 1 << (BITS * DEPTH)})
+    return list(zip(bounds[:-1], bounds[1:], strict=True))
+
+
+def within(tree: DataFrame, lo: int, hi: int) -> DataFrame:
+    """The states that are a suffix of some context from lo to before hi."""
+    widths = F.array(*[F.lit(1 << (BITS * (DEPTH - d))).cast("long") for d in range(DEPTH + 1)])
+    return tree.where((F.col("context") < hi) & (F.col("context") + F.element_at(widths, F.col("depth") + 1) > lo))
+
+
+_DEPTH_BITS = 4
+_SYMBOL_AT = BITS * DEPTH + _DEPTH_BITS
+
+
+def _longest(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """For each wanted (symbol and) context, where the longest of its suffixes is in the sorted keys (symbol, context, depth), a set that has every suffix of its members.
+
+    The last key up to the wanted context begins as the longest suffix does, so what the two share is that suffix.
+    """
+    wanted = wanted << _DEPTH_BITS
+    last = keys[np.searchsorted(keys, wanted | ((1 << _DEPTH_BITS) - 1), "right") - 1]
+    differ = (last ^ wanted) >> _DEPTH_BITS
+    shared = DEPTH - (np.frexp(differ.astype(np.float64))[1] + BITS - 1) // BITS
+    depth = np.minimum(shared, last & ((1 << _DEPTH_BITS) - 1))
+    width = _DEPTH_BITS + BITS * (DEPTH - depth)
+    return np.searchsorted(keys, wanted >> width << width | depth)
+
+
 @dataclass
-class Tree:
-    depths: np.ndarray
-    contexts: np.ndarray
-    logs: np.ndarray  # states x SYMBOLS, log10
+class Part:
+    """The states over a range of contexts. log10 p(symbol | state) = value of the longest suffix that has seen the symbol + weight of the state."""
+
+    lo: int
+    hi: int
+    states: np.ndarray  # context, depth
+    weights: np.ndarray  # summed log10 of what smoothing leaves to the suffixes
+    entries: np.ndarray  # symbol, context, depth
+    values: np.ndarray
+
+    def logs(self, context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """log10 of each symbol after its context; 0 where the context is not of this range."""
+        out = np.zeros(len(context))
+        here = np.flatnonzero((context >= self.lo) & (context < self.hi))
+        wanted = symbol[here].astype(np.int64) << (BITS * DEPTH) | context[here]
+        order = np.argsort(wanted)
+        wanted = wanted[order]
+        new = np.ones(len(wanted), bool)
+        new[1:] = wanted[1:] != wanted[:-1]
+        each = wanted[new]
+        found = self.values[_longest(self.entries, each)] + self.weights[_longest(self.states, each & ((1 << (BITS * DEPTH)) - 1))]
+        out[here[order]] = found[np.cumsum(new) - 1]
+        return out
+
+
+def build_part(rows: pa.Table, lo: int, hi: int) -> Part:
+    depth, context, symbol, n = (rows[c].to_numpy().astype(np.int64) for c in ("depth", "context", "symbol", "n"))
+    seen = np.bincount(symbol[depth == 0], n[depth == 0], SYMBOLS)
+    usable = np.arange(SYMBOLS) != START
+    root = (seen + 0.5) / (seen.sum() + 0.5 * usable.sum())
+    deeper = depth > 0  # the root has every symbol
+    depth, context, symbol, n = depth[deeper], context[deeper], symbol[deeper], n[deeper]
+    states, of = np.unique(np.append(context << _DEPTH_BITS | depth, 0), return_inverse=True)
+    total, depths = np.bincount(of[:-1], n, len(states)), states & ((1 << _DEPTH_BITS) - 1)
+    weights = np.zeros(len(states))
+    entries = np.concatenate([np.flatnonzero(usable) << _SYMBOL_AT, symbol << _SYMBOL_AT | context << _DEPTH_BITS | depth])
+    n, all_of = np.concatenate([np.zeros(usable.sum()), n]), np.concatenate([np.zeros(usable.sum()), total[of[:-1]]])
+    order = np.argsort(entries)
+    entries, n, all_of = entries[order], n[order], all_of[order]
+    entry_depths = entries & ((1 << _DEPTH_BITS) - 1)
+    probs = np.where(entry_depths == 0, root[entries >> _SYMBOL_AT], 0)
+    for d in range(1, DEPTH + 1):  # a state's suffix is a state and has seen its symbols: it is ready
+        width = _DEPTH_BITS + BITS * (DEPTH - d + 1)
+        parent = lambda keys: keys >> width << width | (d - 1)  # noqa: B023, E731
+        at = np.flatnonzero(depths == d)
+        weights[at] = weights[np.searchsorted(states, parent(states[at]))] + np.log10(SMOOTHING / (total[at] + SMOOTHING))
+        at = np.flatnonzero(entry_depths == d)
+        probs[at] = (n[at] + SMOOTHING * probs[np.searchsorted(entries, parent(entries[at]))]) / (all_of[at] + SMOOTHING)
+    values = np.log10(probs) - weights[np.searchsorted(states, entries & ((1 << _SYMBOL_AT) - 1))]
+    return Part(lo, hi, states, weights, entries, values)
+
+
+@dataclass
+class Bases:
     byte_logs: np.ndarray  # log10 of a byte given its class
     end_log: float
     hot: np.ndarray
     hot_logs: np.ndarray
-    _table: np.ndarray | None = None
-
-    def longest(self) -> np.ndarray:
-        """The state of every context of DEPTH symbols: its longest suffix that is one."""
-        if self._table is None:
-            t = np.zeros(1 << (BITS * DEPTH), np.uint16 if len(self.contexts) < 65536 else np.int32)
-            for d in range(1, DEPTH + 1):
-                at = np.flatnonzero(self.depths == d)
-                t.reshape(-1, 1 << (BITS * d))[:, self.contexts[at]] = at
-            self._table = t
-        return self._table
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"_table": None}
-
-
-def build_tree(rows: pa.Table, singles: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    depth, context, symbol, n = (rows[c].to_numpy() for c in ("depth", "context", "symbol", "n"))
-    key = depth.astype(np.int64) << 32 | context
-    ids, row = np.unique(np.concatenate([[0], key]), return_inverse=True)
-    row = row[1:]
-    depths, contexts = (ids >> 32).astype(int), ids & 0xFFFFFFFF
-    counts = np.zeros((len(ids), SYMBOLS), np.float64)
-    np.add.at(counts, (row, symbol), n)
-    probs = np.empty_like(counts)
-    usable = np.ones(SYMBOLS)
-    usable[START] = 0
-    probs[0] = (counts[0] + 0.5 * usable) / (counts[0].sum() + 0.5 * usable.sum())
-    for d in range(1, DEPTH + 1):  # a state's suffix is a state: its distribution is ready
-        at = np.flatnonzero(depths == d)
-        suffix = np.searchsorted(ids, ((d - 1) << 32) | (contexts[at] & ((1 << (BITS * (d - 1))) - 1)))
-        probs[at] = (counts[at] + SMOOTHING * probs[suffix]) / (counts[at].sum(1, keepdims=True) + SMOOTHING)
-    with np.errstate(divide="ignore"):
-        logs = np.log10(probs).astype(np.float32)
-    logs[:, START] = 0
+
+
+def byte_logs(singles: np.ndarray) -> np.ndarray:
     folded = np.unique(_FOLDED)
     of_class = np.bincount(CLASS[folded], singles[folded] + 0.5, SYMBOLS)
-    byte_logs = np.log10((singles + 0.5) / of_class[CLASS])
-    byte_logs[CLASS == SPACE] = 0  # any run of white space is one space
-    return depths, contexts, logs, byte_logs[_FOLDED].astype(np.float32)
+    logs = np.log10((singles + 0.5) / of_class[CLASS])
+    logs[CLASS == SPACE] = 0  # any run of white space is one space
+    return logs[_FOLDED].astype(np.float32)
 
 
 SCORED = "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, keys array<long>, times array<long>"
@@ -239,23 +301,30 @@ def score_texts(docs: DataFrame, folds: int = 10, fold: int = 0) -> DataFrame:
     singles = np.zeros(256)
     for r in of(BYTES).collect():  # 256 rows
         singles[r.key] = r.n
-    tree = Tree(*build_tree(states(of(GRAMS)).toArrow(), singles), float(base(train_rows)), hot["key"].to_numpy(), base(hot["n"].to_numpy()))
-    model, known_end = sc.broadcast(tree), int(train_rows > 0)
+    bases = sc.broadcast(Bases(byte_logs(singles), float(base(train_rows)), hot["key"].to_numpy(), base(hot["n"].to_numpy())))
+    known_end = int(train_rows > 0)
+    tree = materialize(states(of(GRAMS)), "suffix-tree")
+    parts = ranges(tree)
+    docs = docs.withColumn("rid", F.monotonically_increasing_id())
+    if len(parts) > 1:  # every pass must see the same numbers
+        docs = materialize(docs, "suffix-texts")
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+    def part(lo: int, hi: int):
+        return sc.broadcast(build_part(within(tree, lo, hi).toArrow(), lo, hi))  # about PART rows
+
+    model = part(*parts[0])
 
-        m, rid = model.value, TaskContext.get().partitionId() << 40
-        longest, flat = m.longest(), m.logs.ravel()
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = bases.value
         for b in batches:
             data, offsets = utf8(b["text"])
-            for lo, hi in row_ranges(offsets):
+            for lo, hi in row_ranges(offsets, PIECE):
                 d, o, rows = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], hi - lo
                 h, s, _, first = hash_words(d, o, SPACE_WORDS)
                 context, symbol, bounds = symbols(d, o, s, first)
-                each = flat[longest[context].astype(np.int64) * SYMBOLS + symbol]
+                each = model.value.logs(context, symbol)
                 spread = np.concatenate([[0], np.cumsum(m.byte_logs[d], dtype=np.float64)])
-                text_score = np.add.reduceat(each.astype(np.float64), bounds[:-1]) + spread[o[1:]] - spread[o[:-1]]
+                text_score = np.add.reduceat(each, bounds[:-1]) + spread[o[1:]] - spread[o[:-1]]
                 h = h.view(np.int64)
                 at = np.minimum(np.searchsorted(m.hot, h), max(len(m.hot) - 1, 0))
                 found = m.hot[at] == h if len(m.hot) else np.zeros(len(h), bool)
@@ -270,14 +339,34 @@ def score_texts(docs: DataFrame, folds: int = 10, fold: int = 0) -> DataFrame:
                 cuts = pa.array(np.searchsorted(tail_row[new], np.arange(rows + 1)).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(rid + np.arange(rows)), b["doc_id"].slice(lo, rows).cast(pa.int64()), b["held_out"].slice(lo, rows), pa.array(np.diff(first) + 1), pa.array(known + known_end),
+                        b["rid"].slice(lo, rows), b["doc_id"].slice(lo, rows).cast(pa.int64()), b["held_out"].slice(lo, rows), pa.array(np.diff(first) + 1), pa.array(known + known_end),
                         pa.array(sums + m.end_log), pa.array(text_score), pa.ListArray.from_arrays(cuts, pa.array(tail[new])), pa.ListArray.from_arrays(cuts, pa.array(times)),
                     ],
                     ["rid", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "keys", "times"],
                 )
-                rid += rows
+
+    def more(model):
+        def score_rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                data, offsets = utf8(b["text"])
+                for lo, hi in row_ranges(offsets, PIECE):
+                    d, o = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+                    _, s, _, first = hash_words(d, o, SPACE_WORDS)
+                    context, symbol, bounds = symbols(d, o, s, first)
+                    each = np.add.reduceat(model.value.logs(context, symbol), bounds[:-1])
+                    yield pa.RecordBatch.from_arrays([b["rid"].slice(lo, hi - lo), pa.array(each)], ["rid", "more"])
+
+        return score_rest
 
     scored = materialize(docs.mapInArrow(score, SCORED), "suffix-scores")
+    rest = []
+    for lo, hi in parts[1:]:
+        model.unpersist()
+        model = part(lo, hi)
+        rest.append(materialize(docs.select("rid", "text").mapInArrow(more(model), "rid long, more double"), "suffix-scores"))
+    if rest:
+        rest = reduce(DataFrame.union, rest).groupBy("rid").agg(F.sum("more").alias("more"))
+        scored = scored.join(rest, "rid").withColumn("score", F.col("score") + F.col("more")).drop("more")
     tail = scored.select("rid", F.explode(F.arrays_zip("keys", "times")).alias("t")).select("rid", F.col("t.keys").alias("key"), F.col("t.times").alias("times"))
     rare = words.where(doubled < least)
     n = F.coalesce("n", F.lit(0))

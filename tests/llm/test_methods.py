@@ -134,6 +134,71 @@ def test_suffix_tree_against_counts(spark, docs):
     assert real > np.mean([per_char(scores[10**6 + 10 * k], t) for k, t in enumerate(noise)])
 
 
+def brute_suffix_tree(train, held):
+    """Scores by the definition: every context in a dictionary, tested, closed over suffixes, smoothed towards its suffix."""
+    st = suffix_tree
+
+    def stream(t):
+        return [st.START] * st.DEPTH + [int(c) for c in st.CLASS[np.frombuffer(" ".join(re.split(r"[ \t-\r]+", t.strip(" \t\n\v\f\r"))).encode(), np.uint8)]] + [st.END]
+
+    counts, singles = collections.defaultdict(collections.Counter), np.zeros(256)
+    for t in train:
+        s = stream(t)
+        singles += np.bincount(st._FOLDED[np.frombuffer(t.encode(), np.uint8)], minlength=256)
+        for i in range(st.DEPTH, len(s)):
+            for d in range(st.DEPTH + 1):
+                counts[tuple(s[i - d : i])][s[i]] += 1
+    all_of = {c: sum(x.values()) for c, x in counts.items()}
+    kept = {()}
+    for c, x in counts.items():
+        if c:
+            saved = sum(n * math.log(n / all_of[c] / (counts[c[1:]][y] / all_of[c[1:]])) for y, n in x.items())
+            if 2 * saved >= st.SIGNIFICANCE * len(x):
+                kept |= {c[i:] for i in range(len(c))}
+
+    def p(c, y):
+        if not c:
+            return (counts[()][y] + 0.5) / (all_of[()] + 0.5 * (st.SYMBOLS - 1))
+        return (counts[c][y] + st.SMOOTHING * p(c[1:], y)) / (all_of[c] + st.SMOOTHING)
+
+    logs = st.byte_logs(singles)
+    out = []
+    for t in held:
+        s, score = stream(t), float(logs[np.frombuffer(t.encode(), np.uint8)].sum(dtype=np.float64))
+        for i in range(st.DEPTH, len(s)):
+            c = tuple(s[i - st.DEPTH : i])
+            while c not in kept:
+                c = c[1:]
+            score += math.log10(p(c, s[i]))
+        out.append(score)
+    return out, len(kept)
+
+
+@pytest.mark.parametrize("part", [10**9, 4000])
+def test_suffix_tree_scores_against_brute_force(spark, docs, monkeypatch, part):
+    """In one part and in many."""
+    monkeypatch.setattr(suffix_tree, "PART", part)
+    some = docs[docs.text.str.len() < 3000].head(120)
+    held = np.array([zlib.crc32(str(i).encode()) % 10 == 0 for i in some.doc_id])
+    want, n = brute_suffix_tree(list(some.text[~held]), list(some.text))
+    assert n > 500
+    got = {r.doc_id: r.score for r in suffix_tree.score_texts(spark.createDataFrame(some[["doc_id", "text"]])).collect()}
+    assert all(abs(got[i] - w) < 1e-4 * max(1, abs(w)) for i, w in zip(some.doc_id, want, strict=True))
+
+
+def test_small_language_keeps_its_contexts(spark):
+    """What occurs thousands of times and diverges is a state, however large the rest of the corpus is."""
+    rows = collections.Counter()
+    for text, n in (("the same old words as ever", 10**10), ("qx", 3000)):
+        data, offsets = words.utf8(pa.array([text]))
+        _, s, _, first = words.hash_words(data, offsets, words.SPACE_WORDS)
+        context, symbol, _ = suffix_tree.symbols(data, offsets, s, first)
+        for c, y in zip(context.tolist(), symbol.tolist(), strict=True):
+            rows[c << suffix_tree.BITS | y] += n
+    found = suffix_tree.states(spark.createDataFrame(list(rows.items()), "key long, n long")).where("depth > 0").collect()
+    assert any(r.symbol == suffix_tree.CLASS[ord("x")] and r.n == 3000 for r in found)
+
+
 def test_patterns_against_regular_expressions():
     kinds = (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")
 
