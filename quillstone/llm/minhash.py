@@ -7,7 +7,9 @@ classes all pairs are compared. In a larger one every class is compared with two
 all bands, and one drawn by a hash), and the bucket is cut again by the next band, up to DEPTH bands together, with the same
 rule. So a class of a large group meets dozens of others, most of them those nearest to it, and the pairs grow with the
 classes, not with the squares of the groups. Classes that did not join what most of their bucket joined meet DRAWS more of it
-in each band. Pairs are verified on the whole texts, links are closed to classes by distributed connected
+in each band. All that settles most of a large bucket with few pairs; what its members have not joined by then is compared in full:
+every pair of a bucket that is in two components still, by pairs of blocks of BLOCK classes, unless the sizes of the two texts alone
+rule out the similarity. Pairs are verified on the whole texts, links are closed to classes by distributed connected
 components. Nothing groups a bucket or a class in one task.
 """
 
@@ -33,6 +35,8 @@ TABLE_BITS = 13
 SMALL, DEPTH = 5, 4
 #: Members of a bucket's main component that each class which has not joined it meets, in each of its bands.
 DRAWS = 12
+#: Classes of a large bucket that one key of the full comparison holds, twice.
+BLOCK = 256
 #: Ids of 8 bytes that are broadcast to read the candidates' texts without moving all others; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 
@@ -138,7 +142,7 @@ def bands_of(signature: np.ndarray) -> np.ndarray:
     return acc.view(np.int64)
 
 
-_SIGNED = "doc_id long, text_key string, bands array<long>"
+_SIGNED = "doc_id long, text_key string, bands array<long>, shingles long, weight double"
 
 
 def _similarity(a: pa.Array, b: pa.Array, idf: np.ndarray) -> np.ndarray:
@@ -180,15 +184,17 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
             for lo, hi in row_ranges(offsets):
                 row, h, count = weighted_shingles(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 some, first = np.unique(row, return_index=True)
-                bands = bands_of(sampler.signatures(first, h, damped(count) * idf.value[bucket_of_shingle(h)])) if len(some) else np.zeros((0, BANDS), np.int64)
+                weight = damped(count) * idf.value[bucket_of_shingle(h)]
+                bands = bands_of(sampler.signatures(first, h, weight)) if len(some) else np.zeros((0, BANDS), np.int64)
                 cuts = np.zeros(hi - lo + 1, np.int32)
                 cuts[some + 1] = BANDS
                 arrays = [b["doc_id"].slice(lo, hi - lo), b["text_key"].slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(np.cumsum(cuts).astype(np.int32)), pa.array(bands.ravel()))]
-                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "text_key", "bands"])
+                arrays += [pa.array(np.bincount(row, minlength=hi - lo)), pa.array(np.bincount(row, weight, hi - lo))]
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "text_key", "bands", "shingles", "weight"])
 
     keyed = docs.select("doc_id", F.lower("text").alias("text"), F.md5(F.col("text").cast("binary")).alias("text_key"))
     signed = materialize(keyed.mapInArrow(sign, _SIGNED), "signatures")
-    classes = signed.where("doc_id IS NOT NULL").groupBy("text_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_equal"), F.first("bands").alias("bands"))
+    classes = signed.where("doc_id IS NOT NULL").groupBy("text_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_equal"), F.first("bands").alias("bands"), F.first("shingles").alias("shingles"), F.first("weight").alias("weight"))
     classes = materialize(classes, "classes")
     # each band alone, and with the one to DEPTH - 1 that follow it: classes that share more bands are nearer to each other
     count = F.size("bands")
@@ -240,7 +246,23 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     apart = apart.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
     late = verified(apart, "late-links")
     if not late.isEmpty():
-        joined = connected_components(links.union(late)).select(F.col("id").alias("rep"), "component")
+        links = links.union(late)
+        joined = materialize(connected_components(links).select(F.col("id").alias("rep"), "component"), "joined")
+    # what is in two components still: every pair that shares a large bucket, but for those whose sizes rule the similarity out
+    large = members.where(F.col("n") > SMALL).select("band", "rep", "n").join(joined, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    mixed = large.groupBy("band").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("band")
+    large = large.join(mixed, "band").join(classes.select("rep", "shingles", "weight"), "rep")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    large = large.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    large = large.select("band", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "rep", "component", "block", "shingles", "weight")
+    large = materialize(large, "blocks")
+    a, b = (large.select("band", "bi", "bj", *[F.col(c).alias(f"{c}_{side}") for c in ("rep", "component", "block", "shingles", "weight")]) for side in "ab")
+    may = lambda c: F.least(f"{c}_a", f"{c}_b") * 1.001 >= F.greatest(f"{c}_a", f"{c}_b") * similarity  # noqa: E731  weights are rounded
+    apart = a.join(b, ["band", "bi", "bj"]).where("rep_a > rep_b AND component_a <> component_b AND (bi = bj OR block_a <> block_b)").where(may("shingles") | may("weight"))
+    apart = apart.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+    rest = verified(apart, "rest-links")
+    if not rest.isEmpty():
+        joined = connected_components(links.union(rest)).select(F.col("id").alias("rep"), "component")
     named = classes.select("text_key", "rep", "n_equal").join(joined, "rep", "left").select("text_key", "n_equal", F.coalesce("component", "rep").alias("class_id"))
     out = signed.select("doc_id", "text_key").join(named, "text_key", "left")
     class_id = F.when(F.col("doc_id").isNotNull(), F.col("class_id"))

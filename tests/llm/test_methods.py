@@ -96,6 +96,21 @@ def test_large_groups_stay_together(spark):
     assert all(got[i] == i for i, _ in other)
 
 
+def test_families_that_share_a_passage(spark, monkeypatch):
+    """Pairs of near copies among many texts that share a long passage: found by the full comparison, whatever the shortcuts for large buckets meet."""
+    monkeypatch.setattr(minhash, "DEPTH", 1)
+    monkeypatch.setattr(minhash, "DRAWS", 1)
+    monkeypatch.setattr(minhash, "BLOCK", 16, raising=False)
+    passage, rows = [f"w{i}" for i in range(400)], []
+    for i in range(80):
+        w = [*passage, *(f"f{i}x{k}" for k in range(70))]
+        other = list(w)
+        other[404:468:8] = [f"g{i}x{k}" for k in range(8)]
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(other))]
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i // 2 * 2 for i in range(160)}
+
+
 def test_consistent_samples_estimate_weighted_similarity():
     rng = np.random.default_rng(2)
     keys = rng.integers(0, 1 << 44, 400).astype(np.uint64)
