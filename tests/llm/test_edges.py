@@ -79,7 +79,7 @@ def test_html(spark):
 def test_html_without_broadcast(spark, monkeypatch):
     pages = frame(spark, PAGES, PAGE_SCHEMA)
     one = sorted(html_template.extract(pages).collect(), key=str)
-    monkeypatch.setattr(html_template, "BROADCAST_BYTES", -1)
+    monkeypatch.setattr(html_template, "BROADCAST_TOKENS", -1)
     assert sorted(html_template.extract(pages).collect(), key=str) == one
 
 

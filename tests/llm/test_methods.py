@@ -358,23 +358,3 @@ def test_blocks_of_a_large_bucket(spark, monkeypatch):
     rows = [(i, [1.0, 0.001 * (i % 50)], 0) for i in range(100)]
     out = embed_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
     assert {r.n_links for r in out} == {99} and {r.component_id for r in out} == {0}
-
-
-def test_main_text_of_a_template_without_names(spark):
-    rng = np.random.default_rng(1)
-    line = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 5000, n))
-    rows, want = [], {}
-    for i in range(30):
-        parts = [line(40) for _ in range(4)]
-        want[i] = "\n\n".join(parts)
-        body = "".join(f'<div class="q">{p}</div>' for p in parts)
-        rows.append((i, f"http://h.example/{i}", f'<html><body><div class="x"><a href="/">Home</a> <a href="/b">About</a></div><div class="c"><div class="t">All rights reserved</div>{body}</div><div class="z"><p>{line(5)}</p></div><div class="comments"><p>{line(30)}</p></div></body></html>'))
-    out = {r.page_id: r.text for r in html_template.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert out == want
-
-
-def test_main_text_by_names():
-    page = """<html><head><title>T</title></head><body><header>Site</header><nav>Menu</nav><div class="cookie-notice">Cookies</div><main><article><h1>Head</h1>
-    <p>One <b>two</b><br>three &eacute;</p><aside>Side</aside><form><label>Mail</label></form><div class="ad">Buy</div><p>Four<script>var a="</p>";</script></p></article>
-    <section id="comments"><article class="comment"><p>Nice</p></article></section></main><footer>End</footer></body></html>"""
-    assert html_template.main_text(page, None, set()) == "Head\n\nOne two three é\n\nFour"
