@@ -27,12 +27,13 @@ from quillstone.llm.quality import bucket_of
 from quillstone.llm.storage import materialize
 from quillstone.llm.words import SPACE_WORDS, hash_words, row_ranges, utf8
 
-DEPTH, BITS = 4, 6
+DEPTH, BITS = 6, 6
 SYMBOLS = 1 << BITS
 START, END, SPACE = 0, 1, 2
-SIGNIFICANCE = 4.0  # the likelihood ratio that a state must reach, per symbol seen after it
-PART = 3_000_000  # counts of the tree that are broadcast at once
-PIECE = 2 << 20  # bytes of text that are worked on at once
+SIGNIFICANCE = 6.0  # the likelihood ratio that a state must reach, per symbol seen after it
+PART = 2_500_000  # counts of the tree that are broadcast at once
+PIECE = 1 << 20  # bytes of text that are worked on at once
+HELD = 1_500_000  # counts that a task holds before it passes them on
 SMOOTHING = 4.0
 HOT_WORDS = 1 << 18
 _MARKS = b".,;:!?'\"-()"
@@ -82,19 +83,19 @@ def symbols(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, first: np
 
 
 class _Sums:
-    """Counts by key, held as sorted arrays and merged when they have grown."""
+    """Counts by key, held as sorted arrays and merged when they have doubled."""
 
     def __init__(self, kind: int) -> None:
-        self.kind, self.parts, self.held = kind, [], 0
+        self.kind, self.parts, self.held, self.distinct = kind, [], 0, 0
 
     def add(self, keys: np.ndarray, counts: np.ndarray | None = None) -> None:
         if counts is None:
             keys, counts = np.unique(keys, return_counts=True)
         self.parts.append((keys, counts))
         self.held += len(keys)
-        if self.held > 3_000_000 and len(self.parts) > 1:
+        if self.held > 2 * self.distinct + HELD // 2 and len(self.parts) > 1:
             self.parts = [self.merged()]
-            self.held = len(self.parts[0][0])
+            self.held = self.distinct = len(self.parts[0][0])
 
     def merged(self) -> tuple[np.ndarray, np.ndarray]:
         keys, counts = (np.concatenate(x) for x in zip(*self.parts, strict=True))
@@ -104,10 +105,10 @@ class _Sums:
         return keys[new], np.add.reduceat(counts[order], new) if len(new) else counts[:0]
 
     def batches(self, at_least: int = 0) -> Iterator[pa.RecordBatch]:
-        if not self.parts or self.held < at_least:
+        if not self.parts or self.distinct < at_least:
             return
         keys, counts = self.merged()
-        self.parts, self.held = [], 0
+        self.parts, self.held, self.distinct = [], 0, 0
         for i in range(0, len(keys), 200_000):
             k = keys[i : i + 200_000]
             k = k.view(np.int64) if k.dtype == np.uint64 else k.astype(np.int64)
@@ -129,8 +130,8 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             context, symbol, _ = symbols(d, o, s, first)
             grams.add((context << BITS) | symbol)
             single += np.bincount(_FOLDED[d], minlength=256)
-        yield from words.batches(4_000_000)
-        yield from grams.batches(4_000_000)
+            yield from words.batches(HELD)
+            yield from grams.batches(HELD)
     yield from words.batches()
     yield from grams.batches()
     last = _Sums(BYTES)
