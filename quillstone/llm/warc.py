@@ -15,10 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm.storage import new_path
+from quillstone.llm.graph import HOT_KEYS, HOT_ROWS
+from quillstone.llm.storage import materialize, new_path
 
 CHUNK = 1 << 16
 LEAST_REVISIT = 100
+#: Digests of several pages that are broadcast, about 100 bytes each.
+BROADCAST_COPIES = 200_000
 DATE = "2024-01-01T00:00:00Z"
 TABLE = "archive int, record_id string, seq long, chunk_no int, last boolean, data binary, digest string"
 _TABLE = pa.schema([("archive", pa.int32()), ("record_id", pa.string()), ("seq", pa.int64()), ("chunk_no", pa.int32()), ("last", pa.bool_()), ("data", pa.binary()), ("digest", pa.string())])
@@ -83,14 +86,29 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 
 def plan_records(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
-    """pages with payload_bytes, payload_digest and refers_to: the smallest page_id of an equal payload of ``least`` bytes or more, null for that page itself."""
+    """pages with payload_bytes, payload_digest and refers_to: the smallest page_id of an equal payload of ``least`` bytes or more, null for that page itself.
+
+    What pages share is found without their html, among payloads of ``least`` bytes or more. It is then broadcast if it is small; else only
+    such pages are joined to it, and digests of very many pages by broadcast, so that none of them lands in one task.
+    """
     body = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     p = pages.select(
         F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"), F.octet_length(body).cast("long").alias("payload_bytes"), F.sha2(body, 256).alias("payload_digest")
     )
-    copies = p.where(F.col("payload_bytes") >= least).groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    p = p.join(copies, "payload_digest", "left")
-    return p.withColumn("refers_to", F.when(F.col("first") < F.col("page_id"), F.col("first"))).drop("first")
+    long = F.col("payload_bytes") >= least
+    copies = p.where(long).groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    copies = materialize(copies, "copies")
+    shared = copies.count()
+    if shared <= BROADCAST_COPIES:
+        p = p.join(F.broadcast(copies.drop("n")), (p["payload_digest"] == copies["payload_digest"]) & long, "left").drop(copies["payload_digest"])
+    else:
+        found = p.where(long)
+        limit = max(HOT_ROWS, -(-found.count() // HOT_KEYS))
+        hot, cold = F.broadcast(copies.where(F.col("n") > limit).drop("n")), copies.where(F.col("n") <= limit).drop("n")
+        rest = found.join(hot.select("payload_digest"), "payload_digest", "left_anti").join(cold, "payload_digest", "left")
+        p = p.where(~long).withColumn("first", F.lit(None).cast("long")).unionByName(found.join(hot, "payload_digest")).unionByName(rest)
+    revisits = F.col("first").isNotNull() & F.coalesce(F.col("first") < F.col("page_id"), F.lit(True))
+    return p.withColumn("refers_to", F.when(revisits, F.col("first"))).drop("first")
 
 
 def write_archives(pages: DataFrame, path: str, least: int = LEAST_REVISIT, chunk: int = CHUNK) -> None:
@@ -172,7 +190,7 @@ def round_trip(pages: DataFrame) -> DataFrame:
     """Write a record per page, read the archives back.
 
     Null html is an empty payload; null urls leave the record without WARC-Target-URI. Rows that repeat the smallest page_id of
-    a payload are all responses; a null page_id is never chosen as the first. No pages: an archive without records.
+    a payload are all responses; a null page_id is never chosen as the first, and revisits it like any other. No pages: an archive without records.
     """
     path = new_path(pages.sparkSession, "warc")
     write_archives(pages, path)
@@ -183,7 +201,7 @@ ORACLE = """
 WITH p AS (
   SELECT page_id, url, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
 f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first FROM p)
-SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest, CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN first < page_id THEN first END AS refers_to, url
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest, CASE WHEN coalesce(first < page_id, first IS NOT NULL) THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN coalesce(first < page_id, first IS NOT NULL) THEN first END AS refers_to, url
 FROM f
 """
