@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.graph import connected_components
+from quillstone.llm.graph import connected_components, join_counted
 from quillstone.llm.storage import materialize
 
 COSINE = 0.93
@@ -76,54 +76,62 @@ def _links(x: np.ndarray, signs: np.ndarray, table: int, side: np.ndarray, cosin
     return np.stack([i, j], 1)
 
 
-def _compare(cosine: float, kind: type):
-    def group(key: tuple, rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
-        rep = np.array([r[0] for r in rows])
-        copies = np.array([r[1] for r in rows])
-        x = np.frombuffer(b"".join(r[2] for r in rows), kind).reshape(len(rows), -1).astype(np.float64)
-        signs = np.frombuffer(b"".join(r[3] for r in rows), np.int32).reshape(len(rows), -1)
-        side = np.array([r[4] for r in rows]) != key[4]
-        if key[4] != key[5] and not (side.any() and not side.all()):
-            return None
-        pairs = _links(x, signs, key[2], side, cosine)
-        if not len(pairs):
-            return None
-        n = len(rows)
-        links = np.bincount(pairs[:, 0], copies[pairs[:, 1]], n) + np.bincount(pairs[:, 1], copies[pairs[:, 0]], n)
-        lowest = rep.copy()
-        while True:  # least id over the links inside these blocks
-            before = lowest.copy()
-            np.minimum.at(lowest, pairs[:, 0], before[pairs[:, 1]])
-            np.minimum.at(lowest, pairs[:, 1], before[pairs[:, 0]])
-            if (before == lowest).all():
-                break
-        some = np.flatnonzero(links)
-        return rep[some], links[some].astype(np.int64), lowest[some]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rows, out = None, [], []
+def _fixed(column: pa.Array, lo: int, hi: int, kind: type) -> np.ndarray:
+    """Rows lo:hi of a binary column whose values there are all of one length, as a matrix."""
+    _, offsets, data = column.buffers()
+    o = np.frombuffer(offsets, np.int32)[column.offset + lo : column.offset + hi + 1]
+    return np.frombuffer(data, np.uint8)[o[0] : o[-1]].view(kind).reshape(hi - lo, -1)
+
+
+def _group(b: pa.RecordBatch, lo: int, hi: int, cosine: float, kind: type) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """(rep, links, least rep over the links) of the linked points among rows lo:hi, which have one key."""
+    bi, bj, table = (b[c][lo].as_py() for c in ("bi", "bj", "tab"))
+    side = b["block"].to_numpy()[lo:hi] != bi
+    if bi != bj and not (side.any() and not side.all()):
+        return None
+    pairs = _links(_fixed(b["vector"], lo, hi, kind).astype(np.float64), _fixed(b["signs"], lo, hi, np.int32), table, side, cosine)
+    if not len(pairs):
+        return None
+    rep, copies, n = b["rep"].to_numpy()[lo:hi], b["copies"].to_numpy()[lo:hi], hi - lo
+    links = np.bincount(pairs[:, 0], copies[pairs[:, 1]], n) + np.bincount(pairs[:, 1], copies[pairs[:, 0]], n)
+    lowest = rep.copy()
+    while True:  # least id over the links inside these blocks
+        before = lowest.copy()
+        np.minimum.at(lowest, pairs[:, 0], before[pairs[:, 1]])
+        np.minimum.at(lowest, pairs[:, 1], before[pairs[:, 0]])
+        if (before == lowest).all():
+            break
+    some = np.flatnonzero(links)
+    return rep[some], links[some].astype(np.int64), lowest[some]
 
-        def close() -> None:
-            if len(rows) > 1 and (found := group(key, rows)):
-                out.append(found)
 
-        def flush() -> pa.RecordBatch:
-            columns = [pa.array(np.concatenate(c)) for c in zip(*out, strict=True)]
-            out.clear()
-            return pa.RecordBatch.from_arrays(columns, ["rep", "links", "peer"])
+def _compare(cosine: float, kind: type):
+    """Rows sorted by key to the links within each key; a key's rows, two blocks at most, are held until the next key begins."""
+
+    def close(rows: pa.RecordBatch, last: bool) -> tuple[list[tuple], pa.RecordBatch]:
+        change = np.zeros(max(rows.num_rows - 1, 0), bool)
+        for k in _KEY:
+            values = rows[k].to_numpy(zero_copy_only=False)
+            change |= values[1:] != values[:-1]
+        ends = np.flatnonzero(change) + 1
+        ends = np.append(ends, rows.num_rows) if last else ends
+        starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
+        out = [f for lo, hi in zip(starts.tolist(), ends.tolist(), strict=True) if hi - lo > 1 and (f := _group(rows, lo, hi, cosine, kind))]
+        return out, rows.slice(int(ends[-1]) if len(ends) else 0)
+
+    def batch(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["rep", "links", "peer"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
         for b in batches:
-            keys = list(zip(*(b[k].to_pylist() for k in _KEY), strict=True))
-            for k, *row in zip(keys, *(b[c].to_pylist() for c in ("rep", "copies", "vector", "signs", "block")), strict=True):
-                if k != key:
-                    close()
-                    key, rows = k, []
-                rows.append(row)
-            if len(out) > 500:
-                yield flush()
-        close()
-        if out:
-            yield flush()
+            out, held = close(pa.concat_batches([held, b]) if held is not None and held.num_rows else b, False)
+            if out:
+                yield batch(out)
+        if held is not None and held.num_rows:
+            out, _ = close(held, True)
+            if out:
+                yield batch(out)
 
     return run
 
@@ -139,15 +147,16 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     v = v.withColumn("usable", usable(F.col("label"), F.col("embedding")) & F.col("vec_id").isNotNull())
     points = v.where("usable").groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
     points = materialize(points.withColumn("dim", F.size("embedding")), "points")
-    largest = points.groupBy("label").count().agg(F.max("count")).first()[0] or 0  # one number
+    largest, distinct = points.groupBy("label").count().agg(F.max("count"), F.sum("count")).first()  # two numbers
+    largest, distinct = largest or 0, distinct or 0
     bits, tables = plan(largest, cosine)
     kind = np.float32 if dict(points.dtypes)["embedding"] == "array<float>" else np.float64  # as they are stored: floats lose nothing
     hashed = points.select("rep", "label", "dim", "copies", "embedding").mapInArrow(_hash(bits, tables, kind), "rep long, label long, dim int, copies long, vector binary, signs binary")
     hashed = materialize(hashed, "hashed")
-    each = F.explode(F.array(*[F.struct(F.lit(t).alias("tab"), F.hex(F.substring("signs", t * 4 + 1, 4)).alias("bucket")) for t in range(tables)]))
+    each = F.explode(F.array(*[F.struct(F.lit(t).alias("tab"), F.conv(F.hex(F.substring("signs", t * 4 + 1, 4)), 16, 10).cast("long").alias("bucket")) for t in range(tables)]))
     placed = hashed.select("rep", "label", "dim", each.alias("e")).select("rep", "label", "dim", "e.tab", "e.bucket")
     size = placed.groupBy("label", "dim", "tab", "bucket").agg(F.count("*").alias("n")).where("n > 1")
-    met = placed.join(size, ["label", "dim", "tab", "bucket"])
+    met = join_counted(placed, size, ["label", "dim", "tab", "bucket"], distinct * tables)
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     met = met.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
