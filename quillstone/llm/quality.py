@@ -179,18 +179,20 @@ def bucket_of(doc_id: F.Column, buckets: int) -> F.Column:
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Machine:
     """Fit on labelled documents outside the held-out fold (crc32(doc_id) mod 4 = 2), at most ``rows``; of equal labels of a doc_id the least counts."""
-    chosen = (
-        labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (bucket_of(F.col("doc_id"), 4) != 2))
-        .groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    )
+    usable = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (bucket_of(F.col("doc_id"), 4) != 2))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    # a threshold first, so that the tasks together pass on little more than `rows`
+    share = 2 * rows / max(usable.count(), 1)
+    usable = usable.select("doc_id", "quality").where(place < (1 << 30) * min(share, 1.0))
+    chosen = usable.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(place, "doc_id").limit(rows)
     # at most `rows` rows of two numbers: the bound of what is broadcast
     found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").toArrow()
     found = found.sort_by([("doc_id", "ascending"), ("text", "ascending")])
     return fit(found["text"].combine_chunks() if found.num_rows else pa.array([], pa.string()), found["quality"].to_numpy().astype(np.float64))
 
 
-def score_column(docs: DataFrame, machine: Machine) -> DataFrame:
-    """docs with two more columns at the end: __score (double) and __predicted (int)."""
+def score_column(docs: DataFrame, machine: Machine, score_name: str = "score") -> DataFrame:
+    """docs with one more column at the end, the score (double), under a name that docs must not have."""
     model = docs.sparkSession.sparkContext.broadcast(machine)
 
     @F.arrow_udf("double")
@@ -198,16 +200,15 @@ def score_column(docs: DataFrame, machine: Machine) -> DataFrame:
         for texts in batches:
             yield pa.array(model.value.score(texts))
 
-    out = docs.withColumn("__score", score(F.coalesce(F.col("text"), F.lit(""))))
-    return out.withColumn("__predicted", (F.col("__score") >= THRESHOLD).cast("int"))
+    return docs.withColumn(score_name, score(F.coalesce(F.col("text"), F.lit(""))))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted.
 
-    Only the text is an input of the score. Null text is scored as empty; an empty text has zero statistics and no words. Repeated
+    Only the text is an input of the score; of a document's metadata that is its length, the one that is no label, language, source or id. Null text is scored as empty; an empty text has zero statistics and no words. Repeated
     rows have equal scores; without labelled rows all scores are 0.5. Columns other than doc_id and text are not read.
     """
     held_out = F.coalesce(bucket_of(F.col("doc_id"), 4) == 2, F.lit(False))
     scored = score_column(docs.select("doc_id", "text"), train(docs, labels))
-    return scored.select("doc_id", held_out.alias("held_out"), F.col("__score").alias("score"), F.col("__predicted").alias("predicted"))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
