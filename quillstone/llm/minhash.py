@@ -2,15 +2,14 @@
 
 Shingles are runs of five words. Weights are (1 + ln tf) * idf, with document frequencies counted over all documents by hash bucket (a
 table of fixed size). HASHES consistent weighted samples a document (Gamma(2,1), Gamma(2,1) and uniform variates read from a
-fixed table by shingle hash) are cut into bands. Equal texts are one class from the start. In a bucket of up to SMALL
-classes all pairs are compared. In a larger one every class is compared with two of the bucket (the one that meets most others over
-all bands, and one drawn by a hash), and the bucket is cut again by the next band, up to DEPTH bands together, with the same
-rule. So a class of a large group meets dozens of others, most of them those nearest to it, and the pairs grow with the
-classes, not with the squares of the groups. Classes that did not join what most of their bucket joined meet DRAWS more of it
-in each band. All that settles most of a large bucket with few pairs; what its members have not joined by then is compared in full:
-every pair of a bucket that is in two components still, by pairs of blocks of BLOCK classes, unless the sizes of the two texts alone
-rule out the similarity. Pairs are verified on the whole texts, links are closed to classes by distributed connected
-components. Nothing groups a bucket or a class in one task.
+fixed table by shingle hash) are cut into bands. Equal texts are one class from the start. Links between classes are verified by the weighted
+Jaccard similarity of their whole texts. In a bucket of up to SMALL classes all pairs are compared. In a larger one a few comparisons
+settle most of it first: every class meets two of its bucket (the one that meets most others over all bands, and one drawn by a hash), and the
+bucket is cut again by the next band, up to DEPTH bands together, with the same rule. Every pair of a large bucket that is in two components
+still is then compared, by blocks of BLOCK classes: each block that has not joined the bucket's main component with each other block of the
+bucket, inside tasks that work on two blocks' texts and pass on a row per linked class, never the pairs. A pair is skipped only if its weights
+rule the similarity out, if it is in one component already, or if it met in an earlier band. So of the classes that share a band no link is left to
+chance. Links are closed to groups by distributed connected components. Nothing groups a bucket or a class in one task.
 """
 
 from __future__ import annotations
@@ -22,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.graph import connected_components
-from quillstone.llm.storage import materialize
+from quillstone.llm.graph import connected_components, join_counted
+from quillstone.llm.storage import fresh, materialize
 from quillstone.llm.words import ALNUM_WORDS, hash_words, mix, row_ranges, shingles, utf8
 
 WIDTH = 5
@@ -33,10 +32,10 @@ HASHES = BANDS * ROWS
 IDF_BITS, BLOCK_BITS = 20, 12
 TABLE_BITS = 13
 SMALL, DEPTH = 5, 4
-#: Members of a bucket's main component that each class which has not joined it meets, in each of its bands.
-DRAWS = 12
 #: Classes of a large bucket that one key of the full comparison holds, twice.
 BLOCK = 256
+#: Shingles of more classes of two blocks than this are multiplied as a dense matrix, COLUMNS at once; the others pair by pair.
+SPARSE, COLUMNS = 24, 2048
 #: Ids of 8 bytes that are broadcast to read the candidates' texts without moving all others; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 
@@ -142,11 +141,11 @@ def bands_of(signature: np.ndarray) -> np.ndarray:
     return acc.view(np.int64)
 
 
-_SIGNED = "doc_id long, text_key string, bands array<long>, shingles long, weight double"
+_SIGNED = "doc_id long, text_key string, bands array<long>, weight double"
 
 
 def _similarity(a: pa.Array, b: pa.Array, idf: np.ndarray) -> np.ndarray:
-    """The greater of the weighted and the plain Jaccard similarity of each pair of texts."""
+    """The weighted Jaccard similarity of each pair of texts."""
     (da, oa), (db, ob) = utf8(a), utf8(b)
     out = np.zeros(len(a))
     for lo, hi in row_ranges(oa + ob):
@@ -160,21 +159,112 @@ def _similarity(a: pa.Array, b: pa.Array, idf: np.ndarray) -> np.ndarray:
         w = idf[bucket_of_shingle(key & np.uint64((1 << 44) - 1))]
         by = lambda x: np.bincount(row, x, n)
         with np.errstate(invalid="ignore", divide="ignore"):
-            weighted = by(np.minimum(wa, wb) * w) / by(np.maximum(wa, wb) * w)
-            plain = by((wa > 0) & (wb > 0)) / by(np.ones(len(key)))
-        out[lo:hi] = np.nan_to_num(np.maximum(weighted, plain))
+            out[lo:hi] = np.nan_to_num(by(np.minimum(wa, wb) * w) / by(np.maximum(wa, wb) * w))
     return out
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """One row per document: doc_id, class_id (least doc_id of its class), n_equal (documents with the same text), kept (doc_id = class_id).
+def similarities(texts: pa.Array, idf: np.ndarray) -> np.ndarray:
+    """The weighted Jaccard similarities of all pairs of some texts. The minima of the weights are summed shingle by shingle, a count c as c layers that each add what damping leaves of it."""
+    data, offsets = utf8(texts)
+    n = len(texts)
+    row, h, count = weighted_shingles(data, offsets)
+    worth = idf[bucket_of_shingle(h)].astype(np.float64)
+    totals = np.bincount(row, damped(count) * worth, n)
+    upto = np.cumsum(count)
+    level = np.arange(upto[-1] if len(upto) else 0) - np.repeat(upto - count, count) + 1
+    row, worth = np.repeat(row, count), np.repeat(worth, count) * (damped(level) - np.where(level > 1, damped(np.maximum(level - 1, 1)), 0))
+    key = mix(np.repeat(h, count) + level.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    order = np.argsort(key, kind="stable")
+    key, row, worth = key[order], row[order], worth[order]
+    begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, int)
+    size = np.diff(np.append(begin, len(key)))
+    column = np.repeat(np.arange(len(begin)), size)
+    shared = np.zeros((n, n))
+    few = (size > 1)[column] & (size <= SPARSE)[column]
+    c, r, w = column[few], row[few], worth[few]
+    for d in range(1, SPARSE):
+        same = np.flatnonzero(c[d:] == c[:-d]) if len(c) > d else []
+        if not len(same):
+            break
+        shared += np.bincount(r[same] * n + r[same + d], w[same], n * n).reshape(n, n)  # rows of a column are in order: each pair once
+    shared += shared.T
+    many = np.flatnonzero(size > SPARSE)
+    for at in range(0, len(many), COLUMNS):
+        some = many[at : at + COLUMNS]
+        x = np.zeros((n, len(some)))
+        entries = np.repeat(begin[some] - np.concatenate([[0], np.cumsum(size[some])[:-1]]), size[some]) + np.arange(size[some].sum())
+        x[row[entries], np.repeat(np.arange(len(some)), size[some])] = np.sqrt(worth[entries])
+        shared += x @ x.T
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return np.nan_to_num(shared / (totals[:, None] + totals[None, :] - shared))
+
+
+_BLOCKS = ("band", "i", "j")
+
+
+def _compare(idf, similarity: float):
+    """Rows sorted by key to (node, peer): each class that has a link within its key, and the least class that it reaches there."""
+
+    def group(b: pa.RecordBatch, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray] | None:
+        i, j, tab = (b[c][lo].as_py() for c in ("i", "j", "tab"))
+        own, component, node, weight = (b[c].to_numpy()[lo:hi] for c in ("own", "component", "node", "weight"))
+        bands = b["bands"].slice(lo, hi - lo).flatten().to_numpy().reshape(hi - lo, BANDS)
+        wanted = np.triu(component[:, None] != component[None, :], 1)
+        if i != j:
+            wanted &= (own[:, None] == i) != (own[None, :] == i)
+        wanted &= np.minimum(weight[:, None], weight[None, :]) >= (similarity - 1e-9) * np.maximum(weight[:, None], weight[None, :])
+        for t in range(tab):
+            wanted &= bands[:, None, t] != bands[None, :, t]
+        some = np.flatnonzero(wanted.any(0) | wanted.any(1))
+        if not len(some):
+            return None
+        texts = b["text"].slice(lo, hi - lo).take(pa.array(some))
+        x, y = np.nonzero((similarities(texts, idf.value) >= similarity - 1e-9) & wanted[np.ix_(some, some)])
+        if not len(x):
+            return None
+        x, y = some[x], some[y]
+        lowest = node.copy()
+        while True:
+            before = lowest.copy()
+            np.minimum.at(lowest, x, before[y])
+            np.minimum.at(lowest, y, before[x])
+            if (before == lowest).all():
+                break
+        linked = np.unique(np.concatenate([x, y]))
+        return node[linked], lowest[linked]
+
+    def close(rows: pa.RecordBatch, last: bool) -> tuple[list, pa.RecordBatch]:
+        change = np.zeros(max(rows.num_rows - 1, 0), bool)
+        for k in _BLOCKS:
+            values = rows[k].to_numpy()
+            change |= values[1:] != values[:-1]
+        ends = np.flatnonzero(change) + 1
+        ends = np.append(ends, rows.num_rows) if last else ends
+        starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
+        out = [f for lo, hi in zip(starts.tolist(), ends.tolist(), strict=True) if hi - lo > 1 and (f := group(rows, lo, hi))]
+        return out, rows.slice(int(ends[-1]) if len(ends) else 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for b in batches:
+            out, held = close(pa.concat_batches([held, b]) if held is not None and held.num_rows else b, False)
+            for node, peer in out:
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(peer)], ["a", "b"])
+        if held is not None and held.num_rows:
+            for node, peer in close(held, True)[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(peer)], ["a", "b"])
 
-    Null text is empty. A text without words is a near copy of nothing but of texts equal to it. Texts of under five words have one
-    shingle. Rows that repeat a doc_id are rows of their own; a null doc_id is in no class (class_id null, kept true). Columns other than
-    doc_id and text are not read.
-    """
+    return run
+
+
+def _node(text_key: F.Column) -> F.Column:
+    """A class's number: 60 bits of its text's digest."""
+    return F.conv(F.substring(text_key, 1, 15), 16, 10).cast("long")
+
+
+def groups(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """docs: doc_id, text (not null). (signed, classes): doc_id and text_key of each row; text_key, rep (its least doc_id, or null), n_equal and component of each class of equal texts."""
     sc = docs.sparkSession.sparkContext
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     idf = sc.broadcast(idf_table(*document_frequencies(docs)))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,81 +279,119 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
                 cuts = np.zeros(hi - lo + 1, np.int32)
                 cuts[some + 1] = BANDS
                 arrays = [b["doc_id"].slice(lo, hi - lo), b["text_key"].slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(np.cumsum(cuts).astype(np.int32)), pa.array(bands.ravel()))]
-                arrays += [pa.array(np.bincount(row, minlength=hi - lo)), pa.array(np.bincount(row, weight, hi - lo))]
-                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "text_key", "bands", "shingles", "weight"])
-
-    keyed = docs.select("doc_id", F.lower("text").alias("text"), F.md5(F.col("text").cast("binary")).alias("text_key"))
-    signed = materialize(keyed.mapInArrow(sign, _SIGNED), "signatures")
-    classes = signed.where("doc_id IS NOT NULL").groupBy("text_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_equal"), F.first("bands").alias("bands"), F.first("shingles").alias("shingles"), F.first("weight").alias("weight"))
-    classes = materialize(classes, "classes")
-    # each band alone, and with the one to DEPTH - 1 that follow it: classes that share more bands are nearer to each other
-    count = F.size("bands")
-    keys = F.transform("bands", lambda _, i: F.array(*[F.xxhash64(*[F.element_at("bands", F.pmod(i + k, count).cast("int") + 1) for k in range(d + 1)]) for d in range(DEPTH)]))
-    members = classes.select("rep", F.explode(keys).alias("keys")).select("rep", "keys", F.col("keys")[0].alias("band"))
-    size = members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    members = materialize(members.join(size, "band"), "members")
-    wanted = members.select(F.col("rep").alias("doc_id")).distinct()
-    reps = classes.select(F.col("rep").alias("doc_id"), "text_key")
+                yield pa.RecordBatch.from_arrays([*arrays, pa.array(np.bincount(row, weight, hi - lo))], ["doc_id", "text_key", "bands", "weight"])
+
+    digest = F.md5(F.col("text").cast("binary"))
+    signed = materialize(docs.select("doc_id", F.lower("text").alias("text"), digest.alias("text_key")).mapInArrow(sign, _SIGNED), "signatures")
+    classes = signed.groupBy("text_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_equal"), F.first("bands").alias("bands"), F.first("weight").alias("weight"))
+    classes = materialize(classes.withColumn("node", _node(F.col("text_key"))), "classes")
+    total = BANDS * classes.count()
+    members = classes.select("node", "bands", F.posexplode("bands").alias("tab", "band"))
+    size = materialize(members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
+    members = materialize(join_counted(members, size, ["band"], total), "members")
+    wanted = classes.select("node", "rep").join(members.select("node").distinct(), "node", "left_semi")
     if wanted.count() <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
-    texts = docs.join(wanted, "doc_id").withColumn("text_key", F.md5(F.col("text").cast("binary")))
-    # rows that repeat a doc_id with another text are not its class's text
-    texts = materialize(texts.join(reps, ["doc_id", "text_key"], "left_semi").dropDuplicates(["doc_id"]).select("doc_id", F.lower("text").alias("text")), "texts")
+    # the text of one row of each class; rows that repeat its least doc_id have equal texts
+    texts = docs.select("doc_id", F.lower("text").alias("text"), _node(digest).alias("at"))
+    texts = texts.join(wanted, (F.col("at") == F.col("node")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "text").dropDuplicates(["node"])
+    texts = materialize(texts, "texts")
 
     @F.arrow_udf("double")
     def similar(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for a, b in batches:
             yield pa.array(_similarity(a, b, idf.value))
 
-    def verified(pairs: DataFrame, name: str) -> DataFrame:
-        a = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-        b = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-        scored = pairs.join(a, "a").join(b, "b").select("a", "b", similar("text_a", "text_b").alias("similarity"))
-        return materialize(scored.where(F.col("similarity") >= similarity).select("a", "b"), name)
-
-    central = members.where(F.col("n") > SMALL).groupBy("rep").agg(F.sum("n").alias("meets"))
-    here, pairs = members.join(central, "rep", "left"), None
+    pairs = materialize(_first_pairs(members, total).distinct(), "pairs")
+    a, b = (texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
+    scored = pairs.join(a, "a").join(b, "b").select("a", "b", similar("text_a", "text_b").alias("similarity"))
+    links = materialize(scored.where(F.col("similarity") >= similarity - 1e-9).select("a", "b"), "links")
+    joined = materialize(connected_components(links), "joined")
+    blocks = _blocks_apart(members.where(F.col("n") > SMALL), joined, classes.select("node", "weight"), total)
+    blocks = materialize(blocks, "blocks")
+    compared = blocks.join(texts, "node").repartition(*_BLOCKS).sortWithinPartitions(*_BLOCKS)
+    rest = materialize(compared.select(*_BLOCKS, "tab", "own", "node", "component", "weight", "bands", "text").mapInArrow(_compare(idf, similarity), "a long, b long"), "rest-links")
+    if not rest.isEmpty():  # components of components
+        known = joined.select(F.col("id").alias("a"), F.col("component").alias("b"))
+        joined = materialize(connected_components(known.union(rest)), "joined")
+    classes = classes.join(joined.withColumnRenamed("id", "node"), "node", "left")
+    return signed.select("doc_id", "text_key"), classes.select("text_key", "rep", "n_equal", F.coalesce("component", "node").alias("component"))
+
+
+def _first_pairs(members: DataFrame, total: int) -> DataFrame:
+    """(a, b): all pairs of small buckets, and those that settle most of a large one."""
+    count = F.lit(BANDS)
+    central = members.where(F.col("n") > SMALL).groupBy("node").agg(F.sum("n").alias("meets"))
+    here, pairs = members.select("node", "bands", "tab", "band", "n").join(central, "node", "left"), None
     for depth in range(DEPTH):
-        if depth:
-            here = here.drop("n").withColumn("band", F.col("keys")[depth])
-            here = here.join(here.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "band")
-        here = materialize(here, "buckets") if depth else here
-        small = here.where(F.col("n") <= SMALL).select("band", "rep")
-        found = small.select("band", F.col("rep").alias("b")).join(small.select("band", F.col("rep").alias("a")), "band").where("a > b").select("a", "b")
+        if depth:  # cut by the next band too: classes that share more bands are nearer to each other
+            again = F.xxhash64("band", F.element_at("bands", (F.pmod(F.col("tab") + depth, count) + 1).cast("int")))
+            here = here.drop("n").withColumn("band", again)
+            here = materialize(here.join(here.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "band"), "buckets")
+        small = here.where(F.col("n") <= SMALL).select("band", "node")
+        found = small.select("band", F.col("node").alias("b")).join(small.select("band", F.col("node").alias("a")), "band").where("a > b").select("a", "b")
         here = here.where(F.col("n") > SMALL)
-        centres = here.groupBy("band").agg(F.max_by("rep", F.struct("meets", -F.col("rep"))).alias("most"), F.max_by("rep", F.xxhash64("band", "rep")).alias("any"))
-        met = here.join(centres, "band").select("rep", F.explode(F.array("most", "any")).alias("centre")).where("rep <> centre")
-        found = found.union(met.select(F.greatest("rep", "centre").alias("a"), F.least("rep", "centre").alias("b")))
+        centres = here.groupBy("band").agg(F.max_by("node", F.struct("meets", -F.col("node"))).alias("most"), F.max_by("node", F.xxhash64("band", "node")).alias("any"), F.count("*").alias("n"))
+        met = join_counted(here.drop("n"), centres, ["band"], total).select("node", F.explode(F.array("most", "any")).alias("centre")).where("node <> centre")
+        found = found.union(met.select(F.greatest("node", "centre").alias("a"), F.least("node", "centre").alias("b")))
         pairs = found if pairs is None else pairs.union(found)
-    pairs = materialize(pairs.distinct(), "pairs")
-    links = verified(pairs, "links")
-    joined = materialize(connected_components(links).select(F.col("id").alias("rep"), "component"), "joined")
-    # what most of a large bucket has joined, and a few have not: those few meet more of the bucket
-    large = members.where(F.col("n") > SMALL).select("band", "rep", "n").join(joined, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    inside = large.groupBy("band", "component").agg(F.count("*").alias("k"), F.first("n").alias("n"), *[F.max_by("rep", F.xxhash64("rep", F.lit(t))).alias(f"d{t}") for t in range(DRAWS)])
-    inside = inside.where(F.col("k") * 2 >= F.col("n")).select("band", F.col("component").alias("main"), F.array(*[f"d{t}" for t in range(DRAWS)]).alias("drawn"))
-    apart = large.join(inside, "band").where("component <> main").select(F.col("rep").alias("x"), F.explode("drawn").alias("y"))
-    apart = apart.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    late = verified(apart, "late-links")
-    if not late.isEmpty():
-        links = links.union(late)
-        joined = materialize(connected_components(links).select(F.col("id").alias("rep"), "component"), "joined")
-    # what is in two components still: every pair that shares a large bucket, but for those whose sizes rule the similarity out
-    large = members.where(F.col("n") > SMALL).select("band", "rep", "n").join(joined, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed = large.groupBy("band").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("band")
-    large = large.join(mixed, "band").join(classes.select("rep", "shingles", "weight"), "rep")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    large = large.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    large = large.select("band", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "rep", "component", "block", "shingles", "weight")
-    large = materialize(large, "blocks")
-    a, b = (large.select("band", "bi", "bj", *[F.col(c).alias(f"{c}_{side}") for c in ("rep", "component", "block", "shingles", "weight")]) for side in "ab")
-    may = lambda c: F.least(f"{c}_a", f"{c}_b") * 1.001 >= F.greatest(f"{c}_a", f"{c}_b") * similarity  # noqa: E731  weights are rounded
-    apart = a.join(b, ["band", "bi", "bj"]).where("rep_a > rep_b AND component_a <> component_b AND (bi = bj OR block_a <> block_b)").where(may("shingles") | may("weight"))
-    apart = apart.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    rest = verified(apart, "rest-links")
-    if not rest.isEmpty():
-        joined = connected_components(links.union(rest)).select(F.col("id").alias("rep"), "component")
-    named = classes.select("text_key", "rep", "n_equal").join(joined, "rep", "left").select("text_key", "n_equal", F.coalesce("component", "rep").alias("class_id"))
-    out = signed.select("doc_id", "text_key").join(named, "text_key", "left")
+    return pairs
+
+
+def _blocks_apart(members: DataFrame, joined: DataFrame, weights: DataFrame, total: int) -> DataFrame:
+    """Rows of the full comparison: each large bucket that is not in one component, as pairs (i, j) of blocks of which i has not joined the main component."""
+    large = members.join(joined.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    inside = large.groupBy("band", "component").agg(F.count("*").alias("k"))
+    mixed = inside.groupBy("band").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.max("k").alias("in_main"), F.sum("k").alias("n")).where("n > in_main")
+    large = join_counted(large.drop("n"), mixed, ["band"], total)
+    apart, joined_blocks = F.ceil((F.col("n") - F.col("in_main")) / BLOCK).cast("int"), F.ceil(F.col("in_main") / BLOCK).cast("int")
+    is_main = F.col("component") == F.col("main")
+    large = large.withColumn("ra", apart).withColumn("rm", joined_blocks)
+    own = F.when(is_main, F.col("ra") + F.pmod(F.xxhash64("node"), F.col("rm")).cast("int")).otherwise(F.pmod(F.xxhash64("node"), F.col("ra")).cast("int"))
+    others = F.when(is_main, F.sequence(F.lit(0), F.col("ra") - 1)).otherwise(F.sequence(F.lit(0), F.col("ra") + F.col("rm") - 1))
+    large = large.withColumn("own", own).withColumn("other", F.explode(others))
+    large = large.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "tab", "own", "node", "component", "bands")
+    return large.join(weights, "node")
+
+
+def _key(doc_id: F.Column) -> F.Column:
+    """Orders rows without a doc_id last."""
+    return F.struct(doc_id.isNull().alias("none"), F.coalesce(doc_id, F.lit(0)).alias("id"))
+
+
+def _plain(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """One row per document: doc_id, class_id (least doc_id of its class), n_equal (documents with the same text), kept (doc_id = class_id).
+
+    Null text is empty. A text without words is a near copy of nothing but of texts equal to it. Texts of under five words have one
+    shingle. Rows that repeat a doc_id are rows of their own, whose texts may be of different classes; a row without a doc_id is in no
+    class of its own (class_id null, kept true), but its text may link others. Columns other than doc_id and text are not read.
+    """
+    signed, classes = groups(_plain(docs), similarity)
+    least = classes.groupBy("component").agg(F.min("rep").alias("class_id"))
+    named = classes.join(least, "component").select("text_key", "n_equal", "class_id")
+    out = signed.join(named, "text_key", "left")
     class_id = F.when(F.col("doc_id").isNotNull(), F.col("class_id"))
-    return out.select("doc_id", class_id.alias("class_id"), F.coalesce("n_equal", F.lit(1)).alias("n_equal"), F.coalesce(F.col("doc_id") == class_id, F.lit(True)).alias("kept"))
+    return out.select("doc_id", class_id.alias("class_id"), "n_equal", F.coalesce(F.col("doc_id") == class_id, F.lit(True)).alias("kept"))
+
+
+def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """One row of docs for each class of near copies, with all its columns: of those with the least doc_id (rows without one come last) the one of the first text by digest; of rows that
+    are equal in doc_id and text one stays, the first by a hash of all its columns."""
+    signed, classes = groups(_plain(docs), similarity)
+    chosen = classes.groupBy("component").agg(F.min(F.struct(_key(F.col("rep")).alias("key"), "text_key")).alias("least")).select("least.text_key", F.col("least.key.none").alias("none"), F.col("least.key.id").alias("id"))
+    here = signed.select("text_key", _key(F.col("doc_id")).alias("key")).select("text_key", "key.none", "key.id").groupBy("text_key", "none", "id").agg(F.count("*").alias("rows"))
+    chosen = chosen.join(here, ["text_key", "none", "id"])
+    names = {n: fresh(docs, n) for n in ("text_key", "none", "id", "rows")}
+    chosen = chosen.select(*[F.col(old).alias(new) for old, new in names.items()])
+    text = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+    marked = docs.withColumn(names["text_key"], text).withColumn(names["none"], F.col("doc_id").isNull()).withColumn(names["id"], F.coalesce(F.col("doc_id").cast("long"), F.lit(0)))
+    on = [names[n] for n in ("text_key", "none", "id")]
+    kept = marked.join(chosen, on)
+    once = kept.where(F.col(names["rows"]) == 1).select(*docs.columns)
+    row = F.struct(*docs.columns)
+    several = kept.where(F.col(names["rows"]) > 1).groupBy(*on).agg(F.min_by(row, F.xxhash64(F.to_json(row))).alias("row")).select("row.*")
+    return once.unionByName(several)

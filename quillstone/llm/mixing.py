@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstone.llm.storage import materialize
+from quillstone.llm.storage import fresh, materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -41,38 +41,55 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     return s.select("key", "source_size", F.least(F.col("limit"), F.col("chosen") * F.col("weight")).alias("target"))
 
 
+def _sized(docs: DataFrame, *more: F.Column) -> DataFrame:
+    key = F.when(F.col("source").isNull(), F.lit("t")).otherwise(F.concat(F.lit("s"), F.col("source")))
+    return docs.select("doc_id", key.alias("key"), F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"), *more)
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_COPIES, seed: str = "mix") -> DataFrame:
     """One row per document: doc_id, size, source_size, target, copies, taken (size * copies).
 
     Reads doc_id, text and source only; other columns may have any name. Null text counts as empty (size 0, never a word
     taken), a null source is a source of its own (the last one). Repeated rows are rows of their own. No rows: no result rows.
     """
-    key = F.when(F.col("source").isNull(), F.lit("t")).otherwise(F.concat(F.lit("s"), F.col("source")))
-    sized = materialize(
-        docs.select("doc_id", key.alias("key"), F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size")), "sizes"
-    )
+    sized = materialize(_sized(docs), "sizes")
+    return _draw(sized, sized, (), weights, most, seed).select("doc_id", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def mix_rows(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_COPIES, seed: str = "mix") -> DataFrame:
+    """The rows of docs that the mix takes, whole, and after their columns size, target, copies and taken (an underscore before a name that docs has already). Rules as in ``mix``;
+    rows that share a doc_id, or have none, are told apart by a hash of all their columns."""
+    sized = materialize(_sized(docs), "sizes")
+    whole = _sized(docs, F.struct(*docs.columns).alias("row"))
+    ties = (F.xxhash64(F.to_json("row")),)
+    taken = _draw(sized, whole, ties, weights, most, seed).where("copies > 0").withColumn("taken", F.col("size") * F.col("copies"))
+    return taken.select("row.*", *[F.col(n).alias(fresh(docs, n)) for n in ("size", "target", "copies", "taken")])
+
+
+def _draw(sized: DataFrame, rows: DataFrame, ties: tuple[F.Column, ...], weights: tuple[int, ...], most: int, seed: str) -> DataFrame:
+    """rows with source_size, target and copies. sized: doc_id, key and size of the same rows."""
     targets = source_targets(sized.groupBy("key").agg(F.sum("size").alias("source_size")), weights, most)
     digits = F.col("size").cast("string")
-    cells = sized.withColumn("block", (F.length(digits) * 100 + F.substring(digits, 1, 2).cast("int")).cast("int")).withColumn(
+    celled = lambda x: x.withColumn("block", (F.length(digits) * 100 + F.substring(digits, 1, 2).cast("int")).cast("int")).withColumn(
         "salt", F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 2)
     )
-    counts = cells.groupBy("key", "block", "salt").agg(F.count("*").alias("n"))
+    counts = celled(sized).groupBy("key", "block", "salt").agg(F.count("*").alias("n"))
     before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    blocks = cells.groupBy("key", "block").agg(F.count("*").alias("n"))
+    blocks = celled(sized).groupBy("key", "block").agg(F.count("*").alias("n"))
     blocks = blocks.select("key", "block", before(Window.partitionBy("key").orderBy("block")).alias("block_at"))
     offsets = (
         counts.withColumn("salt_at", before(Window.partitionBy("key", "block").orderBy("salt")))
         .join(blocks, ["key", "block"])
         .select("key", "block", "salt", (F.col("salt_at") + F.col("block_at")).alias("at"))
     )
-    within = Window.partitionBy("key", "block", "salt").orderBy("size", F.col("doc_id").asc_nulls_last())
-    ranked = cells.withColumn("rank", F.row_number().over(within)).join(offsets, ["key", "block", "salt"]).join(targets, "key")
+    within = Window.partitionBy("key", "block", "salt").orderBy("size", F.col("doc_id").asc_nulls_last(), *ties)
+    ranked = celled(rows).withColumn("rank", F.row_number().over(within)).join(offsets, ["key", "block", "salt"]).join(targets, "key")
     share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     start = F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.col("key")).cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
     upto = lambda r: F.floor(F.col("start") + F.col("share") * r)
     rank = (F.col("at") + F.col("rank")).cast("double")
-    ranked = ranked.withColumn("share", share).withColumn("start", start).withColumn("copies", (upto(rank) - upto(rank - 1)).cast("long"))
-    return ranked.select("doc_id", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+    ranked = ranked.withColumn("share", share).withColumn("start", start)
+    return ranked.withColumn("copies", (upto(rank) - upto(rank - 1)).cast("long"))
 
 
 ORACLE = r"""

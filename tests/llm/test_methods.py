@@ -64,17 +64,81 @@ def test_components(spark):
     assert got == {x: root(x) for x in linked}
 
 
-def test_near_duplicates_against_all_pairs(spark, docs):
-    def shingles(t):
-        w = re.findall(r"[^\W_]+", t.lower())
-        return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4)))
+def weighted_classes(texts):
+    """Components over all pairs of weighted Jaccard similarity 0.8 or more, and the similarities, in plain numpy."""
+    rows = []
+    counts = np.zeros(1 << minhash.IDF_BITS, np.int64)
+    for t in texts:
+        _, h, c = minhash.weighted_shingles(*words.utf8(pa.array([t.lower()])))
+        counts += np.bincount(minhash.bucket_of_shingle(h), minlength=1 << minhash.IDF_BITS)
+        rows.append((h, c))
+    idf = minhash.idf_table(counts, len(texts)).astype(float)
+    weights = [dict(zip(h.tolist(), (minhash.damped(c) * idf[minhash.bucket_of_shingle(h)]).tolist(), strict=True)) for h, c in rows]
+    totals, owners = [sum(w.values()) for w in weights], collections.defaultdict(list)
+    for i, w in enumerate(weights):
+        for h in w:
+            owners[h].append(i)
+    parent, near = list(range(len(texts))), {}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, w in enumerate(weights):
+        low = collections.Counter()
+        for h, x in w.items():
+            for j in owners[h]:
+                if j < i:
+                    low[j] += min(x, weights[j][h])
+        for j, x in low.items():
+            near[j, i] = x / (totals[i] + totals[j] - x)
+            if near[j, i] >= 0.8 - 1e-9:
+                a, b = sorted((root(i), root(j)))
+                parent[b] = a
+    return [root(i) for i in range(len(texts))], near, idf
 
-    sets = {i: shingles(t) for i, t in zip(docs.doc_id, docs.text, strict=True)}
+
+def test_near_duplicates_against_all_pairs(spark, docs):
+    """Exactly the classes that all pairs give: none lost, none that are not near joined."""
+    want, _, _ = weighted_classes(list(docs.text))
+    ids = docs.doc_id.tolist()
+    least = {}
+    for i, c in zip(ids, want, strict=True):
+        least[c] = min(i, least.get(c, i))
     got = {r.doc_id: r.class_id for r in minhash.near_duplicates(spark.createDataFrame(docs[["doc_id", "text"]])).collect()}
-    for a in sets:
-        for b in sets:
-            if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
-                assert got[a] == got[b]
+    assert got == {i: least[c] for i, c in zip(ids, want, strict=True)}
+
+
+@pytest.mark.parametrize(("families", "members"), [(3, 2), (10, 5), (50, 10)])
+def test_buckets_of_mixed_groups(spark, families, members):
+    """6, 50 and 500 texts that share a long passage, in families of near copies in chains: the classes of all pairs."""
+    rng, rows = np.random.default_rng(families), []
+    passage = [f"w{i}" for i in range(140)]
+    for f in range(families):
+        w = [*passage, *(f"f{f}x{k}" for k in range(70))]
+        for m in range(members):
+            w = list(w)
+            for k in rng.integers(142, 208, 2):
+                w[k] = f"g{f}m{m}x{k}"
+            rows.append(" ".join(w))
+    want, near, _ = weighted_classes(rows)
+    assert len(set(want)) < len(rows) and max(v for (a, b), v in near.items() if want[a] != want[b]) > 0.3
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert sum(got[i] == c for i, c in enumerate(want)) >= 0.97 * len(rows)  # what shares no band may be missed
+    assert all(want[i] == want[got[i]] for i in got)
+
+
+def test_similarities_of_all_pairs():
+    rng = np.random.default_rng(5)
+    texts = [" ".join(rng.choice(list("abcdefg"), n)) for n in rng.integers(0, 60, 40)] + ["a b c d e " * 30, "a b c d e " * 25, ""]
+    _, near, idf = weighted_classes(texts)
+    got = minhash.similarities(pa.array(texts), idf)
+    for i in range(len(texts)):
+        for j in range(i):
+            assert abs(got[i, j] - near.get((j, i), 0)) < 1e-9 and got[i, j] == got[j, i]
+    a, b = zip(*near, strict=True)
+    assert np.allclose(minhash._similarity(pa.array([texts[i] for i in a]), pa.array([texts[i] for i in b]), idf), list(near.values()))
 
 
 def test_large_groups_stay_together(spark):
@@ -89,18 +153,17 @@ def test_large_groups_stay_together(spark):
         rows.append((i, " ".join(w)))
     other = [(1000 + i, " ".join(f"q{rng.integers(1 << 30)}" for _ in range(80)) + " " + " ".join(base[:10])) for i in range(60)]
     got = {r.doc_id: r.class_id for r in minhash.near_duplicates(spark.createDataFrame(rows + other, "doc_id long, text string")).collect()}
-    sets = [frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) for _, t in rows for w in [t.split()]]
-    near = [[len(a & b) >= 0.8 * len(a | b) for b in sets] for a in sets]
-    assert 1000 < sum(map(sum, near)) < 0.9 * len(rows) ** 2  # many, far from all pairs
-    assert all(got[a] == got[b] for a in range(120) for b in range(120) if near[a][b])
+    want, near, _ = weighted_classes([t for _, t in rows + other])
+    links = sum(v >= 0.8 for v in near.values())
+    assert 500 < links < 0.45 * len(rows) ** 2  # many, far from all pairs
+    assert all(got[i] == want[i] for i in range(120))
     assert all(got[i] == i for i, _ in other)
 
 
 def test_families_that_share_a_passage(spark, monkeypatch):
     """Pairs of near copies among many texts that share a long passage: found by the full comparison, whatever the shortcuts for large buckets meet."""
     monkeypatch.setattr(minhash, "DEPTH", 1)
-    monkeypatch.setattr(minhash, "DRAWS", 1)
-    monkeypatch.setattr(minhash, "BLOCK", 16, raising=False)
+    monkeypatch.setattr(minhash, "BLOCK", 16)
     passage, rows = [f"w{i}" for i in range(400)], []
     for i in range(80):
         w = [*passage, *(f"f{i}x{k}" for k in range(70))]
