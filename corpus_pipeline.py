@@ -10,36 +10,52 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.llm import decontaminate, minhash, mixing, pii, quality
-from quillstone.llm.storage import materialize, table
+from quillstone.llm.storage import fresh, materialize, table
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the factorisation machine does not reject."""
+    """Rows that the factorisation machine does not reject: score of THRESHOLD or more.
+
+    Null and empty texts have a score like any other. Repeated rows share their fate. Without labels all scores are 0.5 and nothing
+    stays; no rows give none. Columns of docs may have any name.
+    """
+    score = fresh(docs, "score")
     machine = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.score_column(docs, machine).where("__predicted = 1").select(*docs.columns)
+    return quality.score_column(docs, machine, score).where(F.col(score) >= quality.THRESHOLD).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class, that with the least doc_id; rows without a doc_id stay."""
-    kept = minhash.near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    named = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
+    """One row of each class of near copies, that with the least doc_id; rows without a doc_id come last.
+
+    Null and empty texts are one class. Rows that repeat a doc_id are classed by their own texts: each stays if its text is not near to another that stays; of equal rows one stays.
+    No rows give none. Columns of docs may have any name.
+    """
+    return minhash.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no item of the benchmark."""
-    return decontaminate.with_leaks(docs, table(spark, sf_dir, "benchmark")).where("__leaks = 0").select(*docs.columns)
+    """Rows whose text holds no item of the benchmark.
+
+    Null and empty texts hold none, repeated rows share their fate, a benchmark without rows drops nothing. Columns of docs may have any name.
+    """
+    leaks = fresh(docs, "leaks")
+    return decontaminate.with_leaks(docs, table(spark, sf_dir, "benchmark"), leaks).where(F.col(leaks) == 0).select(*docs.columns)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, personal data in their texts replaced by its kind in angle brackets, n_chars that of the new text.
+
+    Null texts stay null, empty ones empty; repeated rows are changed alike. Other columns stay as they are, whatever their names.
+    """
     return pii.redact(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, with how often (copies) and the words taken."""
-    mixed = mixing.mix(docs).where("copies > 0").select(F.col("doc_id").alias("__id"), "size", "target", "copies", "taken")
-    mixed = mixed.groupBy("__id").agg(F.first("size").alias("size"), F.first("target").alias("target"), F.sum("copies").alias("copies"), F.sum("taken").alias("taken"))
-    return docs.join(mixed, docs["doc_id"].eqNullSafe(mixed["__id"])).drop("__id")
+    """The rows that the mix takes, with size, target, copies and taken after their columns (an underscore before a name that docs has already).
+
+    Null and empty texts have size 0; a null source is a source of its own. Rows that share a doc_id, or have none, are drawn one by one. No rows give none.
+    """
+    return mixing.mix_rows(docs)
 
 
 STAGES = [
@@ -50,7 +66,7 @@ STAGES = [
     ("mixing", mix_sources),
 ]
 
-#: SQL expresses none of the first four stages; the tests hold the pipeline against a version that works by brute force.
+#: SQL expresses none of the first four stages; tests/llm/test_pipeline.py holds run() against a version that works by brute force.
 ORACLE_SQL = None
 
 
