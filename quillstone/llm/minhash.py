@@ -31,6 +31,8 @@ BANDS, ROWS = 14, 4
 HASHES = BANDS * ROWS
 IDF_BITS, BLOCK_BITS = 20, 12
 TABLE_BITS = 13
+#: How much more the rarest shingle weighs than the most frequent one.
+SPAN = 0.25
 SMALL, DEPTH = 5, 4
 #: Classes of a large bucket that one key of the full comparison holds, twice.
 BLOCK = 256
@@ -99,8 +101,9 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def idf_table(counts: np.ndarray, total: int) -> np.ndarray:
-    """1 + ln((N + 1) / (df + 1)) / ln(N + 2), from 1 to 2: rare shingles weigh more, and a large group of near copies, whose shingles are frequent, still passes."""
-    return (1 + np.log((total + 1) / (counts + 1.0)) / np.log(total + 2)).clip(1, 2).astype(np.float32)
+    """1 + SPAN ln((N + 1) / (df + 1)) / ln(N + 2), from 1 to 1 + SPAN: rare shingles weigh more. The span is small, since in a large group of near copies what they share is frequent
+    and what sets them apart is rare: a wide one would take their similarity far below what the texts have in common."""
+    return (1 + SPAN * np.log((total + 1) / (counts + 1.0)) / np.log(total + 2)).clip(1, 1 + SPAN).astype(np.float32)
 
 
 class Sampler:

@@ -148,14 +148,14 @@ def test_large_groups_stay_together(spark):
     rows = []
     for i in range(120):
         w = list(base)
-        for j in rng.integers(0, 150, 2):
+        for j in rng.integers(0, 150, 1 + i % 2):
             w[j] = f"z{rng.integers(1 << 30)}"
         rows.append((i, " ".join(w)))
     other = [(1000 + i, " ".join(f"q{rng.integers(1 << 30)}" for _ in range(80)) + " " + " ".join(base[:10])) for i in range(60)]
     got = {r.doc_id: r.class_id for r in minhash.near_duplicates(spark.createDataFrame(rows + other, "doc_id long, text string")).collect()}
     want, near, _ = weighted_classes([t for _, t in rows + other])
     links = sum(v >= 0.8 for v in near.values())
-    assert 500 < links < 0.45 * len(rows) ** 2  # many, far from all pairs
+    assert 300 < links < 0.45 * len(rows) ** 2  # many, far from all pairs
     assert all(got[i] == want[i] for i in range(120))
     assert all(got[i] == i for i, _ in other)
 
