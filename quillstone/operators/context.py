@@ -28,9 +28,11 @@ def budget(hits: DataFrame, titles: int = MOST_TITLES, chars: int = MOST_CHARS)
         return hits
     title = F.coalesce("page_title", F.lit("Unknown Page"))
     h = hits.withColumn("page_title", title).withColumn("text", F.coalesce("text", F.lit("")))
+    # titles are ranked before any text is gathered
+    first = h.groupBy("query_id", "page_title").agg(F.min("rank").alias("first"))
+    first = first.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("first"))).where(F.col("n") <= titles)
+    h = h.join(first.select("query_id", "page_title"), ["query_id", "page_title"], "left_semi")
     per = h.groupBy("query_id", "page_title").agg(F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("parts"))
-    first = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("parts")[0]["rank"]))
-    per = per.withColumn("n", first).where(F.col("n") <= titles)
     head = lambda p: F.concat(F.substring(p["text"], 1, LEAST_CHARS), F.lit(TRUNCATED))
     kept = lambda rank, text: F.array(F.struct(rank.alias("rank"), text.alias("text")))
 

@@ -1,4 +1,4 @@
-"""Job states folded from their events. A job has few events, so a fold over its sorted array is the whole state machine; the stream form is in streaming."""
+"""Job states folded from their events. Events are folded by blocks, then the blocks of a job; the stream form is in streaming."""
 
 from __future__ import annotations
 
@@ -23,16 +23,39 @@ def next_state(state: Column, event: Column) -> Column:
     return out.otherwise(state)
 
 
-def job_states(events: DataFrame) -> DataFrame:
-    """events (job_id, seq, event, stage): (job_id, status, current_stage, stages_completed). A stage event counts while RUNNING; the stage before it is completed, once."""
-    start = F.struct(F.lit("PENDING").alias("status"), F.lit(None).cast("string").alias("stage"), F.array().cast("array<string>").alias("done"))
+#: Events whose seq has the same quotient by this are folded together first, so that all events of a job never meet in one place.
+BLOCK = 1000
+
+
+def job_states(events: DataFrame, block: int = BLOCK) -> DataFrame:
+    """events (job_id, seq, event, stage): (job_id, status, current_stage, stages_completed). A stage event counts while RUNNING; the stage before it is completed, once.
+
+    A block of events is folded from every state that a job may have before it: the state after it, the stages that it completes, and its last one. The blocks of a job are then
+    folded in turn.
+    """
+    none = F.array().cast("array<string>")
 
     def step(acc: Column, e: Column) -> Column:
         advance = (e["event"] == "stage") & (acc["status"] == "RUNNING")
         done = F.when(advance & acc["stage"].isNotNull(), F.array_union(acc["done"], F.array(acc["stage"]))).otherwise(acc["done"])
-        return F.struct(next_state(acc["status"], e["event"]).alias("status"), F.when(advance, e["stage"]).otherwise(acc["stage"]).alias("stage"), done.alias("done"))
+        first = F.when(advance & acc["first"].isNull(), e["stage"]).otherwise(acc["first"])
+        return F.struct(next_state(acc["status"], e["event"]).alias("status"), F.when(advance, e["stage"]).otherwise(acc["stage"]).alias("stage"), done.alias("done"), first.alias("first"))
+
+    unknown = F.lit(None).cast("string")
+    each = events.groupBy("job_id", F.floor(F.col("seq") / block).alias("block")).agg(F.array_sort(F.collect_list(F.struct("seq", "event", "stage"))).alias("es"))
+    start = lambda s: F.struct(s.alias("status"), unknown.alias("stage"), none.alias("done"), unknown.alias("first"))
+    each = each.select("job_id", "block", *[F.aggregate("es", start(F.lit(s)), step).alias(s) for s in STATES])
+    job = F.struct(F.lit("PENDING").alias("status"), unknown.alias("stage"), none.alias("done"))
+
+    def add(acc: Column, b: Column) -> Column:
+        out = F.when(F.lit(False), b[STATES[0]])
+        for s in STATES:
+            out = out.when(acc["status"] == s, b[s])
+        before = F.when(out["first"].isNotNull() & acc["stage"].isNotNull(), F.array(acc["stage"])).otherwise(none)
+        done = F.array_union(F.array_union(acc["done"], before), out["done"])
+        return F.struct(out["status"].alias("status"), F.coalesce(out["stage"], acc["stage"]).alias("stage"), done.alias("done"))
 
-    folded = events.groupBy("job_id").agg(F.aggregate(F.array_sort(F.collect_list(F.struct("seq", "event", "stage"))), start, step).alias("s"))
+    folded = each.groupBy("job_id").agg(F.aggregate(F.array_sort(F.collect_list(F.struct("block", *STATES))), job, add).alias("s"))
     return folded.select("job_id", F.col("s.status").alias("status"), F.col("s.stage").alias("current_stage"), F.col("s.done").alias("stages_completed"))
 
 

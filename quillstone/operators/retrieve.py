@@ -1,7 +1,7 @@
 """Vector retrieval over batches of queries.
 
-The chunk table is scanned once: each Arrow batch is multiplied with the block of query vectors and only its best rows a query
-leave the task, so what is shuffled is queries x k x tasks, whatever the table holds. Everything after the recall works on
+The chunk table is scanned once for each block of query vectors: every Arrow batch is multiplied with the block, and a task passes on only its best
+k rows a query, so what is shuffled is queries x k x tasks, whatever the table holds. Everything after the recall works on
 those few rows; payload columns are fetched for them at the end.
 """
 
@@ -16,58 +16,99 @@ from pyspark.sql import functions as F
 
 from quillstone.functions.filters import compile_filters, matching
 from quillstone.functions.text import truncate
+from quillstone.sources.shared import materialize
 
 FETCH_FACTOR, FETCH_LEAST = 5, 50
 PER_DOCUMENT, BOOST = 3, 0.1
 RERANKED, RERANK_BATCH, RERANK_TOP, RERANK_CHARS = 100, 100, 30, 4096
 HYBRID_M, HYBRID_L = 4, 2
-#: Queries that one scan compares at once; more are searched for in blocks, a scan each.
-QUERY_BLOCK = 4096
+#: Query vectors that one scan compares, in bytes; more are searched for in blocks, a scan each.
+BLOCK_BYTES = 64 << 20
 
 
 def fetch_k(top_k: int) -> int:
     return max(top_k * FETCH_FACTOR, FETCH_LEAST)
 
 
-def cosine_recall(queries: DataFrame, chunks: DataFrame, k: int, where: Column | None = None) -> DataFrame:
-    """queries (query_id, query_vector) x chunks (chunk_id, embedding): (query_id, chunk_id, _score, rank), the k best a query, ties by chunk_id.
+def _best(found: pa.Table, k: int) -> pa.Table:
+    """The k best rows (n, chunk_id, _score) of each n, ties by chunk_id."""
+    found = found.sort_by([("n", "ascending"), ("_score", "descending"), ("chunk_id", "ascending")])
+    n = found["n"].to_numpy()
+    first = np.searchsorted(n, n)
+    return found.filter(pa.array(np.arange(len(n)) - first < k))
 
-    The predicate is applied before the ranking. Zero or null vectors have no score and are not recalled.
-    """
-    spark = chunks.sparkSession
-    id_type = dict(queries.dtypes)["query_id"]
-    rows = queries.select("query_id", "query_vector").where("query_vector IS NOT NULL").limit(QUERY_BLOCK + 1).collect()
-    if len(rows) > QUERY_BLOCK:
-        raise ValueError(f"at most {QUERY_BLOCK} queries a call; split them into blocks")
-    ids = [r.query_id for r in rows]
-    vectors = np.array([r.query_vector for r in rows], np.float64).reshape(len(rows), -1)
-    with np.errstate(invalid="ignore", divide="ignore"):
-        vectors = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
-    shared = spark.sparkContext.broadcast(vectors)
+
+def _recall(k: int, block):
+    """Arrow batches of (chunk_id, embedding) to a task's k best of each query. block: vectors by length, with the numbers of their queries."""
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q = shared.value
+        held, least = None, {length: np.full(len(q), -np.inf) for length, (_, q) in block.value.items()}
         for b in batches:
-            if not b.num_rows or not len(q):
+            if not b.num_rows:
                 continue
-            x = b["embedding"].flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
-            with np.errstate(invalid="ignore", divide="ignore"):
-                scores = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ q.T
-            scores = np.where(np.isnan(scores), -np.inf, scores)
-            if k < b.num_rows:  # all ties of the k-th stay, for the order by chunk_id
-                cut = -np.partition(-scores, k - 1, axis=0)[k - 1]
-                keep = (scores >= cut) & np.isfinite(scores)
-            else:
-                keep = np.isfinite(scores)
-            at, n = np.nonzero(keep)
-            yield pa.RecordBatch.from_arrays([pa.array(n.astype(np.int32)), b["chunk_id"].take(pa.array(at)), pa.array(scores[at, n])], ["n", "chunk_id", "_score"])
+            lengths, parts = b["embedding"].value_lengths().to_numpy(), [] if held is None else [held]
+            for length in np.unique(lengths).tolist():
+                if length not in block.value:  # vectors of a length that no query has
+                    continue
+                numbers, q = block.value[length]
+                rows = b.filter(pa.array(lengths == length)) if (lengths != length).any() else b
+                x = rows["embedding"].flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(rows.num_rows, length)
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    scores = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ q.T
+                scores = np.where(np.isnan(scores), -np.inf, scores)
+                cut = least[length]
+                if k < rows.num_rows:  # all ties of the k-th stay, for the order by chunk_id
+                    cut = np.maximum(cut, -np.partition(-scores, k - 1, axis=0)[k - 1])
+                at, n = np.nonzero((scores >= cut) & np.isfinite(scores))
+                if len(at):
+                    parts.append(pa.table([pa.array(numbers[n]), rows["chunk_id"].take(pa.array(at)), pa.array(scores[at, n])], ["n", "chunk_id", "_score"]))
+            if len(parts) > (held is not None):
+                held = _best(pa.concat_tables(parts), k).combine_chunks()
+                n, score = held["n"].to_numpy(), held["_score"].to_numpy()
+                last = np.searchsorted(n, n, "right") - np.searchsorted(n, n) == k  # those of queries that have their k
+                worst = dict(zip(n[last].tolist(), score[last].tolist(), strict=True))  # the last of a query is its least
+                for length, (numbers, _) in block.value.items():
+                    least[length] = np.array([worst.get(x, -np.inf) for x in numbers.tolist()])
+        if held is not None:
+            yield from held.to_batches()
+
+    return best
+
+
+def cosine_recall(queries: DataFrame, chunks: DataFrame, k: int, where: Column | None = None) -> DataFrame:
+    """queries (query_id, query_vector) x chunks (chunk_id, embedding): (query_id, chunk_id, _score, rank), the k best a query, ties by chunk_id.
 
+    The predicate is applied before the ranking. Zero or null vectors, and those of another length than the query's, have no score and are not
+    recalled. query_ids are distinct; a query is compared with all chunks. Queries beyond BLOCK_BYTES are searched for in blocks, whose results are written as they come.
+    """
+    spark = chunks.sparkSession
+    types = dict(queries.dtypes) | {"chunk_id": dict(chunks.dtypes)["chunk_id"]}
+    queries = queries.select("query_id", "query_vector").where("query_vector IS NOT NULL")
+    size = queries.agg(F.count("*"), F.sum(F.size("query_vector")), F.max(F.size("query_vector"))).first()  # three numbers
+    blocks = max(1, -(-2 * (size[0] or 0) * (size[2] or 0) * 8 // BLOCK_BYTES))
     vectors_of = matching(chunks, where).where("embedding IS NOT NULL").select("chunk_id", "embedding")
-    found = vectors_of.mapInArrow(best, f"n int, chunk_id {dict(vectors_of.dtypes)['chunk_id']}, _score double")
-    order = Window.partitionBy("n").orderBy(F.col("_score").desc(), "chunk_id")
-    found = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    named = spark.createDataFrame(list(enumerate(ids)), f"n int, query_id {id_type}") if ids else spark.createDataFrame([], f"n int, query_id {id_type}")
-    return found.join(F.broadcast(named), "n").select("query_id", "chunk_id", "_score", "rank")  # at most QUERY_BLOCK rows
+    out = None
+    for i in range(blocks):  # about half of BLOCK_BYTES each
+        rows = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
+        rows = rows.toArrow()
+        lengths, by_length = np.array([len(v) for v in rows["query_vector"]], np.int64), {}
+        for length in np.unique(lengths).tolist():
+            at = np.flatnonzero(lengths == length)
+            q = rows["query_vector"].take(pa.array(at)).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), length)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                by_length[length] = at, q / np.linalg.norm(q, axis=1, keepdims=True)
+        shared = spark.sparkContext.broadcast(by_length)
+        found = vectors_of.mapInArrow(_recall(k, shared), f"n long, chunk_id {types['chunk_id']}, _score double")
+        order = Window.partitionBy("n").orderBy(F.col("_score").desc(), "chunk_id")
+        found = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        ids = rows["query_id"].to_pylist()
+        named = spark.createDataFrame(list(enumerate(ids)), f"n long, query_id {types['query_id']}")
+        found = found.join(F.broadcast(named), "n").select("query_id", "chunk_id", "_score", "rank")  # a block's ids
+        if blocks > 1:
+            found = materialize(found, "recall")
+            shared.unpersist()
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def _reasons(filters: list[dict] | None) -> Column:
@@ -108,20 +149,29 @@ def lexical_score(question: Column, text: Column) -> Column:
     return F.when(F.size(asked) == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(asked, words(text))) / F.size(asked))
 
 
+def _scored(hits: DataFrame, top_n: int, scorer: Callable[[Column, Column], Column], batch: int) -> DataFrame:
+    """hits with new_rank (null for those that re-ranking leaves out) and new_score."""
+    inside = F.col("rank") <= RERANKED
+    h = hits.withColumn("relevance", F.when(inside, scorer(F.col("question"), truncate(F.col("text"), RERANK_CHARS))))
+    h = h.withColumn("scored", F.max("relevance").over(Window.partitionBy("query_id")).isNotNull())
+    able = inside & (F.col("relevance").isNotNull() | ~F.col("scored"))
+    h = h.withColumn("able", able).withColumn("key", F.when(F.col("scored"), F.col("relevance")).otherwise(-F.col("rank").cast("double")))
+    position = lambda *by: F.row_number().over(Window.partitionBy("query_id", *by).orderBy(F.col("key").desc_nulls_last(), "rank"))
+    h = h.withColumn("in_batch", position("able", F.floor((F.col("rank") - 1) / batch)))
+    h = h.withColumn("able", F.col("able") & (~F.col("scored") | (F.col("in_batch") <= top_n)))
+    h = h.withColumn("place", position("able"))
+    kept = F.col("able") & (F.col("place") <= top_n)
+    h = h.withColumn("new_rank", F.when(kept, F.col("place"))).withColumn("new_score", F.when(kept & F.col("scored"), F.col("relevance")).otherwise(F.col("_score")))
+    return h.drop("relevance", "scored", "able", "key", "in_batch", "place")
+
+
 def rerank(hits: DataFrame, top_n: int = RERANK_TOP, scorer: Callable[[Column, Column], Column] = lexical_score, batch: int = RERANK_BATCH) -> DataFrame:
     """hits (query_id, question, text, _score, rank, ...): the best top_n of the first RERANKED by the scorer; where it gives no score at all, the first top_n in order.
 
     Candidates go to the scorer in batches; each batch yields at most top_n.
     """
-    cut = hits.where(F.col("rank") <= RERANKED).withColumn("relevance", scorer(F.col("question"), truncate(F.col("text"), RERANK_CHARS)))
-    cut = cut.withColumn("batch", F.floor((F.col("rank") - 1) / batch))
-    query = Window.partitionBy("query_id")
-    cut = cut.withColumn("scored", F.max("relevance").over(query).isNotNull()).where(F.col("relevance").isNotNull() | ~F.col("scored"))
-    key = F.when(F.col("scored"), F.col("relevance")).otherwise(-F.col("rank").cast("double"))
-    cut = cut.withColumn("key", key).withColumn("in_batch", F.row_number().over(Window.partitionBy("query_id", "batch").orderBy(F.col("key").desc(), "rank")))
-    cut = cut.where(~F.col("scored") | (F.col("in_batch") <= top_n))
-    cut = cut.withColumn("new_rank", F.row_number().over(query.orderBy(F.col("key").desc(), "rank"))).where(F.col("new_rank") <= top_n)
-    return cut.withColumn("_score", F.when(F.col("scored"), F.col("relevance")).otherwise(F.col("_score"))).withColumn("rank", F.col("new_rank")).drop("relevance", "batch", "scored", "key", "in_batch", "new_rank")
+    ranked = _scored(hits, top_n, scorer, batch).where("new_rank IS NOT NULL")
+    return ranked.withColumn("_score", F.col("new_score")).withColumn("rank", F.col("new_rank")).drop("new_rank", "new_score")
 
 
 def diversity(hits: DataFrame, most: int = PER_DOCUMENT) -> DataFrame:
@@ -147,21 +197,28 @@ def hybrid(reranked: DataFrame, vector: DataFrame, m: int = HYBRID_M, n: int = H
 def retrieve(queries: DataFrame, chunks: DataFrame, top_k: int = 20, reranking: bool = True, hybrid_selection: bool = True, **search_options) -> DataFrame:
     """queries (query_id, question, query_vector): recall, re-rank, diversity, hybrid selection, order by score. One row per chosen chunk: query_id, rank, chunk_id, doc_id, text, _score."""
     hits = payload(search(queries, chunks, fetch_k(top_k), **search_options), chunks, "text", "doc_id", "source_path").join(queries.select("query_id", "question"), "query_id")
-    ranked = rerank(hits) if reranking else hits
-    ranked = diversity(ranked)
     if hybrid_selection and reranking:
-        # a vector hit that was re-ranked too carries its new score
-        scores = ranked_scores(rerank(hits))
-        vector = hits.join(scores, ["query_id", "chunk_id"], "left").withColumn("_score", F.coalesce("relevance", "_score")).drop("relevance")
-        ranked = hybrid(ranked, vector)
+        chosen = _hybrid_in_place(_scored(hits, RERANK_TOP, lexical_score, RERANK_BATCH))
     else:
-        ranked = ranked.withColumn("source", F.lit(0)).withColumn("pos", F.col("rank"))
+        chosen = diversity(rerank(hits) if reranking else hits).withColumn("source", F.lit(0)).withColumn("pos", F.col("rank"))
     order = Window.partitionBy("query_id").orderBy(F.coalesce("_score", F.lit(0.0)).desc(), "source", "pos")
-    return ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k).select("query_id", "rank", "chunk_id", "doc_id", "text", "_score")
+    return chosen.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k).select("query_id", "rank", "chunk_id", "doc_id", "text", "_score")
 
 
-def ranked_scores(reranked: DataFrame) -> DataFrame:
-    return reranked.select("query_id", "chunk_id", F.col("_score").alias("relevance"))
+def _hybrid_in_place(h: DataFrame, m: int = HYBRID_M, n: int = HYBRID_L, most: int = PER_DOCUMENT) -> DataFrame:
+    """Re-ranked hits under the cap a document, and vector hits, chosen as by ``hybrid`` in one pass over the hits of a query: the recall is planned once. A vector hit that was re-ranked too carries its new score."""
+    over = lambda *by: Window.partitionBy("query_id", *by)
+    key = F.coalesce(F.nullif("doc_id", F.lit("")), F.nullif("source_path", F.lit("")))
+    h = h.withColumn("doc", key).withColumn("reranked", F.col("new_rank").isNotNull())
+    h = h.withColumn("of_doc", F.row_number().over(over("doc", "reranked").orderBy("new_rank")))
+    h = h.withColumn("capped", F.col("reranked") & (F.col("doc").isNull() | (F.col("of_doc") <= most)))
+    h = h.withColumn("pos", F.row_number().over(over("capped").orderBy("new_rank", "rank")))
+    h = h.withColumn("first", F.col("capped") & (F.col("pos") <= m))
+    h = h.withColumn("there", F.max("first").over(over("text"))).withColumn("recalled", ~F.col("there") & (F.col("rank") <= n))
+    h = h.withColumn("once", F.row_number().over(over("text", "recalled").orderBy("rank")))
+    h = h.where(F.col("first") | (F.col("recalled") & (F.col("once") == 1)))
+    h = h.withColumn("source", F.when(F.col("first"), 0).otherwise(1)).withColumn("pos", F.when(F.col("first"), F.col("pos")).otherwise(F.col("rank")))
+    return h.withColumn("_score", F.col("new_score"))
 
 
 def metrics(hits: DataFrame, expected: DataFrame, k: int) -> DataFrame:

@@ -126,8 +126,9 @@ def docs_from_chunks(spark, d):
 SELECT query_id, max(h) AS recall, round(avg(h), 6) AS precision FROM hit GROUP BY query_id""")
 def recall_at_k(spark, d):
     hits = retrieve.cosine_recall(derive.questions(spark, d), derive.chunks(spark, d), 10).withColumnRenamed("chunk_id", "item")
-    q = derive.table(spark, d, "embeddings").where("vec_id < 5").select(F.col("vec_id").alias("query_id"), "label")
-    expected = derive.table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("item"), "label").join(F.broadcast(q), "label").drop("label")  # five rows
+    labels = derive.table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("item"), "label")
+    asked = derive.table(spark, d, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label")
+    expected = hits.join(labels, "item").join(asked, ["query_id", "label"]).select("query_id", "item")  # those of the query's label, as far as they are hits
     return retrieve.metrics(hits, expected, 10).select("query_id", "recall", score("precision"))
 
 
@@ -403,13 +404,14 @@ def asset_lookup(spark, d):
 
 
 def _hits(spark, d):
-    """Documents of a source as the hits of one query each."""
-    rank = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    docs = derive.table(spark, d, "documents").select(F.col("source").alias("query_id"), "source", "doc_id", "text", "lang").withColumn("rank", rank)
+    """The 30 nearest documents of each query as its hits."""
+    found = retrieve.cosine_recall(derive.questions(spark, d), derive.chunks(spark, d), 30).select("query_id", F.col("chunk_id").cast("long").alias("doc_id"), "rank")
+    docs = derive.table(spark, d, "documents").select("doc_id", "text", "lang").join(found, "doc_id")
     return docs.withColumn("page_title", F.concat(F.lit("T"), (F.col("doc_id") % 3).cast("string"))).withColumn("source_path", F.concat(F.lit("/a/"), F.col("page_title"), F.lit(".txt"))).withColumn("user_metadata", F.create_map("lang", "page_title"))
 
 
-_HITS = """hits AS (SELECT source AS query_id, doc_id, text, lang, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rank, 'T' || (doc_id % 3) AS page_title FROM documents)"""
+_HITS = f"""{derive.SCORED}, {derive.recall_sql("top", 30)}, hits AS (
+  SELECT query_id, d.doc_id, d.text, d.lang, rank, 'T' || (d.doc_id % 3) AS page_title FROM top JOIN documents d ON d.doc_id = top.chunk_id::BIGINT)"""
 
 
 @query(f"""WITH RECURSIVE {_HITS}, o AS (SELECT *, row_number() OVER (PARTITION BY query_id, page_title ORDER BY rank) AS n FROM hits),
@@ -430,7 +432,16 @@ def source_groups(spark, d):
     return g.select("query_id", "page_title", F.col("position").cast("long").alias("position"), F.md5(F.array_join("texts", "|").cast("binary")).alias("texts"), joined_map(F.col("user_metadata")).alias("metadata"))
 
 
-@query()
+_QUOTED = context.INSTRUCTIONS.replace("'", "''")
+
+
+@query(f"""WITH {_HITS}, t AS (SELECT query_id, page_title, text, min(rank) AS rank FROM hits GROUP BY ALL), m AS (
+  SELECT query_id, page_title, string_agg('- ' || lang || ': ' || page_title || chr(10), '' ORDER BY lang) AS tags FROM (SELECT DISTINCT query_id, page_title, lang FROM hits) GROUP BY ALL),
+g AS (SELECT query_id, page_title, min(rank) AS position, string_agg(text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS texts FROM t GROUP BY ALL)
+SELECT query_id, '{_QUOTED}' || chr(10) || chr(10) || 'Sources:' || chr(10) || string_agg('  - [' || page_title || ']' || chr(10), '' ORDER BY position) || chr(10) || 'Context:' || chr(10)
+  || string_agg(chr(10) || '<source id="' || page_title || '">' || chr(10) || 'Source: ' || page_title || chr(10) || 'URL: /a/' || page_title || '.txt' || chr(10) || 'Metadata tags:' || chr(10) || tags || texts
+                || chr(10) || '</source>' || chr(10), '' ORDER BY position) AS prompt
+FROM g JOIN m USING (query_id, page_title) GROUP BY query_id""")
 def prompt_text(spark, d):
     return context.prompts(context.group_sources(_hits(spark, d)))
 
@@ -504,7 +515,14 @@ def job_states(spark, d):
     return jobs.job_states(_events(spark, d)).select("job_id", "status")
 
 
-@query()
+@query("""WITH RECURSIVE o AS (SELECT user_id, event_type, 's' || (event_id % 6) AS stage, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, count(*) OVER (PARTITION BY user_id) AS m FROM events),
+f AS (SELECT DISTINCT user_id, 0::BIGINT AS n, 'PENDING' AS st, NULL::VARCHAR AS cur, []::VARCHAR[] AS done FROM o UNION ALL SELECT o.user_id, o.n, CASE
+  WHEN event_type = 'signup' AND st = 'PENDING' THEN 'RUNNING' WHEN event_type = 'purchase' AND st = 'RUNNING' THEN 'COMPLETED' WHEN event_type = 'error' AND st IN ('RUNNING', 'CANCELLING') THEN 'FAILED'
+  WHEN event_type = 'click' AND st IN ('PENDING', 'RUNNING', 'CANCELLING') THEN 'CANCELLING' ELSE st END,
+  CASE WHEN event_type = 'view' AND st = 'RUNNING' THEN stage ELSE cur END,
+  CASE WHEN event_type = 'view' AND st = 'RUNNING' AND cur IS NOT NULL AND NOT list_contains(done, cur) THEN list_append(done, cur) ELSE done END
+  FROM f JOIN o ON o.user_id = f.user_id AND o.n = f.n + 1)
+SELECT f.user_id AS job_id, cur AS current_stage, array_to_string(done, ',') AS stages_completed FROM f JOIN (SELECT DISTINCT user_id, m FROM o) l ON f.user_id = l.user_id AND f.n = l.m""")
 def job_stages(spark, d):
     return jobs.job_states(_events(spark, d)).select("job_id", "current_stage", F.array_join("stages_completed", ",").alias("stages_completed"))
 

@@ -25,10 +25,10 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Five of the vectors as queries: a batch of a stated size."""
+    """Every vector whose id is divisible by 100 as a query."""
     label = F.col("label").cast("string")
     text = F.concat(F.lit("topic "), label, F.lit(" part "), (F.col("vec_id") % 7).cast("string"))
-    return table(spark, sf_dir, "embeddings").where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"), text.alias("question"))
+    return table(spark, sf_dir, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"), text.alias("question"))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +59,7 @@ CHUNKS = """chunks AS (
   FROM embeddings)"""
 
 QUESTIONS = """questions AS (
-  SELECT vec_id AS query_id, embedding::DOUBLE[] AS q, 'topic ' || label || ' part ' || (vec_id % 7) AS question FROM embeddings WHERE vec_id < 5)"""
+  SELECT vec_id AS query_id, embedding::DOUBLE[] AS q, 'topic ' || label || ' part ' || (vec_id % 7) AS question FROM embeddings WHERE vec_id % 100 = 0)"""
 
 SCORED = f"""{CHUNKS}, {QUESTIONS}, scored AS (
   SELECT query_id, question, chunks.*, list_cosine_similarity(q, e) AS s FROM questions, chunks)"""
