@@ -23,8 +23,29 @@ def field(name: str) -> Column:
     return F.try_element_at(F.col("user_metadata"), F.lit(name.removeprefix("user_metadata.")))
 
 
+#: Payload fields that hold arrays: a value matches if any element does, and an empty array does not exist.
+ARRAY_FIELDS = ("source_paths",)
+
+
+def _array_condition(c: Column, op: str, value: Any) -> Column | None:
+    no = F.lit(False)
+    if op in ("eq", "neq"):
+        same = F.coalesce(F.array_contains(c, value), no)
+        return same if op == "eq" else ~same
+    if op == "exists":
+        return F.coalesce(F.size(c) > 0, no)
+    if op == "contains":
+        return F.coalesce(F.exists(c, lambda x: F.contains(x, F.lit(str(value)))), no)
+    if op == "in" and isinstance(value, str | list | tuple):
+        wanted = [value] if isinstance(value, str) else list(value)
+        return F.coalesce(F.arrays_overlap(c, F.array(*map(F.lit, wanted)).cast("array<string>")), no)
+    return None
+
+
 def condition(name: str, op: str = "eq", value: Any = None) -> Column | None:
     """None for an unknown operator, or a value that ``in`` can't take: such a condition is left out."""
+    if name in ARRAY_FIELDS:
+        return _array_condition(F.col(name), op, value)
     c = field(name)
     if op in ("eq", "neq"):
         same = F.coalesce(c == F.lit(value), F.lit(False))
@@ -77,3 +98,35 @@ def metadata_errors(metadata: Column) -> Column:
 
 def matching(df: DataFrame, predicate: Column | None) -> DataFrame:
     return df if predicate is None else df.where(predicate)
+
+
+def query_metadata(parameters: dict[str, str], given: str | None = None) -> dict[str, str] | None:
+    """The metadata filter of a request: a JSON object, and every parameter metadata.<key>, which goes before it; None without any. ValueError names what is wrong."""
+    import json
+
+    try:
+        found = json.loads(given) if given else {}
+    except json.JSONDecodeError as error:
+        raise ValueError("the metadata filter is not JSON") from error
+    if not isinstance(found, dict):
+        raise ValueError("the metadata filter is not an object")
+    found |= {k.removeprefix("metadata."): v for k, v in parameters.items() if k.startswith("metadata.")}
+    wrong = [k for k, v in found.items() if not isinstance(v, str) or len(v) > MOST_VALUE]
+    if wrong or len(found) > MOST_KEYS or len(json.dumps(found).encode()) > MOST_BYTES:
+        raise ValueError(f"metadata of {len(found)} keys; not a text of {MOST_VALUE} characters at most: {wrong}")
+    return found or None
+
+
+def has_content(text: Column, images: Column) -> Column:
+    """Documents that have a text or an image to index."""
+    return (F.coalesce(F.trim(text), F.lit("")) != "") | F.coalesce(F.size(images) > 0, F.lit(False))
+
+
+def current_jobs(kind: Column) -> Column:
+    """Jobs of the present interface, by the prefix of their type."""
+    return F.coalesce(F.startswith(kind, F.lit("v2_")), F.lit(False))
+
+
+def asks_for_task(question: Column) -> Column:
+    """Questions that go to the model without retrieval."""
+    return F.coalesce(F.startswith(question, F.lit("### Task:")), F.lit(False))

@@ -86,7 +86,23 @@ def glob_pattern(pattern: str, case_sensitive: bool = False) -> str:
     return body if case_sensitive else f"(?i){body}"
 
 
+#: What stands for a mark that Latin-1 lacks, or that a plain font does.
+PLAIN_MARKS = {"\u2013": "-", "\u2014": "--", "\u2018": "'", "\u2019": "'", "\u201c": '"', "\u201d": '"', "\u2022": "*", "\u2026": "...", "\u2122": "(TM)", "\u00a9": "(C)", "\u00ae": "(R)"}
+
+
 def pdf_safe(x: Column) -> Column:
-    """Typographic marks to plain ones, what Latin-1 lacks to a question mark."""
-    plain = F.translate(x, "‘’“”–—• ", "''\"\"--* ")
-    return F.regexp_replace(F.regexp_replace(plain, "…", "..."), r"[^\x00-\xFF]", "?")
+    """Typographic marks as plain ones, what else Latin-1 lacks as a question mark."""
+    for mark, plain in PLAIN_MARKS.items():
+        x = F.replace(x, F.lit(mark), F.lit(plain))
+    return F.regexp_replace(x, r"[^\x00-\xFF]", "?")
+
+
+def hashed_embedding(x: Column, dim: int = 64) -> Column:
+    """Words counted by the hash of each into ``dim`` places, at unit length; no words: zeros. A deterministic stand-in for a remote model."""
+    words = F.filter(F.split(F.lower(x), r"[^a-z0-9]+"), lambda w: w != "")
+    place = F.transform(words, lambda w: F.pmod(F.conv(F.substring(F.md5(w.cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(dim)).cast("int"))
+    counts = F.aggregate(place, F.array_repeat(F.lit(0.0), dim), lambda acc, p: F.transform(acc, lambda v, i: v + F.when(i == p, 1.0).otherwise(0.0)))
+    norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, v: a + v * v))
+    scale = lambda c, n: F.transform(c, lambda v: F.when(n > 0, v / n).otherwise(F.lit(0.0)).cast("float"))
+    pair = F.transform(F.array(counts), lambda c: F.struct(c.alias("c"), norm(c).alias("n")))
+    return F.get(F.transform(pair, lambda p: scale(p["c"], p["n"])), F.lit(0))  # the counts are named once, so that they are counted once

@@ -13,13 +13,13 @@ REFS = "struct<clean:string,compat:string,refs:array<struct<start:int,stop:int,c
 _REFS = pa.struct([("clean", pa.string()), ("compat", pa.string()), ("refs", pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("citation", pa.int32())])))])
 
 
-def keys_of(names: list[str]) -> dict[str, int]:
-    """What a mark may say for each source, later sources winning: its name or the name without extension, as written or in lower case."""
+def keys_of(names: list[str], titles: list[list[str] | None] | None = None) -> dict[str, int]:
+    """What a mark may say for each source, later sources winning: its name, the name without extension, or one of its titles, as written or in lower case."""
     keys: dict[str, int] = {}
     for i, name in enumerate(names):
         stem = re.sub(r"(?<=.)\.[^.]*$", "", name)
-        for k in (name, name.lower(), stem, stem.lower()):
-            keys[k] = i
+        for k in (name, stem, *((titles[i] if titles and i < len(titles) else None) or ())):
+            keys |= {k: i, k.lower(): i} if k else {}
     return keys
 
 
@@ -32,12 +32,12 @@ def resolve(said: str, keys: dict[str, int], fuzzy: bool) -> int | None:
     return lowered.get(low, next((i for k, i in lowered.items() if k and (k in low or low in k)), None))
 
 
-def mark_sources(answer: str, names: list[str], fuzzy: bool = False) -> dict:
+def mark_sources(answer: str, names: list[str], fuzzy: bool = False, titles: list[list[str] | None] | None = None) -> dict:
     """The answer without the known marks, the answer with numbers in their place, and a reference from the start of the sentence before each mark.
 
     The start is behind the last full stop of the text since the last mark (fuzzy: of all text so far), else behind its last line end, white space passed over.
     """
-    keys, clean, compat, refs, last = keys_of(names), "", "", [], 0
+    keys, clean, compat, refs, last = keys_of(names, titles), "", "", [], 0
     for m in _MARK.finditer(answer):
         i = resolve(m[1], keys, fuzzy)
         part = answer[last : m.start() if i is not None else m.end()]
@@ -58,11 +58,11 @@ def mark_sources(answer: str, names: list[str], fuzzy: bool = False) -> dict:
 
 
 def source_marks(fuzzy: bool = False):
-    """An Arrow UDF (answer, names) -> struct clean, compat, refs."""
+    """An Arrow UDF (answer, names, titles array<array<string>>) -> struct clean, compat, refs."""
 
     @F.arrow_udf(REFS)
-    def marks(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for answers, names in batches:
-            yield pa.array([None if a is None else mark_sources(a, n or [], fuzzy) for a, n in zip(answers.to_pylist(), names.to_pylist(), strict=True)], _REFS)
+    def marks(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for columns in batches:
+            yield pa.array([None if a is None else mark_sources(a, n or [], fuzzy, t) for a, n, t in zip(*(c.to_pylist() for c in columns), strict=True)], _REFS)
 
     return marks

@@ -63,6 +63,7 @@ def group_sources(hits: DataFrame) -> DataFrame:
     )
 
 
+#: The sentence of a refusal, which REFUSALS must recognise, and the layout of a source in the prompt below.
 INSTRUCTIONS = """Answer from the sources below and from nothing else. Read all of them first.
 If they do not settle the question, say: "I do not have sufficient evidence in my knowledge base to answer this question."
 Cite the source of every statement as [Source Title]. Answer in the language of the question."""
@@ -81,11 +82,14 @@ def prompts(sources: DataFrame) -> DataFrame:
 
 
 def citations(hits: DataFrame, most: int = MOST_TITLES, per_citation: int = 0) -> DataFrame:
-    """(query_id, name, position, documents, paths): hits grouped by file name (else the end of their path), in order of the first; paths at most per_citation (0: all)."""
+    """(query_id, name, position, documents, paths, metadata): hits grouped by file name (else the end of their path), in order of the first; one metadata entry (source, title,
+    user_metadata of the path's first hit) per path, at most per_citation (0: all)."""
     name = F.coalesce(F.nullif("filename", F.lit("")), F.nullif(basename(F.col("source_path")), F.lit("")), F.lit("Unknown Source"))
-    grouped = hits.withColumn("name", name).groupBy("query_id", "name").agg(F.min("rank").alias("position"), in_order(F.col("text")).alias("documents"), in_order(F.coalesce("source_path", F.lit("unknown"))).alias("paths"))
-    if per_citation > 0:
-        grouped = grouped.withColumn("paths", F.slice("paths", 1, per_citation))
+    grouped = hits.withColumn("name", name).groupBy("query_id", "name").agg(F.min("rank").alias("position"), in_order(F.col("text")).alias("documents"), F.array_sort(F.collect_list(F.struct("rank", F.coalesce("source_path", F.lit("unknown")).alias("source"), F.map_entries("user_metadata").alias("m")))).alias("entries"))
+    first = F.filter("entries", lambda e, i: ~F.exists(F.slice("entries", 1, i), lambda o: o["source"] == e["source"]))
+    grouped = grouped.withColumn("entries", F.slice(first, 1, per_citation) if per_citation > 0 else first)
+    entry = lambda e: F.struct(e["source"].alias("source"), F.col("name").alias("title"), F.map_from_entries(e["m"]).alias("user_metadata"))
+    grouped = grouped.withColumn("paths", F.transform("entries", lambda e: e["source"])).withColumn("metadata", F.transform("entries", entry)).drop("entries")
     grouped = grouped.withColumn("position", F.row_number().over(Window.partitionBy("query_id").orderBy("position")))
     return grouped.where(F.col("position") <= most) if most > 0 else grouped
 
@@ -113,3 +117,16 @@ def grounding(answers: DataFrame) -> DataFrame:
     grounded = (cited | F.col("is_refusal")) & F.col("citations_valid") & (enough | F.col("is_refusal"))
     found = F.array(F.when(~cited & ~F.col("is_refusal"), F.lit("no citations")), F.when(~F.col("citations_valid"), F.lit("invalid citations")), F.when(~enough & ~F.col("is_refusal"), F.lit("low overlap")))
     return a.withColumn("grounded", grounded).withColumn("warnings", F.filter(found, lambda x: x.isNotNull())).withColumn("overlap_score", F.round("overlap_exact", 3)).drop("overlap_exact")
+
+
+SNIPPET = 2000
+
+
+def source_list(cited: DataFrame, most: int = SNIPPET) -> DataFrame:
+    """citations' rows to (query_id, documents, sources): each source's texts as one, cut to ``most`` characters (0: whole), and the list of names that follows a streamed answer."""
+    text = F.array_join("documents", SEPARATOR)
+    if most > 0:
+        text = F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit("..."))).otherwise(text)
+    rows = cited.select("query_id", F.struct("position", text.alias("text"), F.concat(F.lit("["), F.col("position").cast("string"), F.lit("] "), F.coalesce("name", F.lit("Unknown")), F.lit("\n")).alias("line")).alias("s"))
+    rows = rows.groupBy("query_id").agg(F.array_sort(F.collect_list("s")).alias("s"))  # at most as many as there are citations
+    return rows.select("query_id", F.transform("s", lambda x: x["text"]).alias("documents"), F.concat(F.lit("\n\nSources:\n"), F.array_join(F.transform("s", lambda x: x["line"]), "")).alias("sources"))

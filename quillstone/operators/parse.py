@@ -143,36 +143,73 @@ def markdown_title(text: Column, path: Column) -> Column:
     return F.coalesce(F.nullif(strip(F.regexp_extract(text, r"(?m)^#[ \t]+(\S.*)$", 1)), F.lit("")), stem_title(path))
 
 
-#: Nested templates are removed from the inside out, at most so often.
-TEMPLATE_ROUNDS = 10
-
-
-def _without_tables(text: Column) -> Column:
-    """The cells of wiki tables, one a line, without attributes; what is outside tables stays as it is."""
-    table = r"(?ms)^\{\|.*?^\|\}"
-    blocks, between = F.regexp_extract_all(text, F.lit(f"({table})"), F.lit(1)), F.split(text, table)
-
-    def cells(block: Column) -> Column:
-        lines = F.filter(F.transform(F.split(block, "\n"), strip), lambda x: ~x.rlike(r"^(\{\||\|\}|\|-)") & x.rlike(r"^[!|]"))
-        parts = F.flatten(F.transform(lines, lambda x: F.split(F.regexp_replace(x, r"^[!|]\s*", ""), F.when(F.substring(x, 1, 1) == "!", F.lit("!!")).otherwise(F.lit(r"\|\|")))))
-        return F.array_join(F.filter(F.transform(parts, lambda c: strip(F.regexp_replace(c, r"(?s)^[^|]*\|", ""))), lambda c: c != ""), "\n")
-
-    return F.array_join(F.zip_with(between, F.transform(blocks, cells), lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))), "")
+_MARKUP = re.compile(
+    r"(?P<gone><!--.*?-->|<(?P<raw>nowiki|ref)\b[^>]*(?<!/)>.*?</(?P=raw)>|<[^<>]+>|__[A-Z]+__|'{2,5})"
+    r"|(?P<open>\{\{|\[\[|\[(?=https?://))|(?P<shut>\}\}|\]\]|\])", re.S | re.I,
+)
+#: Links of these namespaces are no text.
+_NO_TEXT = ("file:", "image:", "category:")
+
+
+def _resolved(opener: str, inner: str) -> str:
+    """What stays of a bracket's content: nothing of a template, the label of a link."""
+    if opener == "{{":
+        return ""
+    if opener == "[":
+        return inner.partition(" ")[2]
+    return "" if inner.strip().lower().startswith(_NO_TEXT) else inner.partition("|")[2] or inner.rstrip("|")
+
+
+def _without_markup(text: str) -> str:
+    """Brackets of all kinds resolved from the inside out, by one pass with a stack; what never closes stays as it is."""
+    stack: list[tuple[str, list[str]]] = [("", [])]
+    at = 0
+    for m in _MARKUP.finditer(text):
+        stack[-1][1].append(text[at : m.start()])
+        at = m.end()
+        if m["open"]:
+            stack.append((m["open"], []))
+        elif m["shut"]:
+            opener, parts = stack[-1]
+            if opener and m["shut"] == {"{{": "}}", "[[": "]]", "[": "]"}[opener]:
+                stack.pop()
+                stack[-1][1].append(_resolved(opener, "".join(parts)))
+            else:
+                parts.append(m["shut"])
+    stack[-1][1].append(text[at:])
+    while len(stack) > 1:
+        opener, parts = stack.pop()
+        stack[-1][1].append(opener + "".join(parts))
+    return "".join(stack[0][1])
+
+
+def plain_wikitext(text: str) -> str:
+    """Plain text of wiki markup: markup first, then line by line; of a table its cells, one a line, without attributes."""
+    out, table = [], False
+    for line in _without_markup(text).split("\n"):
+        bare = line.strip()
+        if bare.startswith("{|"):
+            table = True
+        elif table and bare.startswith("|}"):
+            table = False
+        elif table:
+            if bare[:1] in ("|", "!") and not bare.startswith("|-"):
+                cells = bare[1:].split("!!" if bare[0] == "!" else "||")
+                out += [c for c in (x.rpartition("|")[2].strip() for x in cells) if c]
+        else:
+            marks = min(len(bare) - len(bare.lstrip("=")), len(bare) - len(bare.rstrip("=")), 6)
+            out.append(bare[marks:-marks].strip() if marks and bare.strip("=") else line)
+    text = re.sub(r"[ \t]{2,}", " ", "\n".join(out))
+    return re.sub(r"\n{3,}", "\n\n", text).strip()
 
 
 def wikitext(text: Column) -> Column:
-    """Plain text of wiki markup, by rewriting it step by step; all native."""
-    drop = lambda x, p: F.regexp_replace(x, p, "")
-    x = drop(text, r"(?s)<!--.*?-->")
-    x = drop(drop(x, r"(?is)<nowiki>.*?</nowiki>"), r"(?is)<ref[^>]*/>|<ref[^>]*>.*?</ref>|<ref[^>]*>")
-    for _ in range(TEMPLATE_ROUNDS):
-        x = drop(x, r"\{\{[^{}]*\}\}")
-    x = drop(_without_tables(x), r"<[^>]+>")
-    x = F.regexp_replace(x, r"(?m)^(={1,6})\s*(.+?)\s*\1\s*$", "$2")
-    x = drop(drop(x, r"'{2,5}"), r"(?i)\[\[(?:File|Image):[^\]]*\]\]|\[\[Category:[^\]]*\]\]")
-    x = F.regexp_replace(x, r"\[\[(?:[^|\]]*\|)?([^\]]+)\]\]", "$1")
-    x = drop(F.regexp_replace(x, r"\[https?://[^\s\]]+ ([^\]]+)\]", "$1"), r"\[https?://[^\]]+\]|__[A-Z]+__")
-    return strip(F.regexp_replace(F.regexp_replace(x, r"\n{3,}", "\n\n"), r"[ \t]{2,}", " "))
+    @F.arrow_udf("string")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for pages in batches:
+            yield pa.array([None if p is None else plain_wikitext(p) for p in pages.to_pylist()], pa.string())
+
+    return run(text)
 
 
 def file_references(text: Column) -> Column:
@@ -186,11 +223,45 @@ def asset_key(name: Column) -> Column:
 def pdf_title(metadata_title: Column, text: Column, path: Column) -> Column:
     """A meaningful title of the metadata, else the first line that looks like a heading near the start, else the file's name."""
     given = F.when((F.length(strip(metadata_title)) > 3) & ~F.startswith(metadata_title, F.lit("/")), strip(metadata_title))
-    return F.coalesce(given, F.nullif(strip(F.regexp_extract(F.substring(text, 1, 500), r"(?m)^([A-Z][^\n]{4,100})$", 1)), F.lit("")), stem_title(path))
-
-
-def elements_to_documents(elements: DataFrame) -> DataFrame:
-    """elements (path, ordinal, element_type, text, heading_path, table_markdown, image_path) -> (path, page_title, content_text, images).
+    return F.coalesce(given, F.nullif(strip(F.regexp_extract(F.substring(text, 1, 500), r"(?m)^([A-Z][A-Za-z0-9 :—–/-]{5,80})$", 1)), F.lit("")), stem_title(path))
+
+
+#: A structural parser's labels and the element types that they are; any other is text.
+ELEMENT_TYPES = {
+    "title": "heading", "section_header": "heading", "paragraph": "text", "text": "text", "table": "table", "picture": "image", "figure": "image", "caption": "text", "formula": "text",
+    "list_item": "text", "page_header": "text", "page_footer": "text", "footnote": "text", "code": "text",
+}
+
+
+def structural_elements(items: DataFrame) -> DataFrame:
+    """items (path, ordinal, label, text, ancestors array<struct<label,text>>, image_uri, ...) of any structural parser as canonical elements: typed by label, blank ones left out, the
+    texts of ancestors that are headings as the path, tables with their text as Markdown. Other columns (page, bbox) stay."""
+    types = F.create_map(*[F.lit(x) for pair in ELEMENT_TYPES.items() for x in pair])
+    kind = F.coalesce(F.try_element_at(types, F.col("label")), F.lit("text"))
+    headings = F.filter("ancestors", lambda a: a["label"].isin("title", "section_header") & (F.coalesce(a["text"], F.lit("")) != ""))
+    rows = items.withColumn("element_type", kind).withColumn("text", strip(F.coalesce("text", F.lit("")))).where("text <> ''")
+    rows = rows.withColumn("heading_path", F.coalesce(F.transform(headings, lambda a: a["text"]), F.array().cast("array<string>")))
+    of = lambda t, c: F.when(F.col("element_type") == t, F.col(c))
+    return rows.withColumn("table_markdown", of("table", "text")).withColumn("image_path", of("image", "image_uri")).drop("label", "ancestors", "image_uri")
+
+
+def default_elements(parsed: DataFrame) -> DataFrame:
+    """parsed (path, content_text, pages array<struct<page,text>>, images array<struct<src,alt,caption,...>>) as canonical elements: the pages where there are any, else the whole text;
+    then the images. (A document in pages is not given twice.)"""
+    element = lambda kind, text, page, image: F.struct(F.lit(kind).alias("element_type"), text.alias("text"), page.cast("int").alias("page"), image.cast("string").alias("image_path"))
+    full = lambda x: F.filter(x, lambda e: strip(F.coalesce(e["text"], F.lit(""))) != "")
+    none = F.lit(None)
+    pages = full(F.transform(F.coalesce("pages", F.array().cast("array<struct<page:int,text:string>>")), lambda p: element("text", p["text"], p["page"], none)))
+    whole = full(F.array(element("text", F.col("content_text"), none, none)))
+    label = lambda i: F.coalesce(F.nullif(i["alt"], F.lit("")), i["caption"], F.lit(""))
+    images = F.transform("images", lambda i: element("image", label(i), none, i["src"]))
+    every = F.concat(F.when(F.size(pages) > 0, pages).otherwise(whole), F.coalesce(images, F.slice(whole, 1, 0)))
+    return parsed.select("path", F.posexplode(every).alias("ordinal", "e")).select("path", "ordinal", "e.*", F.array().cast("array<string>").alias("heading_path"), F.lit(None).cast("string").alias("table_markdown"))
+
+
+def elements_to_documents(elements: DataFrame, titles: DataFrame | None = None) -> DataFrame:
+    """elements (path, ordinal, element_type, text, heading_path, table_markdown, image_path) -> (path, page_title, content_text, images). titles (path, title): explicit ones, which go before
+    the first heading.
 
     Headings get one # more than they have ancestors, at most four; tables their Markdown where there is any; images become contexts, not text.
     """
@@ -207,4 +278,7 @@ def elements_to_documents(elements: DataFrame) -> DataFrame:
     rows = elements.select("path", F.struct("ordinal", F.nullif(body, F.lit("")).alias("body"), image.alias("image"), F.when(F.col("element_type") == "heading", F.col("text")).alias("heading")).alias("e"))
     docs = rows.groupBy("path").agg(F.array_sort(F.collect_list("e")).alias("es"))
     of = lambda f: F.filter(F.transform("es", lambda e: e[f]), lambda x: x.isNotNull())
-    return docs.select("path", F.coalesce(F.get(of("heading"), F.lit(0)), stem_title(F.col("path"))).alias("page_title"), F.array_join(of("body"), "\n\n").alias("content_text"), of("image").alias("images"))
+    explicit = F.lit(None).cast("string")
+    if titles is not None:
+        docs, explicit = docs.join(titles, "path", "left"), F.nullif("title", F.lit(""))
+    return docs.select("path", F.coalesce(explicit, F.get(of("heading"), F.lit(0)), stem_title(F.col("path"))).alias("page_title"), F.array_join(of("body"), "\n\n").alias("content_text"), of("image").alias("images"))

@@ -490,7 +490,7 @@ def grounding_report(spark, d):
 def citation_marks(spark, d):
     s = derive.table(spark, d, "supplier")
     said = F.concat(F.lit("It is so. Made by "), F.col("s_name"), F.lit(" ["), F.upper("s_name"), F.lit("]. [no] end"))
-    marks = answers.source_marks()(said, F.array(F.concat(F.lower("s_name"), F.lit(".pdf"))))
+    marks = answers.source_marks()(said, F.array(F.concat(F.lower("s_name"), F.lit(".pdf"))), F.array().cast("array<array<string>>"))
     refs = F.array_join(F.transform("m.refs", lambda r: F.concat(r["start"].cast("string"), F.lit("-"), r["stop"].cast("string"), F.lit(":"), r["citation"].cast("string"))), ";")
     return s.select("s_suppkey", marks.alias("m")).select("s_suppkey", "m.clean", "m.compat", refs.alias("refs"))
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.functions.text import basename, stem_title
-from quillstone.operators.parse import asset_key
+from quillstone.functions.text import basename, stem_title, strip
+from quillstone.operators.parse import asset_key, html_fields, markdown_text, markdown_title, pdf_title
 
 #: Extensions by type, MIME types by extension, what a walk passes over.
 TYPES = {
@@ -77,8 +77,80 @@ def skipped(path: Column) -> Column:
 
 def discover(spark: SparkSession, path: str) -> DataFrame:
     """(path, length, type) of the files below a path that are not skipped and have a known type. Only the heads of files are looked at."""
-    kept = files(spark, path).where(~skipped(F.col("path"))).select("path", "length", F.substring("content", 1, SNIFFED).alias("head"))
-    return kept.withColumn("type", classify(F.col("path"), F.col("head"))).drop("head").where("type IS NOT NULL")
+    kept = files(spark, path, content=False).where(~skipped(F.col("path"))).select("path", "length")
+    named = kept.where(extension(F.col("path")) != "").withColumn("type", classify(F.col("path")))
+    # contents are read of files without an extension only
+    bare = files(spark, path).where(~skipped(F.col("path")) & (extension(F.col("path")) == "")).select("path", "length", classify(F.col("path"), F.col("content")).alias("type"))
+    return named.unionByName(bare).where("type IS NOT NULL")
+
+
+def listing(found: DataFrame, exclude: tuple[str, ...] = (), limit: int = 0) -> DataFrame:
+    """discover's rows in order of path, without some types, at most ``limit`` (0: all)."""
+    found = found.where(~F.col("type").isin(*exclude)) if exclude else found
+    found = found.orderBy("path")
+    return found.limit(limit) if limit > 0 else found
+
+
+_IMAGES = "array<struct<src:string,alt:string,caption:string,surrounding_text:string>>"
+_PAGES = "array<struct<page:int,text:string>>"
+
+
+def _parsed(path: Column, title: Column, text: Column, language: Column | None = None, images: Column | None = None, pages: Column | None = None) -> list[Column]:
+    none = lambda kind: F.lit(None).cast(kind)
+    return [
+        path.alias("path"), title.alias("page_title"), text.alias("content_text"), F.coalesce(language, F.lit("en")).alias("language") if language is not None else F.lit("en").alias("language"),
+        (none(_IMAGES) if images is None else images).alias("images"), (none(_PAGES) if pages is None else pages).alias("pages"),
+    ]
+
+
+def parse_contents(found: DataFrame, kind: str, extract_pages=None) -> DataFrame:
+    """found (path, content) of one type to (path, page_title, content_text, language, images, pages).
+
+    extract_pages: a column function, path and content to struct<title:string,pages:array<struct<page,text>>>; without one a PDF has no pages.
+    """
+    text, path = F.decode("content", "UTF-8"), F.col("path")
+    if kind == "html":
+        rows = found.select("path", html_fields(text).alias("h"))
+        title = F.coalesce(F.nullif("h.title", F.lit("")), stem_title(path))
+        return rows.select(*_parsed(path, title, F.coalesce("h.content", F.lit("")), F.col("h.language"), F.col("h.images")))
+    if kind == "markdown":
+        return found.select(*_parsed(path, markdown_title(text, path), markdown_text(text)))
+    if kind == "pdf":
+        empty = F.struct(F.lit("").alias("title"), F.array().cast(_PAGES).alias("pages"))
+        rows = found.select("path", (extract_pages(path, F.col("content")) if extract_pages else empty).alias("e"))
+        pages = F.filter(F.transform("e.pages", lambda p: F.struct(p["page"].alias("page"), strip(p["text"]).alias("text"))), lambda p: p["text"] != "")
+        rows = rows.select("path", F.col("e.title").alias("title"), pages.alias("pages"))
+        head = F.coalesce(F.get("pages", F.lit(0))["text"], F.lit(""))
+        return rows.select(*_parsed(path, pdf_title(F.col("title"), head, path), F.array_join(F.transform("pages", lambda p: p["text"]), "\n\n"), pages=F.col("pages")))
+    if kind == "image":
+        image = F.array(F.struct(path.alias("src"), F.lit("").alias("alt"), F.lit("").alias("caption"), F.lit("").alias("surrounding_text"))).cast(_IMAGES)
+        return found.select(*_parsed(path, stem_title(path), F.lit(""), images=image))
+    return found.select(*_parsed(path, stem_title(path), F.coalesce(text, F.lit(""))))
+
+
+def parse_files(spark: SparkSession, path: str, extract_pages=None) -> DataFrame:
+    """All files of known types below a path, parsed by their types (wiki exports have a reader of their own)."""
+    kinds = [k for k in TYPES if k != "mediawiki"]
+    found = files(spark, path).where(~skipped(F.col("path"))).withColumn("type", classify(F.col("path"), F.col("content")))
+    out = None
+    for kind in kinds:
+        part = parse_contents(found.where(F.col("type") == kind), kind, extract_pages)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def detect(found: DataFrame, detector=None) -> DataFrame:
+    """found (path, ...) with content_type, language, metadata and is_scanned. detector: a column function, path to struct<content_type:string,language:string,metadata:map<string,string>>; where it
+    gives nothing, or there is none, the type is that of the extension."""
+    kind = "struct<content_type:string,language:string,metadata:map<string,string>>"
+    rows = found.withColumn("detected", detector(F.col("path")) if detector else F.lit(None).cast(kind))
+    rows = rows.withColumn("content_type", mime_type(F.col("path"), F.col("detected.content_type"))).withColumn("language", F.col("detected.language")).withColumn("metadata", F.col("detected.metadata")).drop("detected")
+    return rows.withColumn("is_scanned", F.coalesce(scanned_pdf(F.col("content_type"), F.col("metadata")), F.lit(False)))
+
+
+def needs_ocr(enabled: bool, content_type: Column, is_scanned: Column) -> Column:
+    """Scanned PDFs, where recognition is enabled."""
+    return F.lit(enabled) & F.coalesce(content_type == "application/pdf", F.lit(False)) & F.coalesce(is_scanned, F.lit(False))
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """The chunk store: keyed writes as pure functions of DataFrames, and a Parquet table that commits their results.
 
-A commit writes a whole new version beside the old one and then moves the pointer, so a job that dies leaves the table as it was, and
+A commit writes new files beside the old ones and then a new manifest, so a job that dies leaves the table as it was, and
 readers keep the version that they began with. One writer at a time.
 """
 
@@ -47,36 +47,140 @@ def patch(existing: DataFrame, condition: Column, values: dict[str, Column]) ->
 
 
 class Table:
-    """A Parquet table of versions: path/v-<id>, and path/current with the name of the one in force."""
+    """A Parquet table of partitions: path/data holds their files, path/current one manifest a version, which lists the folders in force by partition.
 
-    def __init__(self, spark: SparkSession, path: str, schema=CHUNKS, partition_by: tuple[str, ...] = ("kb_id",)) -> None:
-        self.spark, self.path, self.schema, self.partition_by = spark, path.rstrip("/"), schema, partition_by
+    A commit writes the partitions that it touches, and a manifest that keeps the folders of all others; a job that dies before its manifest leaves the table as it was.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema=CHUNKS, partition: str | None = "kb_id") -> None:
+        self.spark, self.path, self.schema, self.partition = spark, path.rstrip("/"), schema, partition
 
     def _fs(self):
         jvm = self.spark._jvm
         p = jvm.org.apache.hadoop.fs.Path(self.path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
 
-    def current(self) -> str | None:
+    def _names(self, folder: str) -> list[str]:
         fs, path = self._fs()
-        names = [s.getPath().getName() for s in fs.listStatus(path(f"{self.path}/current"))] if fs.exists(path(f"{self.path}/current")) else []
-        return max(names, key=lambda n: int(n.split("-")[0])).split("-", 1)[1] if names else None
+        return [s.getPath().getName() for s in fs.listStatus(path(folder))] if fs.exists(path(folder)) else []
 
-    def read(self) -> DataFrame:
-        version = self.current()
-        return self.spark.createDataFrame([], self.schema) if version is None else self.spark.read.schema(self.schema).parquet(f"{self.path}/{version}")
+    def version(self) -> int:
+        return max((int(n) for n in self._names(f"{self.path}/current") if n.isdigit()), default=0)
 
-    def commit(self, rows: DataFrame) -> None:
-        version = f"v-{uuid.uuid4().hex}"
-        writer = rows.select(*self.schema.fieldNames()).write
-        (writer.partitionBy(*self.partition_by) if self.partition_by else writer).parquet(f"{self.path}/{version}")
+    def folders(self) -> dict[str, str]:
+        """Of the version in force: partition -> folder."""
+        fs, path = self._fs()
+        if not self.version():
+            return {}
+        stream = fs.open(path(f"{self.path}/current/{self.version()}"))
+        try:
+            text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+        return dict(line.split("\t") for line in text.splitlines())
+
+    def read(self, partitions: list[str] | None = None) -> DataFrame:
+        """The table, or some of its partitions: the files of all others are not looked at."""
+        found = self.folders()
+        paths = [f for k, f in sorted(found.items()) if partitions is None or k in partitions]
+        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
+
+    def commit(self, rows: DataFrame, touched: list[str] | None = None) -> None:
+        """``rows`` are all rows of the partitions ``touched`` (None: of the whole table)."""
+        folder, copy = f"{self.path}/data/v-{uuid.uuid4().hex}", "partition_of_row"
+        value = F.coalesce(F.col(self.partition), F.lit("")) if self.partition else F.lit("")
+        rows.select(*self.schema.fieldNames(), F.concat(F.lit("p"), value).alias(copy)).write.partitionBy(copy).parquet(folder)
+        written = {n.split("=", 1)[1][1:]: f"{folder}/{n}" for n in self._names(folder) if n.startswith(f"{copy}=")}
+        kept = {} if touched is None else {k: f for k, f in self.folders().items() if k not in touched}
+        self._publish(kept | written)
+
+    def _publish(self, folders: dict[str, str]) -> None:
         fs, path = self._fs()
-        marks = [s.getPath().getName() for s in fs.listStatus(path(f"{self.path}/current"))] if fs.exists(path(f"{self.path}/current")) else []
-        number = 1 + max((int(m.split("-")[0]) for m in marks), default=0)
-        fs.mkdirs(path(f"{self.path}/current/{number}-{version}"))
+        out = fs.create(path(f"{self.path}/current/{self.version() + 1}"), False)  # fails if another writer was first
+        try:
+            out.write(bytearray("".join(f"{k}\t{f}\n" for k, f in sorted(folders.items())).encode()))
+        finally:
+            out.close()
+
+    def _partitions(self, rows: DataFrame) -> list[str]:
+        value = F.coalesce(F.col(self.partition), F.lit("")) if self.partition else F.lit("")
+        return [r[0] for r in rows.select(value).distinct().collect()]  # names of partitions
+
+    def upsert(self, new: DataFrame, key: str = "chunk_id", order: str | None = None) -> None:
+        """Rewrites the partitions that get rows or lose some to a key of another partition."""
+        here = self.read()
+        touched = sorted({*self._partitions(new), *self._partitions(here.join(new.select(key).distinct(), key, "left_semi"))})
+        self.commit(upsert(self.read(touched), new, key, order), touched)
+
+    def delete(self, condition: Column) -> None:
+        touched = self._partitions(self.read().where(F.coalesce(condition, F.lit(False))))
+        self.commit(delete(self.read(touched), condition), touched)
+
+    def patch(self, condition: Column, values: dict[str, Column]) -> int:
+        """1 if any row was patched, else 0. The partition column is not patched."""
+        touched = self._partitions(self.read().where(F.coalesce(condition, F.lit(False))))
+        if touched:
+            self.commit(patch(self.read(touched), condition, values), touched)
+        return int(bool(touched))
+
+    def drop_partition(self, name: str) -> None:
+        """Nothing is rewritten."""
+        self._publish({k: f for k, f in self.folders().items() if k != name})
 
     def clear(self) -> None:
-        self.commit(self.spark.createDataFrame([], self.schema))
+        self._publish({})
+
+
+def chunk_table(spark: SparkSession, path: str, dimension: int) -> Table:
+    """The chunk store at a path; made if it is absent, else its vectors' length must be ``dimension``. Similarity is by cosine throughout."""
+    table = Table(spark, path)
+    if not table.version():
+        table.clear()
+    other = table.read().where((F.size("embedding") != dimension)).limit(1).select(F.size("embedding")).collect()
+    if other:
+        raise ValueError(f"{path} holds vectors of {other[0][0]} components, not {dimension}")
+    return table
+
+
+class DocumentCatalog:
+    """The records of uploaded documents, one a knowledge base, content and collection."""
+
+    KEY = ("kb_id", "content_hash", "collection_name")
+
+    def __init__(self, table: Table) -> None:
+        self.table = table
+
+    def create(self, rows: DataFrame) -> None:
+        """Adds records; FileExistsError if one has the key of another."""
+        key = [F.coalesce(c, F.lit("")).alias(c) for c in self.KEY]
+        every = self.table.read().select(*key).union(rows.select(*key))
+        taken = every.groupBy(*self.KEY).count().where("count > 1").limit(1).collect()
+        if taken:
+            raise FileExistsError(str(taken[0][:3]))
+        self.table.upsert(rows, "doc_id")
+
+    def update(self, doc_id: str, **values: Column) -> None:
+        """Sets columns of a document's record; LookupError if there is none."""
+        if not self.table.patch(F.col("doc_id") == doc_id, values):
+            raise LookupError(doc_id)
+
+    def finalize(self, doc_id: str, chunks: int) -> None:
+        self.update(doc_id, status=F.lit("completed"), chunk_count=F.lit(chunks).cast("long"))
+
+    def delete_kb(self, kb_id: str) -> int:
+        """The number of records that are gone."""
+        gone = self.table.read([kb_id]).count()
+        self.table.drop_partition(kb_id)
+        return gone
+
+
+def remove_document(chunks: Table, catalog: DocumentCatalog, doc_id: str) -> bool:
+    """Whether the document was there. Its record goes with its chunks, so that it can be uploaded again; without it nothing is done."""
+    here = not chunks.read().where(F.col("doc_id") == doc_id).limit(1).isEmpty()
+    if here:
+        chunks.delete(F.col("doc_id") == doc_id)
+    catalog.table.delete(F.col("doc_id") == doc_id)
+    return here
 
 
 class KnowledgeBases:
@@ -85,30 +189,46 @@ class KnowledgeBases:
     def __init__(self, table: Table, chunks: Table, catalog: Table) -> None:
         self.table, self.chunks, self.catalog = table, chunks, catalog
 
-    def ids(self) -> set[str]:
-        return {r.kb_id for r in self.table.read().select("kb_id").collect()}  # the registry is a small table of names
+    def list(self) -> DataFrame:
+        return self.table.read().orderBy("kb_id")
 
-    def create(self, kb_id: str, name: str, now: str, description: str = "", settings_json: str = "{}") -> None:
+    def _has(self, kb_id: str) -> bool:
+        return not self.table.read().where(F.col("kb_id") == kb_id).isEmpty()
+
+    @staticmethod
+    def _check(kb_id: str, name: str, description: str, settings_json: str) -> None:
+        import json
         import re
 
         if not re.fullmatch(r"[a-z0-9][a-z0-9_-]{0,63}", kb_id) or not name.strip() or len(name.strip()) > 128 or len(description) > 1024:
             raise ValueError(f"not a valid knowledge base: {kb_id!r}, {name!r}")
-        if kb_id in self.ids():
+        if not isinstance(json.loads(settings_json), dict):
+            raise ValueError("settings must be an object")
+
+    def create(self, kb_id: str, name: str, now: str, description: str = "", settings_json: str = "{}") -> None:
+        self._check(kb_id, name, description, settings_json)
+        if self._has(kb_id):
             raise FileExistsError(kb_id)
-        row = self.table.spark.createDataFrame([(kb_id, name.strip(), description, now, now, settings_json)], self.table.schema)
-        self.table.commit(self.table.read().unionByName(row))
+        self.table.upsert(self.table.spark.createDataFrame([(kb_id, name.strip(), description, now, now, settings_json)], self.table.schema), "kb_id")
+
+    def update(self, kb_id: str, now: str, name: str | None = None, description: str | None = None, settings_json: str | None = None) -> None:
+        """Sets what is given, and updated_at."""
+        self._check(kb_id, "x" if name is None else name, description or "", settings_json or "{}")
+        given = {"name": name and name.strip(), "description": description, "settings_json": settings_json, "updated_at": now}
+        if not self.table.patch(F.col("kb_id") == kb_id, {k: F.lit(v) for k, v in given.items() if v is not None}):
+            raise LookupError(kb_id)
 
     def seed(self, now: str) -> None:
-        if DEFAULT_KB not in self.ids():
+        if not self._has(DEFAULT_KB):
             self.create(DEFAULT_KB, "Default", now)
 
     def delete(self, kb_id: str) -> int:
         """Chunks, then catalogue, then the registry; returns the number of chunks seen (counted up to COUNT_MOST)."""
         if kb_id == DEFAULT_KB:
             raise ValueError("the default knowledge base can't be deleted")
-        if kb_id not in self.ids():
+        if not self._has(kb_id):
             raise LookupError(kb_id)
-        seen = self.chunks.read().where(F.col("kb_id") == kb_id).limit(COUNT_MOST).count()
+        seen = self.chunks.read([kb_id]).limit(COUNT_MOST).count()
         for t in (self.chunks, self.catalog, self.table):
-            t.commit(delete(t.read(), F.col("kb_id") == kb_id))
+            t.delete(F.col("kb_id") == kb_id) if t.partition != "kb_id" else t.drop_partition(kb_id)
         return seen

@@ -222,8 +222,8 @@ def test_store(spark, tmp_path, boards):
     table.commit(store.delete_metadata(table.read(), {"tenant": "acme"}))
     assert one(table.read(), "doc_id") == ["doc3.md"]
     assert store.delete_metadata(full, {}).count() == 3
-    small = store.Table(spark, f"file://{tmp_path}/k", schemas.KNOWLEDGE_BASES, ())
-    cat = store.Table(spark, f"file://{tmp_path}/c", schemas.CATALOG, ())
+    small = store.Table(spark, f"file://{tmp_path}/k", schemas.KNOWLEDGE_BASES, None)
+    cat = store.Table(spark, f"file://{tmp_path}/c", schemas.CATALOG)
     kbs = store.KnowledgeBases(small, table, cat)
     kbs.seed("t")
     kbs.seed("t")
@@ -234,7 +234,7 @@ def test_store(spark, tmp_path, boards):
         kbs.delete("default")
     with pytest.raises(LookupError):
         kbs.delete("nope")
-    assert kbs.delete("other") == 1 and kbs.ids() == {"default"} and table.read().count() == 0
+    assert kbs.delete("other") == 1 and [r.kb_id for r in kbs.list().collect()] == ["default"] and table.read().count() == 0
 
 
 def test_budget_skips_and_truncates(spark):
@@ -305,3 +305,114 @@ def test_registry():
     assert registry.get("chunker") == "later"
     with pytest.raises(KeyError):
         registry.get("nothing")
+
+
+def test_store_writes_the_partitions_that_it_touches(spark, tmp_path, boards):
+    columns = {n: F.lit(None).cast(t) for n, t in (("source_paths", "array<string>"), ("section_path", "string"), ("chunk_index", "int"), ("chunk_type", "string"), ("language", "string"), ("image_path", "string"), ("ingestion_timestamp", "string"), ("content_hash_algorithm", "string"), ("metadata_updated_at", "string"))}
+    table = store.chunk_table(spark, f"file://{tmp_path}/t", len(boards.first().embedding))
+    full = boards.withColumns(columns)
+    two = full.withColumn("kb_id", F.when(F.col("doc_id") == "doc3.md", "b").otherwise("a"))
+    table.upsert(two)
+    before = table.folders()
+    assert set(before) == {"a", "b"} and table.read().count() == 3 and table.read(["b"]).count() == 1
+    assert table.patch(F.col("doc_id") == "doc3.md", {"page_title": F.lit("new")}) == 1 and table.patch(F.lit(False), {"page_title": F.lit("x")}) == 0
+    assert table.folders()["a"] == before["a"] and table.folders()["b"] != before["b"]
+    table.upsert(two.where("kb_id = 'b'").withColumn("kb_id", F.lit("c")))  # the same chunk in another base: the old one goes
+    assert {r.kb_id for r in table.read().collect()} == {"a", "c"} and table.read().count() == 3
+    table.delete(F.col("kb_id") == "a")
+    assert table.read().count() == 1
+    with pytest.raises(ValueError):
+        store.chunk_table(spark, f"file://{tmp_path}/t", 999)
+    table.clear()
+    assert table.read().count() == 0
+
+
+def test_document_catalog(spark, tmp_path, boards):
+    catalog_ = store.DocumentCatalog(store.Table(spark, f"file://{tmp_path}/c", schemas.CATALOG))
+    rows = spark.createDataFrame([("d1", "k", "h1", "c", "pending", ["a"], {"x": "1"}, None), ("d2", "k", "h2", "c", "pending", ["b"], None, None), ("d3", "l", "h1", "c", "pending", None, None, None)], schemas.CATALOG)
+    catalog_.create(rows)
+    with pytest.raises(FileExistsError):
+        catalog_.create(rows.limit(1))
+    catalog_.finalize("d1", 5)
+    assert {r.doc_id: (r.status, r.chunk_count) for r in catalog_.table.read().collect()} == {"d1": ("completed", 5), "d2": ("pending", None), "d3": ("pending", None)}
+    with pytest.raises(LookupError):
+        catalog_.update("none", status=F.lit("x"))
+    chunks = store.Table(spark, f"file://{tmp_path}/t")
+    assert not store.remove_document(chunks, catalog_, "d1") and catalog_.table.read().where("doc_id = 'd1'").isEmpty()
+    assert catalog_.delete_kb("k") == 1 and catalog_.delete_kb("nope") == 0 and catalog_.table.read().count() == 1
+
+
+def test_knowledge_base_update(spark, tmp_path):
+    t = store.Table(spark, f"file://{tmp_path}/k", schemas.KNOWLEDGE_BASES, None)
+    kbs = store.KnowledgeBases(t, store.Table(spark, f"file://{tmp_path}/a"), store.Table(spark, f"file://{tmp_path}/b", schemas.CATALOG))
+    kbs.create("kb", "Name", "t0")
+    kbs.update("kb", "t1", name=" Other ", settings_json='{"a": 1}')
+    assert kbs.list().first().asDict() == {"kb_id": "kb", "name": "Other", "description": "", "created_at": "t0", "updated_at": "t1", "settings_json": '{"a": 1}'}
+    for wrong in ({"name": " "}, {"settings_json": "[1]"}):
+        with pytest.raises(ValueError):
+            kbs.update("kb", "t2", **wrong)
+    with pytest.raises(LookupError):
+        kbs.update("none", "t2")
+
+
+def test_wiki_brackets_nest():
+    plain = parse.plain_wikitext
+    assert plain("a {{x|{{y}}|[[z]]}}b [[A|''B'' [[c]]]] [[File:x.png|thumb|see [[y]]]] [https://e.org the site] [https://e.org] {{open") == "a b B c the site {{open"
+    assert plain("== Head ==\n{| class=x\n! a !! b\n|-\n| style=y | 1 || 2\n|}\nend__TOC__<ref>no</ref><!-- c -->") == "Head\na\nb\n1\n2\nend"
+
+
+def test_request_metadata():
+    assert filters.query_metadata({"metadata.a": "1", "q": "x"}, '{"a": "0", "b": "2"}') == {"a": "1", "b": "2"} and filters.query_metadata({}) is None
+    for parameters, given in (({}, "{"), ({}, "[1]"), ({}, '{"a": 1}'), ({"metadata.a": "x" * 257}, None)):
+        with pytest.raises(ValueError):
+            filters.query_metadata(parameters, given)
+
+
+def test_remote_embedder(spark):
+    from quillstone.operators import ingest
+
+    def call(texts):
+        if "down" in texts:
+            raise ConnectionError
+        if len(texts) > 1 and "odd" in texts:
+            raise RuntimeError("refused")
+        return [[float(len(t)), 1.0] for t in texts]
+
+    embed = lambda texts, batch: [r.v for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").coalesce(1).select(ingest.remote_embedder(call, 2, batch)(F.col("text")).alias("v")).collect()]
+    assert embed(["a", "odd", "bcd"], 2) == [[1.0, 1.0], [3.0, 1.0], [3.0, 1.0]]
+    assert embed(["a", "b", "down", "c"], 2) == [[1.0, 1.0], [1.0, 1.0], [0.0, 0.0], [0.0, 0.0]]
+
+
+def test_parse_files(spark, tmp_path):
+    from quillstone import capabilities
+
+    for name, body in (("a.txt", "plain"), ("b.md", "# T\n\nbody"), ("c.html", "<html lang='fr'><head><title>H</title></head><body><p>in</p></body></html>"), ("d.pdf", "%PDF"), ("e.png", "x"), (".git/f.txt", "no"), ("page", "<!doctype html><body>bare</body>")):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(body)
+    pages = lambda path, content: F.struct(F.lit("").alias("title"), F.array(F.struct(F.lit(1).alias("page"), F.lit(" one ").alias("text")), F.struct(F.lit(2).alias("page"), F.lit(" ").alias("text"))).alias("pages"))
+    got = {r.path.rsplit("/", 1)[1]: r for r in files.parse_files(spark, str(tmp_path), pages).collect()}
+    assert set(got) == {"a.txt", "b.md", "c.html", "d.pdf", "e.png", "page"}
+    assert (got["c.html"].page_title, got["c.html"].content_text, got["c.html"].language) == ("H", "in", "fr") and got["b.md"].page_title == "T" and got["b.md"].content_text == "## T\n\nbody"
+    assert [p.text for p in got["d.pdf"].pages] == ["one"] and got["e.png"].images[0].src.endswith("e.png") and got["page"].content_text == "bare"
+    assert [r.path.rsplit("/", 1)[1] for r in files.listing(files.discover(spark, str(tmp_path)), ("pdf", "image"), 2).collect()] == ["a.txt", "b.md"]
+    elements = capabilities.parser_of("unknown")(files.parse_files(spark, str(tmp_path), pages))
+    assert {r.path.rsplit("/", 1)[1]: r.page for r in elements.where("element_type = 'text' AND page IS NOT NULL").collect()} == {"d.pdf": 1}
+    assert {"chunker", "retriever", "parser:default", "renderer:markdown", "embedder"} <= set(registry.names()) and capabilities.load_extensions("json, no_such_module_here") == ["json"]
+
+
+def test_artifact_files(spark, tmp_path):
+    from quillstone.operators import artifacts
+
+    store_ = artifacts.Artifacts(spark, f"file://{tmp_path}/art")
+    rows = spark.createDataFrame([("Body",)], "content string").select(artifacts.markdown(F.lit("T"), F.col("content")).alias("content"))
+    store_.store("a1", rows)
+    assert store_.get("a1") == "# T\n\nBody\n" and store_.get("none") is None and store_.delete("a1") and store_.get("a1") is None
+
+
+def test_queries_in_blocks(spark, boards, query, monkeypatch):
+    rows = spark.createDataFrame([(i, [float(i % 7), 1.0, float(i % 3)], "q") for i in range(40)] + [(99, [1.0, 2.0], "q")], "query_id long, query_vector array<float>, question string")
+    chunks = spark.createDataFrame([(str(i), [float(i % 5), float(i % 4), 1.0]) for i in range(60)] + [("odd", [1.0, 1.0]), ("none", None), ("zero", [0.0, 0.0, 0.0])], "chunk_id string, embedding array<float>").repartition(3)
+    whole = sorted(map(str, retrieve.cosine_recall(rows, chunks, 5).collect()))
+    monkeypatch.setattr(retrieve, "BLOCK_BYTES", 200)
+    assert sorted(map(str, retrieve.cosine_recall(rows, chunks, 5).collect())) == whole
+    assert len(whole) == 40 * 5 + 1 and not any("zero" in r for r in whole) and sum("odd" in r for r in whole) == 1
