@@ -42,7 +42,7 @@ class Artifacts:
         fs, path = self._fs()
         if not fs.exists(path(f"{self.path}/{artifact_id}")):
             return None
-        return "".join(r.value for r in self.spark.read.option("wholetext", "true").text(f"{self.path}/{artifact_id}").collect())  # one artifact
+        return "".join(r.value for r in self.spark.read.text(f"{self.path}/{artifact_id}", wholetext=True).collect())  # one artifact
 
     def delete(self, artifact_id: str) -> bool:
         fs, path = self._fs()
