@@ -24,14 +24,14 @@ _HTML = pa.struct([("content", pa.string()), ("title", pa.string()), ("language"
 
 
 class _Reader(HTMLParser):
-    """Open elements as a stack; texts go to the first element of each selector that is open, images keep their figure and parent."""
+    """Open elements as a stack. Kept texts stand in one list, of which an element has a stretch: what was added from its start to its end."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.stack: list[dict] = []
         self.dropped = 0
         self.roots: dict[str, dict] = {}
-        self.texts: dict[str, list[str]] = {}
+        self.kept: list[str] = []
         self.title: list[str] | None = None
         self.in_title = False
         self.language = ""
@@ -43,14 +43,14 @@ class _Reader(HTMLParser):
             self.language = a.get("lang") or a.get("xml:lang") or ""
         if tag == "title" and self.title is None:
             self.title, self.in_title = [], True
-        node = {"tag": tag, "texts": [], "caption": None}
+        node = {"tag": tag, "from": len(self.kept), "to": None, "caption": None}
         if tag in DROPPED and tag not in _VOID:
             self.dropped += 1
         if not self.dropped:
             classes = a.get("class", "").split()
             for s in SELECTORS:
                 if s not in self.roots and (s == tag or s[0] == "#" and a.get("id") == s[1:] or s[0] == "." and s[1:] in classes):
-                    self.roots[s], self.texts[s] = node, []
+                    self.roots[s] = node
             if tag == "img" and a.get("src") and not re.search("icon|logo", a["src"].lower()):
                 figure = next((n for n in reversed(self.stack) if n["tag"] == "figure"), None)
                 self.images.append({"src": a["src"], "alt": a.get("alt", ""), "figure": figure, "parent": self.stack[-1] if self.stack else None})
@@ -64,27 +64,26 @@ class _Reader(HTMLParser):
         if at is not None:
             for node in self.stack[at:]:
                 self.dropped -= node["tag"] in DROPPED
+                node["to"] = len(self.kept)
                 if node["tag"] == "figcaption":
                     figure = next((n for n in reversed(self.stack[:at]) if n["tag"] == "figure"), None)
                     if figure is not None:
-                        figure["caption"] = "".join(node["texts"]).strip()
+                        figure["caption"] = "".join(self._texts(node)).strip()
             del self.stack[at:]
 
     def handle_data(self, data: str) -> None:
         if self.in_title and self.title is not None:
             self.title.append(data)
-        if self.dropped:
-            return
-        for node in self.stack:
-            node["texts"].append(data)
-        for s, root in self.roots.items():
-            if any(n is root for n in self.stack):
-                self.texts[s].append(data)
+        if not self.dropped:
+            self.kept.append(data)
+
+    def _texts(self, node: dict) -> list[str]:
+        return self.kept[node["from"] : node["to"]]
 
     def result(self) -> dict:
-        found = next((self.texts[s] for s in SELECTORS if s in self.roots), None)
+        found = next((self._texts(self.roots[s]) for s in SELECTORS if s in self.roots), None)
         images = [
-            {"src": i["src"], "alt": i["alt"], "caption": (i["figure"] or {}).get("caption") or "", "surrounding_text": "".join(i["parent"]["texts"]).strip()[:_MOST_CONTEXT] if i["parent"] else ""}
+            {"src": i["src"], "alt": i["alt"], "caption": (i["figure"] or {}).get("caption") or "", "surrounding_text": "".join(self._texts(i["parent"])).strip()[:_MOST_CONTEXT] if i["parent"] else ""}
             for i in self.images
         ]
         content = None

