@@ -30,11 +30,11 @@ from quillstone.llm.words import SPACE_WORDS, hash_words, row_ranges, utf8
 DEPTH, BITS = 6, 6
 SYMBOLS = 1 << BITS
 START, END, SPACE = 0, 1, 2
-SIGNIFICANCE = 6.0  # the likelihood ratio that a state must reach, per symbol seen after it
-PART = 2_500_000  # counts of the tree that are broadcast at once
+SIGNIFICANCE = 5.0  # the likelihood ratio that a state must reach, per symbol seen after it
+PART = 3_000_000  # counts of the tree that are broadcast at once
 PIECE = 1 << 20  # bytes of text that are worked on at once
 HELD = 1_500_000  # counts that a task holds before it passes them on
-SMOOTHING = 4.0
+SMOOTHING = 3.0  # counts that a state gives to its suffix, per distinct symbol seen after it
 HOT_WORDS = 1 << 18
 _MARKS = b".,;:!?'\"-()"
 
@@ -228,30 +228,34 @@ class Part:
 
 
 def build_part(rows: pa.Table, lo: int, hi: int) -> Part:
-    depth, context, symbol, n = (rows[c].to_numpy().astype(np.int64) for c in ("depth", "context", "symbol", "n"))
-    seen = np.bincount(symbol[depth == 0], n[depth == 0], SYMBOLS)
-    usable = np.arange(SYMBOLS) != START
-    root = (seen + 0.5) / (seen.sum() + 0.5 * usable.sum())
-    deeper = depth > 0  # the root has every symbol
-    depth, context, symbol, n = depth[deeper], context[deeper], symbol[deeper], n[deeper]
-    states, of = np.unique(np.append(context << _DEPTH_BITS | depth, 0), return_inverse=True)
-    total, depths = np.bincount(of[:-1], n, len(states)), states & ((1 << _DEPTH_BITS) - 1)
+    """From (entry, n), entry made up of symbol, context and depth. Arrays are narrow and let go early: a driver has little memory."""
+    entry, n = rows["entry"].to_numpy(), rows["n"].to_numpy()
+    top = (entry & ((1 << _DEPTH_BITS) - 1)) == 0
+    seen = np.bincount(entry[top] >> _SYMBOL_AT, n[top], SYMBOLS)
+    usable = np.flatnonzero(np.arange(SYMBOLS) != START)
+    root = (seen + 0.5) / (seen.sum() + 0.5 * len(usable))
+    entry, n = entry[~top], n[~top].astype(np.float64)  # the root has every symbol
+    states, of = np.unique(np.append(entry & ((1 << _SYMBOL_AT) - 1), 0), return_inverse=True)
+    of = of[:-1].astype(np.int32)
+    total, given = np.bincount(of, n, len(states)), SMOOTHING * np.bincount(of, minlength=len(states))
+    depths = (states & ((1 << _DEPTH_BITS) - 1)).astype(np.int8)
     weights = np.zeros(len(states))
-    entries = np.concatenate([np.flatnonzero(usable) << _SYMBOL_AT, symbol << _SYMBOL_AT | context << _DEPTH_BITS | depth])
-    n, all_of = np.concatenate([np.zeros(usable.sum()), n]), np.concatenate([np.zeros(usable.sum()), total[of[:-1]]])
+    entries = np.concatenate([usable << _SYMBOL_AT, entry])
+    n, of = np.concatenate([np.zeros(len(usable)), n]), np.concatenate([np.zeros(len(usable), np.int32), of])
+    del entry, top
     order = np.argsort(entries)
-    entries, n, all_of = entries[order], n[order], all_of[order]
-    entry_depths = entries & ((1 << _DEPTH_BITS) - 1)
-    probs = np.where(entry_depths == 0, root[entries >> _SYMBOL_AT], 0)
+    entries, n, of = entries[order], n[order], of[order]
+    del order
+    probs = np.where(depths[of] == 0, root[entries >> _SYMBOL_AT], 0)
     for d in range(1, DEPTH + 1):  # a state's suffix is a state and has seen its symbols: it is ready
         width = _DEPTH_BITS + BITS * (DEPTH - d + 1)
         parent = lambda keys: keys >> width << width | (d - 1)  # noqa: B023, E731
         at = np.flatnonzero(depths == d)
-        weights[at] = weights[np.searchsorted(states, parent(states[at]))] + np.log10(SMOOTHING / (total[at] + SMOOTHING))
-        at = np.flatnonzero(entry_depths == d)
-        probs[at] = (n[at] + SMOOTHING * probs[np.searchsorted(entries, parent(entries[at]))]) / (all_of[at] + SMOOTHING)
-    values = np.log10(probs) - weights[np.searchsorted(states, entries & ((1 << _SYMBOL_AT) - 1))]
-    return Part(lo, hi, states, weights, entries, values)
+        weights[at] = weights[np.searchsorted(states, parent(states[at]))] + np.log10(given[at] / (total[at] + given[at]))
+        at = np.flatnonzero(depths[of] == d)
+        share, all_of = given[of[at]], total[of[at]]
+        probs[at] = (n[at] + share * probs[np.searchsorted(entries, parent(entries[at]))]) / (all_of + share)
+    return Part(lo, hi, states, weights, entries, np.log10(probs) - weights[of])
 
 
 @dataclass
@@ -311,7 +315,8 @@ def score_texts(docs: DataFrame, folds: int = 10, fold: int = 0) -> DataFrame:
         docs = materialize(docs, "suffix-texts")
 
     def part(lo: int, hi: int):
-        return sc.broadcast(build_part(within(tree, lo, hi).toArrow(), lo, hi))  # about PART rows
+        entry = F.shiftleft("symbol", _SYMBOL_AT).bitwiseOR(F.shiftleft("context", _DEPTH_BITS)).bitwiseOR(F.col("depth").cast("long"))
+        return sc.broadcast(build_part(within(tree, lo, hi).select(entry.alias("entry"), "n").toArrow(), lo, hi))  # about PART rows
 
     model = part(*parts[0])
 

@@ -1,7 +1,8 @@
 """Vectorised word hashing over Arrow string buffers.
 
 A word's hash is a polynomial over its bytes modulo 2**64, taken from prefix sums, then mixed; it depends on the word
-alone, so every task and every run agrees. Cost is a few nanoseconds a byte, with no Python object per word.
+alone, so every task and every run agrees. Words are told apart by these 64 bits: two of a corpus's words collide by chance alone, but
+long words made to collide (periods of thousands of bytes) can. Cost is a few nanoseconds a byte, with no Python object per word.
 """
 
 from __future__ import annotations

@@ -106,6 +106,8 @@ def test_decontaminate(spark, docs):
     items = spark.createDataFrame([(1, "Alpha beta gamma delta epsilon zeta eta theta"), (2, None), (3, "")], "item_id long, text string")
     assert {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs, items).collect()} == {(1, 1)}
     assert decontaminate.find_leaks(docs, items.where("false")).count() == 0
+    again = decontaminate.find_leaks(docs, items.union(items.where("item_id = 1")).union(items.where("item_id = 1").selectExpr("7L AS item_id", "text"))).collect()
+    assert sorted((r.doc_id, r.item_id) for r in again) == [(1, 1)] * 4 + [(1, 7)] * 2  # two rows of the document, two of the item
     assert decontaminate.find_leaks(spark.createDataFrame([], DOC_SCHEMA), items).count() == 0
 
 
@@ -136,7 +138,7 @@ def test_quality(spark, docs, labels):
     assert quality.classify(spark.createDataFrame([], DOC_SCHEMA), labels).count() == 0
 
 
-def test_warc(spark, tmp_path):
+def test_warc(spark, monkeypatch):
     pages = frame(spark, [*PAGES, (9, "http://c.org/a\nb", "x" * 200), (8, None, "x" * 200)], PAGE_SCHEMA)
     out = warc.round_trip(pages).collect()
     rows = {r.page_id: r for r in out}
@@ -144,6 +146,10 @@ def test_warc(spark, tmp_path):
     assert (rows[9].record_type, rows[9].refers_to, rows[9].payload_bytes) == ("revisit", 8, 200) and rows[8].record_type == "response" and rows[8].refers_to is None
     assert rows[9].url == "http://c.org/a\nb" and rows[8].url is None
     assert warc.round_trip(spark.createDataFrame([], PAGE_SCHEMA)).count() == 0
+    monkeypatch.setattr(warc, "BROADCAST_COPIES", -1)
+    more = [*PAGES, (9, "http://c.org/a", "x" * 200), (None, "http://n.org/", "x" * 200), (8, None, "x" * 200), (None, None, "y" * 300), (None, None, "y" * 300), (4, "u", "x" * 99), (5, "u", "x" * 99)]
+    got = [(r.page_id, r.record_type, r.refers_to) for r in warc.round_trip(frame(spark, more, PAGE_SCHEMA)).collect() if r.payload_bytes in (99, 200, 300)]
+    assert sorted(got, key=str) == sorted([(9, "revisit", 8), (None, "revisit", 8), (8, "response", None), (None, "response", None), (None, "response", None), (4, "response", None), (5, "response", None)], key=str)
 
 
 def test_embeddings(spark):
@@ -153,6 +159,8 @@ def test_embeddings(spark):
     assert rows[3].n_links == 3 and rows[3].component_id == 1 and rows[1].n_links == 3
     assert all(rows[i].n_links == 0 and rows[i].component_id == i and rows[i].kept for i in (4, 5, 6, 7, 8, 9))
     assert embed_dedup.near_duplicates(spark.createDataFrame([], VECTOR_SCHEMA)).count() == 0
+    none = embed_dedup.near_duplicates(spark.createDataFrame([*VECTORS[:2], (None, [1.0, 0.0], 0)], VECTOR_SCHEMA)).where("vec_id IS NULL").collect()
+    assert [(r.n_links, r.component_id, r.kept) for r in none] == [(0, None, False)]
 
 
 def test_pipeline_stages(spark, docs, labels, tagger, tmp_path, monkeypatch):
