@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from quillstone.llm import decontaminate, embed_dedup, graph, html_template, minhash, pii, quality, queries, suffix_tree, warc, words
 from quillstone.llm.tagger import Tagger
@@ -416,6 +417,27 @@ def test_paraphrases_are_found(spark, docs):
     assert len(got & {(i, i - 10_000) for i, _ in rows}) >= 0.9 * len(rows)
 
 
+def test_candidate_search_against_all_passages(spark):
+    """Recall of the latent search against every passage compared on its words, on texts and on items of which 20 to 40 % of the words are changed."""
+    docs = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["doc_id", "text"])
+    items = pq.read_table("/root/testdata/sf0.01/benchmark.parquet").to_pandas()
+    rng, texts = np.random.default_rng(7), [t for t in docs["text"].to_pylist() if len(t) < 8000][:300]
+    for t in items.text:
+        w, host = t.split(), texts[rng.integers(0, 300)].split()
+        for j in rng.choice(len(w), int(len(w) * rng.uniform(0.2, 0.4)), replace=False):
+            w[j] = host[rng.integers(0, len(host))] if host else "x"
+        texts.append(" ".join([*host[:50], *w, *host[50:]]))
+    lower = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", F.lower("text").alias("text"))
+    space = decontaminate.fit_space(lower)
+    data, offsets = words.utf8(pa.array([t.lower() for t in texts]))
+    found = []
+    for cosine, slack in ((decontaminate.COSINE, decontaminate.SLACK), (-2.0, 0.3)):
+        known = decontaminate.Items(items.item_id.tolist(), pa.array(items.text.str.lower()), space, cosine, slack)
+        found.append({(lo + r, i) for lo, hi in words.row_ranges(offsets, 1 << 18) for r, i, *_ in known.leaks(decontaminate.Segments.of(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]))})
+    assert len(found[1]) > 30 and len(found[0] & found[1]) >= 0.9 * len(found[1])
+    print("recall of candidates", len(found[0] & found[1]) / len(found[1]), "of", len(found[1]))
+
+
 def test_quality_on_the_held_out_fold(spark):
     big = "/root/testdata/sf0.01"
     read = lambda t: spark.read.parquet(f"{big}/{t}.parquet")
