@@ -289,9 +289,11 @@ def groups(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame,
     classes = signed.groupBy("text_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_equal"), F.first("bands").alias("bands"), F.first("weight").alias("weight"))
     classes = materialize(classes.withColumn("node", _node(F.col("text_key"))), "classes")
     total = BANDS * classes.count()
-    members = classes.select("node", "bands", F.posexplode("bands").alias("tab", "band"))
+    members = classes.select("node", F.posexplode("bands").alias("tab", "band"))
     size = materialize(members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
-    members = materialize(join_counted(members, size, ["band"], total), "members")
+    # all bands of a class are fetched for those that share one
+    members = join_counted(members, size, ["band"], total).join(classes.select("node", "bands"), "node")
+    members = materialize(members, "members")
     wanted = classes.select("node", "rep").join(members.select("node").distinct(), "node", "left_semi")
     if wanted.count() <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
@@ -330,7 +332,8 @@ def _first_pairs(members: DataFrame, total: int) -> DataFrame:
         if depth:  # cut by the next band too: classes that share more bands are nearer to each other
             again = F.xxhash64("band", F.element_at("bands", (F.pmod(F.col("tab") + depth, count) + 1).cast("int")))
             here = here.drop("n").withColumn("band", again)
-            here = materialize(here.join(here.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "band"), "buckets")
+            shared = here.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+            here = materialize(join_counted(here, shared, ["band"], total), "buckets")
         small = here.where(F.col("n") <= SMALL).select("band", "node")
         found = small.select("band", F.col("node").alias("b")).join(small.select("band", F.col("node").alias("a")), "band").where("a > b").select("a", "b")
         here = here.where(F.col("n") > SMALL)
