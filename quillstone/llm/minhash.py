@@ -34,8 +34,10 @@ TABLE_BITS = 13
 #: How much more the rarest shingle weighs than the most frequent one.
 SPAN = 0.25
 SMALL, DEPTH = 5, 4
-#: Classes of a large bucket that one key of the full comparison holds, twice.
-BLOCK = 256
+#: Classes of a large bucket, and their weight (about their shingles), that one key of the full comparison holds, twice: what bounds a task's memory.
+BLOCK, BLOCK_WEIGHT = 256, 60_000
+#: Bytes of text that are worked on at once.
+PIECE = 1 << 20
 #: Shingles of more classes of two blocks than this are multiplied as a dense matrix, COLUMNS at once; the others pair by pair.
 SPARSE, COLUMNS = 24, 2048
 #: Ids of 8 bytes that are broadcast to read the candidates' texts without moving all others; more are joined by a shuffle.
@@ -65,7 +67,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         data, offsets = utf8(b.column(0))
         rows += b.num_rows
-        for lo, hi in row_ranges(offsets):
+        for lo, hi in row_ranges(offsets, PIECE):
             _, h, _ = weighted_shingles(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
             counts += np.bincount(bucket_of_shingle(h), minlength=1 << IDF_BITS)
     if rows:
@@ -151,7 +153,7 @@ def _similarity(a: pa.Array, b: pa.Array, idf: np.ndarray) -> np.ndarray:
     """The weighted Jaccard similarity of each pair of texts."""
     (da, oa), (db, ob) = utf8(a), utf8(b)
     out = np.zeros(len(a))
-    for lo, hi in row_ranges(oa + ob):
+    for lo, hi in row_ranges(oa + ob, PIECE):
         n = hi - lo
         ra, ha, ca = weighted_shingles(da[oa[lo] : oa[hi]], oa[lo : hi + 1] - oa[lo])
         rb, hb, cb = weighted_shingles(db[ob[lo] : ob[hi]], ob[lo : hi + 1] - ob[lo])
@@ -274,7 +276,7 @@ def groups(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame,
         sampler = Sampler()
         for b in batches:
             data, offsets = utf8(b["text"])
-            for lo, hi in row_ranges(offsets):
+            for lo, hi in row_ranges(offsets, PIECE):
                 row, h, count = weighted_shingles(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 some, first = np.unique(row, return_index=True)
                 weight = damped(count) * idf.value[bucket_of_shingle(h)]
@@ -282,7 +284,7 @@ def groups(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame,
                 cuts = np.zeros(hi - lo + 1, np.int32)
                 cuts[some + 1] = BANDS
                 arrays = [b["doc_id"].slice(lo, hi - lo), b["text_key"].slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(np.cumsum(cuts).astype(np.int32)), pa.array(bands.ravel()))]
-                yield pa.RecordBatch.from_arrays([*arrays, pa.array(np.bincount(row, weight, hi - lo))], ["doc_id", "text_key", "bands", "weight"])
+                yield pa.RecordBatch.from_arrays([*arrays, pa.array(np.bincount(row, weight, hi - lo).astype(np.float64))], ["doc_id", "text_key", "bands", "weight"])
 
     digest = F.md5(F.col("text").cast("binary"))
     signed = materialize(docs.select("doc_id", F.lower("text").alias("text"), digest.alias("text_key")).mapInArrow(sign, _SIGNED), "signatures")
@@ -347,17 +349,18 @@ def _first_pairs(members: DataFrame, total: int) -> DataFrame:
 def _blocks_apart(members: DataFrame, joined: DataFrame, weights: DataFrame, total: int) -> DataFrame:
     """Rows of the full comparison: each large bucket that is not in one component, as pairs (i, j) of blocks of which i has not joined the main component."""
     large = members.join(joined.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    inside = large.groupBy("band", "component").agg(F.count("*").alias("k"))
-    mixed = inside.groupBy("band").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.max("k").alias("in_main"), F.sum("k").alias("n")).where("n > in_main")
-    large = join_counted(large.drop("n"), mixed, ["band"], total)
-    apart, joined_blocks = F.ceil((F.col("n") - F.col("in_main")) / BLOCK).cast("int"), F.ceil(F.col("in_main") / BLOCK).cast("int")
+    large = large.drop("n").join(weights, "node")
+    inside = large.groupBy("band", "component").agg(F.struct(F.count("*").alias("k"), F.sum("weight").alias("w"), F.col("component").alias("main")).alias("of"))
+    mixed = inside.groupBy("band").agg(F.max("of").alias("of"), F.sum("of.k").alias("n"), F.sum("of.w").alias("w")).where("n > of.k").select("band", "n", "w", "of.main", F.col("of.k").alias("in_main"), F.col("of.w").alias("main_w"))
+    large = join_counted(large, mixed, ["band"], total)
+    blocks_of = lambda k, w: F.greatest(F.ceil(k / BLOCK), F.ceil(w / BLOCK_WEIGHT)).cast("int")
+    apart, joined_blocks = blocks_of(F.col("n") - F.col("in_main"), F.col("w") - F.col("main_w")), blocks_of(F.col("in_main"), F.col("main_w"))
     is_main = F.col("component") == F.col("main")
     large = large.withColumn("ra", apart).withColumn("rm", joined_blocks)
     own = F.when(is_main, F.col("ra") + F.pmod(F.xxhash64("node"), F.col("rm")).cast("int")).otherwise(F.pmod(F.xxhash64("node"), F.col("ra")).cast("int"))
     others = F.when(is_main, F.sequence(F.lit(0), F.col("ra") - 1)).otherwise(F.sequence(F.lit(0), F.col("ra") + F.col("rm") - 1))
     large = large.withColumn("own", own).withColumn("other", F.explode(others))
-    large = large.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "tab", "own", "node", "component", "bands")
-    return large.join(weights, "node")
+    return large.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "tab", "own", "node", "component", "bands", "weight")
 
 
 def _key(doc_id: F.Column) -> F.Column:
