@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstone.llm import decontaminate, embed_dedup, html_template, minhash, mixing, pii, quality, suffix_tree, url_filter, warc
+from quillstone.llm import byte_bpe, decontaminate, embed_dedup, html_template, minhash, mixing, pii, quality, suffix_tree, url_filter, warc
 from quillstone.llm.storage import table
 
 
@@ -50,8 +51,12 @@ def op10_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op2_html_template, op3_suffix_tree, op4_pii, op5_decontaminate, op6_mixing, op7_minhash, op8_quality, op9_warc, op10_embed_dedup)}
+    return {f.__name__: f for f in (op1_url_filter, op2_html_template, op3_suffix_tree, op4_pii, op5_decontaminate, op6_mixing, op7_minhash, op8_quality, op9_warc, op10_embed_dedup, op11_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
