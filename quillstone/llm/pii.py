@@ -143,7 +143,7 @@ def plausible(text: str, span: Span) -> bool:
     if kind == 0:
         return edge and "@" in part[1:-1]
     if kind == 1:
-        return edge and [len(p) > 0 and len(p) < 4 and p.isdigit() and int(p) < 256 for p in part.split(".")] == [True] * 4
+        return edge and [bool(re.fullmatch("[0-9]{1,3}", p)) and int(p) < 256 for p in part.split(".")] == [True] * 4
     if kind == 2:
         return edge and 14 <= n <= 19 and luhn(_digits(part)) and not re.search(r"[^0-9 .\-/_]", part)
     groups = re.findall(r"[0-9]+", part)

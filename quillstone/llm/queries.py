@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstone.llm import byte_bpe, decontaminate, embed_dedup, html_template, minhash, mixing, pii, quality, suffix_tree, url_filter, warc
+from quillstone.llm import byte_bpe, decontaminate, embed_dedup, html_template, lexical, minhash, mixing, pii, quality, suffix_tree, url_filter, warc, whitening
 from quillstone.llm.storage import table
 
 
@@ -55,9 +55,17 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op2_html_template, op3_suffix_tree, op4_pii, op5_decontaminate, op6_mixing, op7_minhash, op8_quality, op9_warc, op10_embed_dedup, op11_byte_bpe)}
+    return {f.__name__: f for f in (op1_url_filter, op2_html_template, op3_suffix_tree, op4_pii, op5_decontaminate, op6_mixing, op7_minhash, op8_quality, op9_warc, op10_embed_dedup, op11_byte_bpe, op12_whitening, op13_lexical)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": url_filter.ORACLE, "op6_mixing": mixing.ORACLE, "op9_warc": warc.ORACLE}
+    return {"op1_url_filter": url_filter.ORACLE, "op6_mixing": mixing.ORACLE, "op9_warc": warc.ORACLE, "op13_lexical": lexical.ORACLE}

@@ -382,9 +382,10 @@ def test_detection_end_to_end(spark, docs):
 def test_a_million_keys():
     from quillstone.llm.url_filter import DigestArray
 
-    index = DigestArray.build((f"host{i % 999_000}.example/{i % 7}", 1 + i % 2) for i in range(1_000_000))
+    entry = lambda i: f"host{i}.example/{i % 7}"
+    index = DigestArray.build((entry(i % 999_000), 1 + i % 2) for i in range(1_000_000))  # the last thousand repeat the first
     assert (np.diff(index.keys.astype(object)) >= 0).all() and len(index.keys) < 1_000_000
-    wanted = [f"host{i}.example/{i % 7}".encode() for i in range(0, 999_000, 999)]
+    wanted = [entry(i).encode() for i in range(0, 999_000, 999)]
     assert (index.probe(wanted) > 0).all() and not index.probe([w + b"x" for w in wanted]).any()
 
 
@@ -492,3 +493,20 @@ def test_blocks_of_a_large_bucket(spark, monkeypatch):
     rows = [(i, [1.0, 0.001 * (i % 50)], 0) for i in range(100)]
     out = embed_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
     assert {r.n_links for r in out} == {99} and {r.component_id for r in out} == {0}
+
+
+def test_digits_of_other_scripts():
+    assert not pii.plausible("x 1.1.1.² y", (2, 1, 9)) and not pii.plausible("x 1.1.1.٣ y", (2, 1, 9)) and pii.plausible("x 1.1.1.25 y", (2, 1, 10))
+
+
+def test_items_without_words_take_no_room(spark, docs, monkeypatch):
+    """Only items that hold a word count against the bound, and a benchmark beyond it is refused, not cut."""
+    items = pq.read_table(f"{SF}/benchmark.parquet").to_pandas()
+    leak = next((d, i) for d in docs.text for i in items.text if i.lower() in d.lower())
+    frame = spark.createDataFrame([(1, leak[0]), (2, "nothing of it")], "doc_id long, text string")
+    empty = [(i, x) for i, x in enumerate([None, "", "  ", "?!", "\n"] * 4)]
+    monkeypatch.setattr(decontaminate, "MOST_QUERIES", 50)
+    benchmark = spark.createDataFrame([*empty, (99, leak[1])], "item_id long, text string")
+    assert [(r.doc_id, r.item_id) for r in decontaminate.find_leaks(frame, benchmark).collect()] == [(1, 99)]
+    with pytest.raises(ValueError, match="at most"):
+        decontaminate.load_items(frame, spark.createDataFrame([(i, f"w{i}") for i in range(51)], "item_id long, text string"))
