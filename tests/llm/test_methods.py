@@ -507,6 +507,7 @@ def test_items_without_words_take_no_room(spark, docs, monkeypatch):
     empty = [(i, x) for i, x in enumerate([None, "", "  ", "?!", "\n"] * 4)]
     monkeypatch.setattr(decontaminate, "MOST_QUERIES", 50)
     benchmark = spark.createDataFrame([*empty, (99, leak[1])], "item_id long, text string")
-    assert [(r.doc_id, r.item_id) for r in decontaminate.find_leaks(frame, benchmark).collect()] == [(1, 99)]
+    space = decontaminate.fit_space(spark.createDataFrame(docs[["doc_id", "text"]]).withColumn("text", F.lower("text")))
+    assert [(r.doc_id, r.item_id) for r in decontaminate.find_leaks(frame, benchmark, space).collect()] == [(1, 99)]
     with pytest.raises(ValueError, match="at most"):
         decontaminate.load_items(frame, spark.createDataFrame([(i, f"w{i}") for i in range(51)], "item_id long, text string"))
