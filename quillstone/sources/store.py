@@ -1,12 +1,19 @@
 """The chunk store: keyed writes as pure functions of DataFrames, and a Parquet table that commits their results.
 
-A commit writes new files beside the old ones and then a new manifest, so a job that dies leaves the table as it was, and
-readers keep the version that they began with. One writer at a time.
+A commit writes new files beside the old ones, then a manifest under a name of its own, and gives it its version's name by one step that fails if that name is taken. So a
+job that dies leaves the table as it was, readers keep the version that they began with, and of several writers one is first: the others apply their change to
+the version that they find then, if it touches no partition that they read or write, and are refused otherwise.
 """
 
 from __future__ import annotations
 
+import contextlib
+import os
+import time
 import uuid
+from collections.abc import Callable
+from dataclasses import dataclass
+from urllib.parse import unquote, urlparse
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -46,10 +53,38 @@ def patch(existing: DataFrame, condition: Column, values: dict[str, Column]) ->
     return existing.withColumns({c: F.when(hit, v).otherwise(F.col(c)) if c in existing.columns else F.when(hit, v) for c, v in values.items()})
 
 
+class Conflict(RuntimeError):
+    """Another writer changed what a commit is based on."""
+
+
+@dataclass(frozen=True)
+class Snapshot:
+    """A version of a table, and the folder of each of its partitions."""
+
+    version: int
+    folders: dict[str, str]
+
+    def changed(self, other: Snapshot) -> set[str]:
+        return {p for p in self.folders.keys() | other.folders.keys() if self.folders.get(p) != other.folders.get(p)}
+
+
+def retried[T](work: Callable[[], T], attempts: int = 5, pause: float = 0.2) -> T:
+    """``work`` done anew on each Conflict, after pause * 2**n seconds."""
+    for n in range(attempts):
+        try:
+            return work()
+        except Conflict:
+            if n + 1 == attempts:
+                raise
+            time.sleep(pause * 2**n)
+    raise ValueError("no attempts")
+
+
 class Table:
     """A Parquet table of partitions: path/data holds their files, path/current one manifest a version, which lists the folders in force by partition.
 
-    A commit writes the partitions that it touches, and a manifest that keeps the folders of all others; a job that dies before its manifest leaves the table as it was.
+    A commit writes the partitions that it touches, and a manifest that keeps the folders of all others; a job that dies before its manifest has its version's name leaves the table
+    as it was. Files that no manifest lists are never read.
     """
 
     def __init__(self, spark: SparkSession, path: str, schema=CHUNKS, partition: str | None = "kb_id") -> None:
@@ -67,68 +102,126 @@ class Table:
     def version(self) -> int:
         return max((int(n) for n in self._names(f"{self.path}/current") if n.isdigit()), default=0)
 
-    def folders(self) -> dict[str, str]:
-        """Of the version in force: partition -> folder."""
+    def snapshot(self) -> Snapshot:
+        """The version in force."""
         fs, path = self._fs()
-        if not self.version():
-            return {}
-        stream = fs.open(path(f"{self.path}/current/{self.version()}"))
+        version = self.version()
+        if not version:
+            return Snapshot(0, {})
+        stream = fs.open(path(f"{self.path}/current/{version}"))
         try:
             text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
         finally:
             stream.close()
-        return dict(line.split("\t") for line in text.splitlines())
+        return Snapshot(version, dict(line.split("\t") for line in text.splitlines()))
+
+    def folders(self) -> dict[str, str]:
+        """Of the version in force: partition -> folder."""
+        return self.snapshot().folders
 
-    def read(self, partitions: list[str] | None = None) -> DataFrame:
-        """The table, or some of its partitions: the files of all others are not looked at."""
-        found = self.folders()
-        paths = [f for k, f in sorted(found.items()) if partitions is None or k in partitions]
-        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
+    def _load(self, folders: list[str]) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(*folders) if folders else self.spark.createDataFrame([], self.schema)
 
-    def commit(self, rows: DataFrame, touched: list[str] | None = None) -> None:
-        """``rows`` are all rows of the partitions ``touched`` (None: of the whole table)."""
+    def read(self, partitions: list[str] | None = None, at: Snapshot | None = None) -> DataFrame:
+        """The table, or some of its partitions (the files of all others are not looked at), in the version in force or ``at`` one."""
+        found = (at or self.snapshot()).folders
+        return self._load([f for k, f in sorted(found.items()) if partitions is None or k in partitions])
+
+    def commit(self, rows: DataFrame, touched: list[str] | None = None, base: Snapshot | None = None, clash: Callable[[DataFrame], bool] | None = None) -> int:
+        """``rows`` are all rows of the partitions ``touched`` (None: of the whole table), derived from version ``base``; the number of the version that has them.
+
+        Conflict if another writer changed one of these since, or if ``clash`` holds for the rows of the partitions that did change.
+        """
+        base = base or self.snapshot()
         folder, copy = f"{self.path}/data/v-{uuid.uuid4().hex}", "partition_of_row"
         value = F.coalesce(F.col(self.partition), F.lit("")) if self.partition else F.lit("")
         rows.select(*self.schema.fieldNames(), F.concat(F.lit("p"), value).alias(copy)).write.partitionBy(copy).parquet(folder)
-        written = {n.split("=", 1)[1][1:]: f"{folder}/{n}" for n in self._names(folder) if n.startswith(f"{copy}=")}
-        kept = {} if touched is None else {k: f for k, f in self.folders().items() if k not in touched}
-        self._publish(kept | written)
-
-    def _publish(self, folders: dict[str, str]) -> None:
+        written = {unquote(n.split("=", 1)[1])[1:]: f"{folder}/{n}" for n in self._names(folder) if n.startswith(f"{copy}=")}
+        return self._publish(written, touched, base, clash)
+
+    def _publish(self, written: dict[str, str], touched: list[str] | None, base: Snapshot, clash: Callable[[DataFrame], bool] | None = None) -> int:
+        """A version in which ``written`` takes the place of the partitions ``touched``."""
+        while True:
+            last = self.snapshot()
+            if changed := base.changed(last):
+                if touched is None or changed.intersection(touched) or changed & written.keys():
+                    raise Conflict(f"{self.path}: version {last.version} changed what version {base.version} was read for")
+                if clash and clash(self._load([last.folders[p] for p in sorted(changed & last.folders.keys())])):
+                    raise Conflict(f"{self.path}: version {last.version} has rows that clash with the new ones")
+            kept = {} if touched is None else {k: f for k, f in last.folders.items() if k not in touched}
+            if self._claim(last.version + 1, kept | written):
+                return last.version + 1
+            base = last  # its own changes have been looked at
+
+    def _claim(self, version: int, folders: dict[str, str]) -> bool:
+        """Whether this writer is the one that made the version. The manifest is whole before it has the version's name."""
         fs, path = self._fs()
-        out = fs.create(path(f"{self.path}/current/{self.version() + 1}"), False)  # fails if another writer was first
+        mine, name = f"{self.path}/current/_{uuid.uuid4().hex}", f"{self.path}/current/{version}"
+        out = fs.create(path(mine), False)
         try:
             out.write(bytearray("".join(f"{k}\t{f}\n" for k, f in sorted(folders.items())).encode()))
         finally:
             out.close()
+        return self._rename(mine, name)
+
+    def _rename(self, mine: str, name: str) -> bool:
+        """``mine`` under a new name, in one step that fails if the name is taken: a hard link in a local folder, elsewhere the file system's rename without overwriting."""
+        fs, path = self._fs()
+        if fs.getUri().getScheme() == "file":
+            local = [urlparse(str(path(p).toUri().getPath())).path for p in (mine, name)]
+            try:
+                os.link(*local)
+            except FileExistsError:
+                return False
+            finally:
+                fs.delete(path(mine), False)
+            return True
+        return self._rename_without_links(mine, name)
+
+    def _rename_without_links(self, mine: str, name: str) -> bool:
+        fs, path = self._fs()
+        jvm, gateway = self.spark._jvm, self.spark.sparkContext._gateway
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark._jsc.hadoopConfiguration())
+        try:
+            context.rename(path(mine), path(name), gateway.new_array(getattr(jvm, "org.apache.hadoop.fs.Options$Rename"), 0))
+        except Exception:
+            fs.delete(path(mine), False)
+            if fs.exists(path(name)):
+                return False
+            raise
+        return True
 
     def _partitions(self, rows: DataFrame) -> list[str]:
         value = F.coalesce(F.col(self.partition), F.lit("")) if self.partition else F.lit("")
         return [r[0] for r in rows.select(value).distinct().collect()]  # names of partitions
 
-    def upsert(self, new: DataFrame, key: str = "chunk_id", order: str | None = None) -> None:
-        """Rewrites the partitions that get rows or lose some to a key of another partition."""
-        here = self.read()
-        touched = sorted({*self._partitions(new), *self._partitions(here.join(new.select(key).distinct(), key, "left_semi"))})
-        self.commit(upsert(self.read(touched), new, key, order), touched)
+    def upsert(self, new: DataFrame, key: str = "chunk_id", order: str | None = None, base: Snapshot | None = None) -> None:
+        """Rewrites the partitions that get rows or lose some to a key of another partition. Writers of other keys in other partitions don't stand in its way; Conflict else."""
+        base = base or self.snapshot()
+        keys = new.select(key).distinct()
+        touched = sorted({*self._partitions(new), *self._partitions(self.read(at=base).join(keys, key, "left_semi"))})
+        self.commit(upsert(self.read(touched, base), new, key, order), touched, base, lambda rows: not rows.join(keys, key, "left_semi").isEmpty())
 
     def delete(self, condition: Column) -> None:
-        touched = self._partitions(self.read().where(F.coalesce(condition, F.lit(False))))
-        self.commit(delete(self.read(touched), condition), touched)
+        base = self.snapshot()
+        touched = self._partitions(self.read(at=base).where(F.coalesce(condition, F.lit(False))))
+        self.commit(delete(self.read(touched, base), condition), touched, base)
 
     def patch(self, condition: Column, values: dict[str, Column]) -> int:
         """1 if any row was patched, else 0. The partition column is not patched."""
-        touched = self._partitions(self.read().where(F.coalesce(condition, F.lit(False))))
+        base = self.snapshot()
+        touched = self._partitions(self.read(at=base).where(F.coalesce(condition, F.lit(False))))
         if touched:
-            self.commit(patch(self.read(touched), condition, values), touched)
+            self.commit(patch(self.read(touched, base), condition, values), touched, base)
         return int(bool(touched))
 
-    def drop_partition(self, name: str) -> None:
+    def drop_partition(self, name: str, base: Snapshot | None = None) -> None:
         """Nothing is rewritten."""
-        self._publish({k: f for k, f in self.folders().items() if k != name})
+        self._publish({}, [name], base or self.snapshot())
 
     def clear(self) -> None:
-        self._publish({})
+        """An empty version after all others, whatever these have changed."""
+        retried(lambda: self._publish({}, None, self.snapshot()))
 
 
 def chunk_table(spark: SparkSession, path: str, dimension: int) -> Table:
@@ -151,17 +244,22 @@ class DocumentCatalog:
         self.table = table
 
     def create(self, rows: DataFrame) -> None:
-        """Adds records; FileExistsError if one has the key of another."""
+        """Adds records; FileExistsError if one has the key of another, also of one that another writer adds meanwhile."""
         key = [F.coalesce(c, F.lit("")).alias(c) for c in self.KEY]
-        every = self.table.read().select(*key).union(rows.select(*key))
-        taken = every.groupBy(*self.KEY).count().where("count > 1").limit(1).collect()
-        if taken:
-            raise FileExistsError(str(taken[0][:3]))
-        self.table.upsert(rows, "doc_id")
+
+        def add() -> None:
+            base = self.table.snapshot()
+            every = self.table.read(at=base).select(*key).union(rows.select(*key))
+            taken = every.groupBy(*self.KEY).count().where("count > 1").limit(1).collect()
+            if taken:
+                raise FileExistsError(str(taken[0][:3]))
+            self.table.upsert(rows, "doc_id", base=base)
+
+        retried(add)
 
     def update(self, doc_id: str, **values: Column) -> None:
         """Sets columns of a document's record; LookupError if there is none."""
-        if not self.table.patch(F.col("doc_id") == doc_id, values):
+        if not retried(lambda: self.table.patch(F.col("doc_id") == doc_id, values)):
             raise LookupError(doc_id)
 
     def finalize(self, doc_id: str, chunks: int) -> None:
@@ -169,17 +267,22 @@ class DocumentCatalog:
 
     def delete_kb(self, kb_id: str) -> int:
         """The number of records that are gone."""
-        gone = self.table.read([kb_id]).count()
-        self.table.drop_partition(kb_id)
-        return gone
+
+        def drop() -> int:
+            base = self.table.snapshot()
+            gone = self.table.read([kb_id], base).count()
+            self.table.drop_partition(kb_id, base)
+            return gone
+
+        return retried(drop)
 
 
 def remove_document(chunks: Table, catalog: DocumentCatalog, doc_id: str) -> bool:
     """Whether the document was there. Its record goes with its chunks, so that it can be uploaded again; without it nothing is done."""
     here = not chunks.read().where(F.col("doc_id") == doc_id).limit(1).isEmpty()
     if here:
-        chunks.delete(F.col("doc_id") == doc_id)
-    catalog.table.delete(F.col("doc_id") == doc_id)
+        retried(lambda: chunks.delete(F.col("doc_id") == doc_id))
+    retried(lambda: catalog.table.delete(F.col("doc_id") == doc_id))
     return here
 
 
@@ -192,8 +295,8 @@ class KnowledgeBases:
     def list(self) -> DataFrame:
         return self.table.read().orderBy("kb_id")
 
-    def _has(self, kb_id: str) -> bool:
-        return not self.table.read().where(F.col("kb_id") == kb_id).isEmpty()
+    def _has(self, kb_id: str, at: Snapshot | None = None) -> bool:
+        return not self.table.read(at=at).where(F.col("kb_id") == kb_id).isEmpty()
 
     @staticmethod
     def _check(kb_id: str, name: str, description: str, settings_json: str) -> None:
@@ -207,20 +310,28 @@ class KnowledgeBases:
 
     def create(self, kb_id: str, name: str, now: str, description: str = "", settings_json: str = "{}") -> None:
         self._check(kb_id, name, description, settings_json)
-        if self._has(kb_id):
-            raise FileExistsError(kb_id)
-        self.table.upsert(self.table.spark.createDataFrame([(kb_id, name.strip(), description, now, now, settings_json)], self.table.schema), "kb_id")
+        row = self.table.spark.createDataFrame([(kb_id, name.strip(), description, now, now, settings_json)], self.table.schema)
+
+        def add() -> None:
+            base = self.table.snapshot()
+            if self._has(kb_id, base):
+                raise FileExistsError(kb_id)
+            self.table.upsert(row, "kb_id", base=base)
+
+        retried(add)
 
     def update(self, kb_id: str, now: str, name: str | None = None, description: str | None = None, settings_json: str | None = None) -> None:
         """Sets what is given, and updated_at."""
         self._check(kb_id, "x" if name is None else name, description or "", settings_json or "{}")
         given = {"name": name and name.strip(), "description": description, "settings_json": settings_json, "updated_at": now}
-        if not self.table.patch(F.col("kb_id") == kb_id, {k: F.lit(v) for k, v in given.items() if v is not None}):
+        if not retried(lambda: self.table.patch(F.col("kb_id") == kb_id, {k: F.lit(v) for k, v in given.items() if v is not None})):
             raise LookupError(kb_id)
 
     def seed(self, now: str) -> None:
+        """The default knowledge base is there afterwards, also where several writers seed at once: the first one's stays."""
         if not self._has(DEFAULT_KB):
-            self.create(DEFAULT_KB, "Default", now)
+            with contextlib.suppress(FileExistsError):
+                self.create(DEFAULT_KB, "Default", now)
 
     def delete(self, kb_id: str) -> int:
         """Chunks, then catalogue, then the registry; returns the number of chunks seen (counted up to COUNT_MOST)."""
@@ -230,5 +341,5 @@ class KnowledgeBases:
             raise LookupError(kb_id)
         seen = self.chunks.read([kb_id]).limit(COUNT_MOST).count()
         for t in (self.chunks, self.catalog, self.table):
-            t.delete(F.col("kb_id") == kb_id) if t.partition != "kb_id" else t.drop_partition(kb_id)
+            retried(lambda t=t: t.delete(F.col("kb_id") == kb_id) if t.partition != "kb_id" else t.drop_partition(kb_id))
         return seen
