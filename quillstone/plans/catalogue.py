@@ -294,15 +294,17 @@ def dedup_documents(spark, d):
     return dedup.distinct_contents(docs, "doc_id", "digest")
 
 
-_HISTORY = f"""{derive.DOCUMENTS}, i AS (SELECT *, sha256(text) AS h FROM docs),
-old AS (SELECT kb_id, h, min(source_path) AS p, min(language) AS l FROM i WHERE doc_id::BIGINT % 2 = 0 GROUP BY kb_id, h)"""
+@query(f"WITH {derive.DOCUMENTS}, {derive.UPLOADS} SELECT seq, doc_id, status FROM uploads")
+def dedup_status(spark, d):
+    old, incoming = derive.upload_history(spark, d)
+    return dedup.upload_status(incoming, old, "seq").select("seq", "doc_id", "status")
 
 
-@query(f"""WITH {_HISTORY} SELECT doc_id, CASE WHEN old.h IS NULL THEN 'accepted' WHEN old.p <> source_path OR old.l <> language THEN 'metadata_updated' ELSE 'already_exists' END AS status,
-CASE WHEN old.h IS NULL OR old.p = source_path THEN source_path ELSE old.p || ',' || source_path END AS paths, 'language=' || language AS metadata FROM i LEFT JOIN old ON i.kb_id = old.kb_id AND i.h = old.h""")
-def dedup_status(spark, d):
+@query(f"""WITH {derive.DOCUMENTS}, {derive.UPLOADS} SELECT kb_id, 'sha256:' || h AS content_hash, coalesce(any_value(old_id), arg_min(doc_id, seq)) AS doc_id,
+concat_ws(',', any_value(p), string_agg(source_path, ',' ORDER BY seq) FILTER (WHERE m = 1 AND source_path IS DISTINCT FROM p)) AS paths, 'language=' || arg_max(language, seq) AS metadata FROM uploads GROUP BY kb_id, h""")
+def dedup_records(spark, d):
     old, incoming = derive.upload_history(spark, d)
-    return dedup.upload_status(incoming, old).select("doc_id", "status", F.array_join("source_paths", ",").alias("paths"), joined_map(F.col("user_metadata")).alias("metadata"))
+    return dedup.merged_records(incoming, old, "seq").select("kb_id", "content_hash", "doc_id", F.array_join("source_paths", ",").alias("paths"), joined_map(F.col("user_metadata")).alias("metadata"))
 
 
 @query("""SELECT c_custkey, 'nation=' || c_nationkey || ';segment=' || CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment ELSE 'old' END AS metadata, c_custkey % 3 = 0 AS changed FROM customer""")

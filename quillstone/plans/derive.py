@@ -44,12 +44,27 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def upload_history(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(catalog, incoming): even documents were uploaded before, all come in again with their source as metadata."""
-    d = documents(spark, sf_dir).select("doc_id", "kb_id", content_hash(F.col("text")).alias("content_hash"), F.lit("chunks").alias("collection_name"), "source_path", "language")
-    paths, meta = F.array("source_path"), F.create_map(F.lit("language"), F.col("language"))
-    old = d.where(F.col("doc_id").cast("long") % 2 == 0).groupBy("kb_id", "content_hash", "collection_name").agg(F.min_by("doc_id", F.col("doc_id").cast("long")).alias("doc_id"), F.min("source_path").alias("p"), F.min("language").alias("l"))
+    """(catalog, incoming): even documents were uploaded before; all come in with their language as metadata, then every fifth once more. seq is the order of the uploads."""
+    d = documents(spark, sf_dir).select("doc_id", "kb_id", content_hash(F.col("text")).alias("content_hash"), F.lit("chunks").alias("collection_name"), "source_path", "language", F.col("doc_id").cast("long").alias("seq"))
+    old = d.where("seq % 2 = 0").groupBy("kb_id", "content_hash", "collection_name").agg(F.min_by("doc_id", "seq").alias("doc_id"), F.min("source_path").alias("p"), F.min("language").alias("l"))
     old = old.select("doc_id", "kb_id", "content_hash", "collection_name", F.array("p").alias("source_paths"), F.create_map(F.lit("language"), F.col("l")).alias("user_metadata"), F.lit("completed").alias("status"))
-    return old, d.select("doc_id", "kb_id", "content_hash", "collection_name", paths.alias("source_paths"), meta.alias("user_metadata"))
+    both = d.unionByName(d.where("seq % 5 = 0").withColumn("seq", F.col("seq") + AGAIN))
+    return old, both.select("doc_id", "kb_id", "content_hash", "collection_name", F.array("source_path").alias("source_paths"), F.create_map(F.lit("language"), F.col("language")).alias("user_metadata"), "seq")
+
+
+#: What is added to the order of uploads that come once more.
+AGAIN = 10**12
+
+UPLOADS = f"""i AS (SELECT *, sha256(text) AS h, doc_id::BIGINT AS seq FROM docs),
+old AS (SELECT kb_id, h, min(source_path) AS p, min(language) AS l, arg_min(doc_id, seq) AS old_id FROM i WHERE seq % 2 = 0 GROUP BY kb_id, h),
+up AS (SELECT * FROM i UNION ALL SELECT * REPLACE (seq + {AGAIN} AS seq) FROM i WHERE seq % 5 = 0),
+told AS (
+  SELECT up.*, old_id, p, l, row_number() OVER (PARTITION BY up.kb_id, up.h ORDER BY seq) AS n, row_number() OVER (PARTITION BY up.kb_id, up.h, source_path ORDER BY seq) AS m,
+         lag(language) OVER (PARTITION BY up.kb_id, up.h ORDER BY seq) AS b
+  FROM up LEFT JOIN old ON up.kb_id = old.kb_id AND up.h = old.h),
+uploads AS (
+  SELECT *, CASE WHEN old_id IS NULL AND n = 1 THEN 'accepted' WHEN m = 1 AND source_path IS DISTINCT FROM p OR language IS DISTINCT FROM coalesce(b, l) THEN 'metadata_updated' ELSE 'already_exists' END AS status
+  FROM told)"""
 
 
 CHUNKS = """chunks AS (

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quillstone.functions import filters, text
 from quillstone.operators import artifacts, context, dedup, ingest, parse, retrieve
 from quillstone.plans import derive
-from quillstone.plans.catalogue import _HITS, _HISTORY, _STRIP, _hits, _split_sql, joined_map, query
+from quillstone.plans.catalogue import _HITS, _STRIP, _hits, _split_sql, joined_map, query
 from quillstone.sources import files
 
 NOW = "2024-01-01T00:00:00+00:00"
@@ -171,11 +171,11 @@ def source_list(spark, d):
     return s.select("query_id", F.md5(F.array_join("documents", "|").cast("binary")).alias("documents"), "sources")
 
 
-@query(f"""WITH {_HISTORY}, r AS (SELECT kb_id AS job_id, old.h IS NULL AS fresh FROM i LEFT JOIN old USING (kb_id, h))
-SELECT job_id, count(*)::BIGINT AS pages, count(*) FILTER (fresh)::BIGINT AS new_pages, count(*) FILTER (NOT fresh)::BIGINT AS known_pages FROM r GROUP BY job_id""")
+@query(f"""WITH {derive.DOCUMENTS}, {derive.UPLOADS}
+SELECT kb_id AS job_id, count(*)::BIGINT AS pages, count(*) FILTER (status = 'accepted')::BIGINT AS new_pages, count(*) FILTER (status <> 'accepted')::BIGINT AS known_pages FROM uploads GROUP BY kb_id""")
 def import_counts(spark, d):
     old, incoming = derive.upload_history(spark, d)
-    return ingest.import_counts(dedup.upload_status(incoming, old).select(F.col("kb_id").alias("job_id"), "status"))
+    return ingest.import_counts(dedup.upload_status(incoming, old, "seq").select(F.col("kb_id").alias("job_id"), "status"))
 
 
 @query("SELECT event_id AS request_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 100")

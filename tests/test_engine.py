@@ -205,15 +205,6 @@ def test_files(spark, tmp_path):
     assert f(files.mime_type(F.lit("a.md"))) == "text/markdown" and f(files.mime_type(F.lit("a.zz"), F.lit("image/png"))) == "image/png"
 
 
-def test_upload_status(spark):
-    schema = f"doc_id string, kb_id string, content_hash string, collection_name string, source_paths array<string>, {META}"
-    old = spark.createDataFrame([("d", "k", "h", "c", ["a.txt"], {"p": "1"}, "completed"), ("e", "k", "h2", "c", ["b.txt"], None, "pending")], schema + ", status string")
-    new = [("A", "k", "h", "c", ["a.txt"], {"p": "1"}), ("B", "k", "h", "c", ["z.txt"], None), ("C", "k", "h", "c", ["a.txt"], {"p": "2", "q": "3"}), ("D", "other", "h", "c", ["a.txt"], {}), ("E", "k", "h2", "c", ["b.txt"], {})]
-    got = {r.doc_id: r for r in dedup.upload_status(spark.createDataFrame(new, schema), old).collect()}
-    assert {k: r.status for k, r in got.items()} == {"A": "already_exists", "B": "metadata_updated", "C": "metadata_updated", "D": "accepted", "E": "accepted"}
-    assert got["B"].source_paths == ["a.txt", "z.txt"] and got["C"].user_metadata == {"p": "2", "q": "3"}
-
-
 def test_store(spark, tmp_path, boards):
     table = store.Table(spark, f"file://{tmp_path}/t")
     full = boards.withColumns({n: F.lit(None).cast(t) for n, t in (("source_paths", "array<string>"), ("section_path", "string"), ("chunk_index", "int"), ("chunk_type", "string"), ("language", "string"), ("image_path", "string"), ("ingestion_timestamp", "string"), ("content_hash_algorithm", "string"), ("metadata_updated_at", "string"))})
