@@ -18,6 +18,7 @@ from urllib.parse import unquote, urlparse
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillstone import runs
 from quillstone.functions.filters import metadata_equals
 from quillstone.schemas import CHUNKS, DEFAULT_KB
 
@@ -142,6 +143,7 @@ class Table:
     def _publish(self, written: dict[str, str], touched: list[str] | None, base: Snapshot, clash: Callable[[DataFrame], bool] | None = None) -> int:
         """A version in which ``written`` takes the place of the partitions ``touched``."""
         while True:
+            runs.checkpoint()  # a cancelled run publishes nothing
             last = self.snapshot()
             if changed := base.changed(last):
                 if touched is None or changed.intersection(touched) or changed & written.keys():
