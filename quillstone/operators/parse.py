@@ -194,7 +194,7 @@ def plain_wikitext(text: str) -> str:
         elif table:
             if bare[:1] in ("|", "!") and not bare.startswith("|-"):
                 cells = bare[1:].split("!!" if bare[0] == "!" else "||")
-                out += [c for c in (x.rpartition("|")[2].strip() for x in cells) if c]
+                out += [c for c in ((x.partition("|")[2] if "|" in x else x).strip() for x in cells) if c]
         else:
             marks = min(len(bare) - len(bare.lstrip("=")), len(bare) - len(bare.rstrip("=")), 6)
             out.append(bare[marks:-marks].strip() if marks and bare.strip("=") else line)

@@ -16,7 +16,8 @@ MIME = {"txt": "text/plain", "text": "text/plain", "log": "text/plain", "html":
 SKIPPED_DIRS = (".git", "__pycache__", "resources", "node_modules")
 SKIPPED_NAMES = ("File:", "Special:", "Category:", "Talk:", "Template:")
 UNKNOWN = "application/octet-stream"
-SNIFFED = 1024
+#: Bytes of a file that its type is told by, and of a file without an extension that is opened for them, at most.
+SNIFFED, SNIFFED_MOST = 1024, 64 << 20
 
 
 def extension(path: Column) -> Column:
@@ -64,6 +65,7 @@ def scanned_pdf(mime: Column, metadata: Column) -> Column:
 
 
 def files(spark: SparkSession, path: str, content: bool = True) -> DataFrame:
+    """The files below a path: path, modificationTime, length, content. A plan that does not ask for content opens none, and one with a filter on _metadata only those that it leaves."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return found if content else found.drop("content")
 
@@ -75,12 +77,32 @@ def skipped(path: Column) -> Column:
     return below | basename(path).rlike("^(" + "|".join(SKIPPED_NAMES) + ")")
 
 
+def _name_extension() -> Column:
+    """The extension by the scan's own column: a filter on it drops files when they are listed, before any is opened."""
+    return extension(F.col("_metadata.file_name"))
+
+
+def _walked() -> Column:
+    """What skipped() leaves, by the scan's own columns, so that no other file is opened."""
+    below = "/(" + "|".join(d.replace(".", r"\.") for d in SKIPPED_DIRS) + ")/"
+    return ~F.col("_metadata.file_name").rlike("^(" + "|".join(SKIPPED_NAMES) + ")") & ~F.col("_metadata.file_path").rlike(below)
+
+
+def of_type(found: DataFrame, kind: str) -> DataFrame:
+    """The rows of files() that have a type; only files whose names have its extensions are opened, and for HTML those without an extension (of SNIFFED_MOST bytes at most), by whose content it is
+    decided. Where the content is not asked for, none is opened."""
+    names = _name_extension().isin(*TYPES[kind])
+    if kind != "html":
+        return found.where(names & _walked())
+    bare = (_name_extension() == "") & (F.col("_metadata.file_size") <= SNIFFED_MOST)
+    return found.where((names | bare) & _walked()).where(F.coalesce(classify(F.col("path"), F.col("content")) == kind, F.lit(False)))
+
+
 def discover(spark: SparkSession, path: str) -> DataFrame:
-    """(path, length, type) of the files below a path that are not skipped and have a known type. Only the heads of files are looked at."""
-    kept = files(spark, path, content=False).where(~skipped(F.col("path"))).select("path", "length")
-    named = kept.where(extension(F.col("path")) != "").withColumn("type", classify(F.col("path")))
-    # contents are read of files without an extension only
-    bare = files(spark, path).where(~skipped(F.col("path")) & (extension(F.col("path")) == "")).select("path", "length", classify(F.col("path"), F.col("content")).alias("type"))
+    """(path, length, type) of the files below a path that are not skipped and have a known type. Only files without an extension are opened; one of more than SNIFFED_MOST bytes has no type."""
+    every = files(spark, path)
+    named = every.where((_name_extension() != "") & _walked()).select("path", "length", classify(F.col("path")).alias("type"))
+    bare = of_type(every.where(_name_extension() == ""), "html").select("path", "length", F.lit("html").alias("type"))
     return named.unionByName(bare).where("type IS NOT NULL")
 
 
@@ -92,23 +114,25 @@ def listing(found: DataFrame, exclude: tuple[str, ...] = (), limit: int = 0) ->
 
 
 _IMAGES = "array<struct<src:string,alt:string,caption:string,surrounding_text:string>>"
-_PAGES = "array<struct<page:int,text:string>>"
+_PAGES, _METADATA = "array<struct<page:int,text:string>>", "map<string,string>"
 
 
-def _parsed(path: Column, title: Column, text: Column, language: Column | None = None, images: Column | None = None, pages: Column | None = None) -> list[Column]:
+def _parsed(path: Column, title: Column, text: Column, language: Column | None = None, images: Column | None = None, pages: Column | None = None, metadata: Column | None = None) -> list[Column]:
     none = lambda kind: F.lit(None).cast(kind)
     return [
         path.alias("path"), title.alias("page_title"), text.alias("content_text"), F.coalesce(language, F.lit("en")).alias("language") if language is not None else F.lit("en").alias("language"),
-        (none(_IMAGES) if images is None else images).alias("images"), (none(_PAGES) if pages is None else pages).alias("pages"),
+        (none(_IMAGES) if images is None else images).alias("images"), (none(_PAGES) if pages is None else pages).alias("pages"), (none(_METADATA) if metadata is None else metadata).alias("metadata"),
     ]
 
 
 def parse_contents(found: DataFrame, kind: str, extract_pages=None) -> DataFrame:
-    """found (path, content) of one type to (path, page_title, content_text, language, images, pages).
+    """found (path, content) of one type to (path, page_title, content_text, language, images, pages, metadata).
 
-    extract_pages: a column function, path and content to struct<title:string,pages:array<struct<page,text>>>; without one a PDF has no pages.
+    extract_pages: a column function, path and content to struct<title:string,pages:array<struct<page,text>>,metadata:map<string,string>>, where metadata may be left out; without one a PDF has no pages.
+    metadata has no null values; its Title stands for a title that is not given.
     """
-    text, path = F.decode("content", "UTF-8"), F.col("path")
+    path = F.col("path")
+    text = F.decode("content", "UTF-8") if "content" in found.columns else None
     if kind == "html":
         rows = found.select("path", html_fields(text).alias("h"))
         title = F.coalesce(F.nullif("h.title", F.lit("")), stem_title(path))
@@ -119,9 +143,12 @@ def parse_contents(found: DataFrame, kind: str, extract_pages=None) -> DataFrame
         empty = F.struct(F.lit("").alias("title"), F.array().cast(_PAGES).alias("pages"))
         rows = found.select("path", (extract_pages(path, F.col("content")) if extract_pages else empty).alias("e"))
         pages = F.filter(F.transform("e.pages", lambda p: F.struct(p["page"].alias("page"), strip(p["text"]).alias("text"))), lambda p: p["text"] != "")
-        rows = rows.select("path", F.col("e.title").alias("title"), pages.alias("pages"))
+        given = F.map_filter("e.metadata", lambda k, v: v.isNotNull()) if "metadata" in rows.schema["e"].dataType.names else F.lit(None).cast(_METADATA)
+        rows = rows.withColumn("metadata", F.coalesce(given, F.create_map().cast(_METADATA)))
+        title = F.coalesce(F.nullif("e.title", F.lit("")), F.try_element_at("metadata", F.lit("Title")), F.lit(""))
+        rows = rows.select("path", title.alias("title"), pages.alias("pages"), "metadata")
         head = F.coalesce(F.get("pages", F.lit(0))["text"], F.lit(""))
-        return rows.select(*_parsed(path, pdf_title(F.col("title"), head, path), F.array_join(F.transform("pages", lambda p: p["text"]), "\n\n"), pages=F.col("pages")))
+        return rows.select(*_parsed(path, pdf_title(F.col("title"), head, path), F.array_join(F.transform("pages", lambda p: p["text"]), "\n\n"), pages=F.col("pages"), metadata=F.col("metadata")))
     if kind == "image":
         image = F.array(F.struct(path.alias("src"), F.lit("").alias("alt"), F.lit("").alias("caption"), F.lit("").alias("surrounding_text"))).cast(_IMAGES)
         return found.select(*_parsed(path, stem_title(path), F.lit(""), images=image))
@@ -129,12 +156,13 @@ def parse_contents(found: DataFrame, kind: str, extract_pages=None) -> DataFrame
 
 
 def parse_files(spark: SparkSession, path: str, extract_pages=None) -> DataFrame:
-    """All files of known types below a path, parsed by their types (wiki exports have a reader of their own)."""
-    kinds = [k for k in TYPES if k != "mediawiki"]
-    found = files(spark, path).where(~skipped(F.col("path"))).withColumn("type", classify(F.col("path"), F.col("content")))
-    out = None
-    for kind in kinds:
-        part = parse_contents(found.where(F.col("type") == kind), kind, extract_pages)
+    """All files of known types below a path, parsed by their types (wiki exports have a reader of their own). The folder is listed once and each file opened by its type's scan alone; images, and PDFs where
+    nothing extracts their pages, are not opened."""
+    every, out = files(spark, path), None
+    for kind in (k for k in TYPES if k != "mediawiki"):
+        found = of_type(every, kind)
+        found = found.select("path") if kind == "image" else found.select("path", "content") if kind != "pdf" or extract_pages else found.select("path", F.lit(None).cast("binary").alias("content"))
+        part = parse_contents(found, kind, extract_pages)
         out = part if out is None else out.unionByName(part)
     return out
 
