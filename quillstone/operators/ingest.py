@@ -12,7 +12,9 @@ from quillstone.functions.filters import has_content
 from quillstone.functions.text import basename, hashed_embedding
 from quillstone.operators.chunk import MOST, OVERLAP, image_chunks, text_chunks
 from quillstone.operators.parse import markdown_sections, wikitext
+from quillstone.operators.remote import ATTEMPTS, PAUSE, attempt, called
 from quillstone.schemas import CHUNKS, DEFAULT_KB
+from quillstone.sources.files import classify, image_magic
 
 _IMAGES = "array<struct<src:string,alt:string,caption:string,surrounding_text:string,vlm_description:string>>"
 EMBED_BATCH = 100
@@ -27,6 +29,11 @@ def no_description(image: Column) -> Column:
     return F.lit("")
 
 
+def own_description(image: Column) -> Column:
+    """The describer of images that have theirs by now (with_descriptions)."""
+    return image["vlm_description"]
+
+
 def document_chunks(docs: DataFrame, now: str, most: int = MOST, overlap: int = OVERLAP, describe: Callable[[Column], Column] = no_description) -> DataFrame:
     """docs (canonical_doc_id, content_text, and what they have of the payload's columns, images) to chunks with the whole payload but for the vector: text chunks, then those of images.
 
@@ -59,21 +66,23 @@ def embedded(chunks: DataFrame, embedder: Callable[[Column], Column] = hashed_em
     return chunks.withColumn("embedding", embedder(F.col("text"))).select(*CHUNKS.fieldNames())
 
 
-def remote_embedder(call: Callable[[list[str]], list[list[float]]], dim: int, batch: int = EMBED_BATCH) -> Callable[[Column], Column]:
-    """An embedder of a remote model that takes a list of texts. A batch that fails goes text by text, and a text that fails is an error; when the model can't be reached
-    (ConnectionError), what is left of the Arrow batch gets zeros, which no search finds."""
+def remote_embedder(
+    call: Callable[[list[str]], list[list[float]]], dim: int, batch: int = EMBED_BATCH, attempts: int = ATTEMPTS, pause: float = PAUSE, again: tuple[type[BaseException], ...] = (TimeoutError,),
+) -> Callable[[Column], Column]:
+    """An embedder of a remote model that takes a list of texts; each distinct text of an Arrow batch is sent once. A batch that fails with one of ``again`` is sent anew after ``pause`` * 2**n seconds; one that fails
+    for good goes text by text, and a text that fails is an error. When the model can't be reached (ConnectionError), what is left of the Arrow batch gets zeros, which no search finds."""
 
     def vectors(texts: list[str]) -> Iterator[list[float]]:
         for at in range(0, len(texts), batch):
             some = texts[at : at + batch]
             try:
                 try:
-                    yield from call(some)
+                    yield from attempt(call, some, attempts, pause, again)
                 except ConnectionError:
                     raise
                 except Exception:  # whatever the model refuses a batch for
                     for text in some:
-                        yield call([text])[0]
+                        yield attempt(call, [text], attempts, pause, again)[0]
             except ConnectionError:
                 yield from ([0.0] * dim for _ in texts[at:])
                 return
@@ -81,12 +90,29 @@ def remote_embedder(call: Callable[[list[str]], list[list[float]]], dim: int, ba
     @F.arrow_udf("array<float>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            found = list(vectors([t or "" for t in texts.to_pylist()]))[: len(texts)]
-            yield pa.array(found, pa.list_(pa.float32()))
+            wanted = [t or "" for t in texts.to_pylist()]
+            distinct = list(dict.fromkeys(wanted))
+            known = dict(zip(distinct, vectors(distinct), strict=False))
+            yield pa.array([known[t] for t in wanted], pa.list_(pa.float32()))
 
     return run
 
 
+def described(found: DataFrame, call: Callable[[bytes], str], **limits) -> DataFrame:
+    """found (path, content: files) to (path, description): what ``call`` says of each distinct picture. Empty where it fails, for a path of another type, and for content that is no picture. limits: as of remote.called."""
+    picture = F.col("content").isNotNull() & (classify(F.col("path")) == "image") & image_magic(F.col("content"))
+    return called(found, F.when(picture, F.col("content")), call, "description", **limits).select("path", "description")
+
+
+def with_descriptions(docs: DataFrame, descriptions: DataFrame, key: str = "canonical_doc_id") -> DataFrame:
+    """docs (``key``, images array<struct<src,...>>) whose images have as vlm_description that of their src, empty without one; descriptions (path, description), one a path. key tells the documents apart."""
+    one = docs.select(key, F.posexplode("images").alias("place", "image")).join(descriptions.select(F.col("path").alias("src_of_image"), "description"), F.col("image.src") == F.col("src_of_image"), "left")
+    image = F.struct(*[F.col(f"image.{n}").alias(n) for n in ("src", "alt", "caption", "surrounding_text")], F.coalesce("description", F.lit("")).alias("vlm_description"))
+    told = one.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("place", image.alias("image")))).alias("told"))
+    out = docs.drop("images").join(told, key, "left").withColumn("images", F.coalesce(F.transform("told", lambda t: t["image"]), F.array().cast(_IMAGES)))
+    return out.drop("told").select(*docs.columns)
+
+
 def ingest_texts(docs: DataFrame, now: str) -> DataFrame:
     """docs (source_path, page_title, content_text, ...): plain text or the content of HTML, one document a path."""
     return document_chunks(docs.withColumn("canonical_doc_id", F.col("source_path")), now)

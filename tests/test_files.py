@@ -56,7 +56,7 @@ def test_parsing_opens_what_the_types_need(spark, folder, unreadable):
     got = named(files.parse_files(spark, str(folder)))
     assert set(got) == {"a.txt", "B.HTML", "c.md", "d.pdf", "e.png", "page", "x y.txt", "ü%20.txt", "h.html"}
     assert (got["B.HTML"].content_text, got["page"].content_text, got["x y.txt"].content_text, got["ü%20.txt"].content_text, got["h.html"].content_text) == ("up", "bare", "blank", "odd", "h")
-    assert got["d.pdf"].pages == [] and got["e.png"].images[0].src.endswith("/e.png") and got["e.png"].page_title == "e"
+    assert got["d.pdf"].pages == [] and got["e.png"].images[0].src.endswith("/e.png") and got["e.png"].page_title == "E"
     pages = lambda path, content: F.struct(F.lit("").alias("title"), F.array(F.struct(F.lit(1).alias("page"), F.length(content).cast("string").alias("text"))).alias("pages"))
     with pytest.raises(Exception, match="max length"):  # with an extractor it is opened
         files.parse_files(spark, str(folder), pages).collect()
