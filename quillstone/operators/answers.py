@@ -1,9 +1,10 @@
-"""Citation marks in answers: a fold over the marks of one answer, so an Arrow UDF over whole answers."""
+"""Citation marks in answers: a fold over the marks of one answer, so an Arrow UDF over whole answers; the stream form, token by token, is in streaming."""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -57,6 +58,64 @@ def mark_sources(answer: str, names: list[str], fuzzy: bool = False, titles: lis
     return {"clean": clean + answer[last:], "compat": compat + answer[last:], "refs": refs}
 
 
+@dataclass
+class Reading:
+    """Where the reader of a stream of tokens stands: characters of clean text so far, where its last sentence begins (blank: only white space since), and what may become a mark."""
+
+    length: int = 0
+    sentence: int = 0
+    blank: bool = True
+    held: str = ""
+
+
+class MarkReader:
+    """mark_sources(fuzzy) of an answer that comes in tokens: a token's text, marks replaced, as soon as it is known. What it has read so far matters by its Reading alone, so that it goes on from one
+    that was kept; how an answer is cut to tokens changes nothing."""
+
+    def __init__(self, names: list[str], titles: list[list[str] | None] | None = None, reading: Reading | None = None) -> None:
+        self.keys, self.reading = keys_of(names, titles), reading or Reading()
+
+    def _plain(self, text: str) -> str:
+        r = self.reading
+        last = text.rfind(".")
+        if last >= 0:
+            r.sentence, r.blank = r.length + last + 1, True
+        rest = text[last + 1 :]
+        if r.blank:
+            after = rest.lstrip()
+            r.sentence, r.blank = r.length + len(text) - len(after), not after
+        r.length += len(text)
+        return text
+
+    def feed(self, token: str) -> tuple[str, str, list[dict]]:
+        """(clean text, text with numbers in place of marks, references) that the token brings."""
+        r, clean, compat, refs = self.reading, "", "", []
+        text, r.held = r.held + token, ""
+        while text:
+            opens = text.find("[")
+            if opens < 0:
+                part, text = text, ""
+            elif opens > 0:
+                part, text = text[:opens], text[opens:]
+            elif (shuts := text.find("]")) < 0:
+                r.held = text
+                break
+            else:
+                part, text = text[: shuts + 1], text[shuts + 1 :]
+                cited = resolve(part[1:-1], self.keys, True) if shuts > 1 else None
+                if cited is not None:
+                    refs.append({"start": r.length if r.blank else r.sentence, "stop": r.length, "citation": cited})
+                    compat += f"[{cited + 1}]"
+                    continue
+            clean, compat = clean + self._plain(part), compat + part
+        return clean, compat, refs
+
+    def finish(self) -> str:
+        """What was held and is no mark after all."""
+        part, self.reading.held = self.reading.held, ""
+        return self._plain(part)
+
+
 def source_marks(fuzzy: bool = False):
     """An Arrow UDF (answer, names, titles array<array<string>>) -> struct clean, compat, refs."""
 

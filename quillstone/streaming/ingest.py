@@ -65,7 +65,7 @@ class _Uploads(StatefulProcessor):
                 changed = True
         return changed
 
-    def handleInputRows(self, key, rows, timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802, ARG002  named by the interface
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803, ARG002  named by the interface
         batch = pd.concat(list(rows)).sort_values("seq")
         known, status = self.seen.exists(), []
         for paths, tags in zip(batch["source_paths"], batch["user_metadata"], strict=True):
@@ -75,7 +75,7 @@ class _Uploads(StatefulProcessor):
         self.seen.update((True,))
         yield pd.DataFrame({"kb_id": key[0], "content_hash": key[1], "collection_name": key[2], "seq": batch["seq"], "doc_id": batch["doc_id"], "status": status})
 
-    def handleInitialState(self, key, initial, timer_values) -> None:  # noqa: N802, ARG002
+    def handleInitialState(self, key, initial, timerValues) -> None:  # noqa: N802, N803, ARG002
         self.seen.update((True,))
         for paths, tags in zip(initial["source_paths"], initial["user_metadata"], strict=True):
             self._add(paths, tags)
