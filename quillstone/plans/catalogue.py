@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,7 +11,9 @@ from pyspark.sql import functions as F
 from quillstone.functions import filters, text
 from quillstone.operators import answers, catalog, chunk, context, dedup, jobs, parse, retrieve
 from quillstone.plans import derive
+from quillstone.schemas import CATALOG, CHUNKS, KNOWLEDGE_BASES
 from quillstone.sources import files, store
+from quillstone.sources.shared import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -248,14 +251,15 @@ def _rfind(sep: str) -> str:
     return f"CASE WHEN strpos(reverse(substr(t, 1, {{m}})), reverse({sep})) = 0 THEN -1 ELSE length(substr(t, 1, {{m}})) - strpos(reverse(substr(t, 1, {{m}})), reverse({sep})) + 1 - length({sep}) END"
 
 
-def _split_sql(most: int, overlap: int) -> str:
+def _split_sql(most: int, overlap: int, rows: str = "documents") -> str:
+    """The chunks of a relation (doc_id, text)."""
     overlap = min(overlap, most // 2)
     at = [_rfind(s).format(m=most) for s in ("chr(10)", "'. '", "' '")]
     rest = lambda i: _STRIP.format(f"substr(t, greatest(0, {i} - {overlap}) + 1)")
     cuts = " ".join(f"WHEN ({a}) > 0 AND length({rest(f'({a})')}) < length(t) THEN ({a})" for a in at)
     cut = f"CASE WHEN length(t) <= {most} THEN NULL {cuts} ELSE {most} END"
     return f"""WITH RECURSIVE pieces AS (
-  SELECT doc_id, 0 AS n, {_STRIP.format("text")} AS t FROM documents
+  SELECT doc_id, 0 AS n, {_STRIP.format("text")} AS t FROM {rows}
   UNION ALL
   SELECT doc_id, n + 1, r FROM (SELECT doc_id, n, t, {_STRIP.format(f"substr(t, greatest(0, cut - {overlap}) + 1)")} AS r FROM (SELECT *, {cut} AS cut FROM pieces) WHERE cut IS NOT NULL)
   WHERE r <> '' AND length(r) < length(t)),
@@ -275,9 +279,10 @@ def recursive_chunks_small(spark, d):
     return chunk.text_chunks(docs, "doc_id", "text", 300, 50).select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), "text", "chunk_id")
 
 
-@query("""SELECT page_id, md5(page_id || '_img_0') AS chunk_id, E'Image: ' || url || E'\\nAlt text: ' || left(html, 9) || E'\\nContext: page' AS text FROM pages""")
+@query("""SELECT page_id, md5(page_id || '_img_0') AS chunk_id, E'Image: ' || url || CASE WHEN t <> '' THEN E'\\nAlt text: ' || t ELSE '' END || E'\\nContext: page' AS text
+FROM (SELECT *, regexp_extract(html, '<title>([^<]*)</title>', 1) AS t FROM pages)""")
 def image_chunks(spark, d):
-    image = F.struct(F.col("url").alias("src"), F.substring("html", 1, 9).alias("alt"), F.lit("").alias("caption"), F.lit("page").alias("surrounding_text"), F.lit("").alias("vlm_description"))
+    image = F.struct(F.col("url").alias("src"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("alt"), F.lit("").alias("caption"), F.lit("page").alias("surrounding_text"), F.lit("").alias("vlm_description"))
     pages = derive.table(spark, d, "pages").select("page_id", F.array(image).alias("images"))
     return chunk.image_chunks(pages, "page_id").select("page_id", "chunk_id", "text")
 
@@ -594,7 +599,15 @@ def patch_payload(spark, d):
 
 @query(f"WITH {derive.CHUNKS} SELECT chunk_id, doc_id, text FROM chunks WHERE kb_id <> 'kb1'")
 def kb_cascade(spark, d):
-    return _state(store.delete(derive.chunks(spark, d), F.col("kb_id") == "kb1"))
+    """The chunks that are left when a knowledge base is deleted with all that it has."""
+    top = f"{shared_dir(spark)}/cascade-{uuid.uuid4().hex}"
+    chunks = store.Table(spark, f"{top}/chunks")
+    bases = store.KnowledgeBases(store.Table(spark, f"{top}/bases", KNOWLEDGE_BASES, None), chunks, store.Table(spark, f"{top}/catalog", CATALOG))
+    c = derive.chunks(spark, d)
+    chunks.commit(c.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in CHUNKS if f.name not in c.columns]))
+    bases.create("kb1", "One", "t")
+    bases.delete("kb1")
+    return _state(chunks.read())
 
 
 @query(f"""WITH {derive.SCORED}, {derive.recall_sql("top", 20)}, p AS (SELECT query_id, source_path, min(rank) AS first FROM top GROUP BY ALL)

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from quillstone.functions import filters, text
 from quillstone.operators import artifacts, context, dedup, ingest, parse, retrieve
 from quillstone.plans import derive
 from quillstone.plans.catalogue import _HITS, _STRIP, _hits, _split_sql, joined_map, query
-from quillstone.sources import files
+from quillstone.schemas import CATALOG
+from quillstone.sources import files, store
+from quillstone.sources.shared import numbered, shared_dir
 
 NOW = "2024-01-01T00:00:00+00:00"
 _PLACE = "('0x' || substr(md5(w), 1, 8))::BIGINT % 64"
@@ -39,40 +43,43 @@ def _turns(spark, d):
     return derive.table(spark, d, "conversations").select("conv_id", "turn", "role", text.strip(F.regexp_replace("text", r"[\r\n]+", " ")).alias("t"))
 
 
-@query(f"""WITH {_TURNS}, s AS (SELECT conv_id, role, t, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS section FROM turns WHERE t <> '' AND length(t) <= 2000)
-SELECT 'c' || conv_id AS doc_id, md5('c' || conv_id || '#s' || section || '_0') AS chunk_id, role AS section_path, t AS text FROM s""")
+@query(f"""WITH {_TURNS}, s AS (SELECT 'c' || conv_id || '#s' || (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) AS doc_id, 'c' || conv_id AS source, role, t AS text FROM turns WHERE t <> ''),
+p AS ({_split_sql(2000, 200, "s")}) SELECT source AS doc_id, chunk_id, role AS section_path, p.text FROM p JOIN s ON s.doc_id = p.doc_id""")
 def markdown_ingest(spark, d):
     """Conversations as Markdown, a heading a turn."""
-    kept = _turns(spark, d).where((F.col("t") != "") & (F.length("t") <= 2000))
+    kept = _turns(spark, d).where("t <> ''")
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "t"))), lambda x: F.concat(F.lit("## "), x["role"], F.lit("\n"), x["t"])), "\n")
     docs = kept.groupBy("conv_id").agg(body.alias("content_text")).select(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("source_path"), F.lit("Talk").alias("page_title"), "content_text")
     return ingest.ingest_markdown(docs, NOW).select("doc_id", "chunk_id", "section_path", "text")
 
 
-@query(f"""WITH {_TURNS} SELECT 'c' || conv_id || '#p' || turn AS doc_id, md5('c' || conv_id || '#p' || turn || '_0') AS chunk_id, 'Page ' || turn AS section_path, 'c' || conv_id AS source_path, t AS text
-FROM turns WHERE t <> '' AND length(t) <= 2000""")
+@query(f"""WITH {_TURNS}, s AS (SELECT 'c' || conv_id || '#p' || turn AS doc_id, 'c' || conv_id AS source_path, turn, t AS text FROM turns WHERE t <> ''),
+p AS ({_split_sql(2000, 200, "s")}) SELECT p.doc_id, chunk_id, 'Page ' || turn AS section_path, source_path, p.text FROM p JOIN s ON s.doc_id = p.doc_id""")
 def pdf_page_ingest(spark, d):
     """Conversations as documents in pages, a turn a page."""
-    kept = _turns(spark, d).where((F.col("t") != "") & (F.length("t") <= 2000))
+    kept = _turns(spark, d).where("t <> ''")
     docs = kept.groupBy("conv_id").agg(F.collect_list(F.struct(F.col("turn").cast("int").alias("page"), F.col("t").alias("text"))).alias("pages"))
     docs = docs.select(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("source_path"), F.lit("Talk").alias("page_title"), "pages")
     return ingest.ingest_pdf_pages(docs, NOW).select("doc_id", "chunk_id", "section_path", "source_path", "text")
 
 
-@query(f"""WITH {_TURNS} SELECT 'dump.xml#' || (conv_id * 1000 + turn) AS doc_id, md5('dump.xml#' || (conv_id * 1000 + turn) || '_0') AS chunk_id, role AS page_title, role || ' says ' || regexp_replace(t, '[ \t]+', ' ', 'g') AS text
-FROM turns WHERE NOT regexp_matches(t, '[\\[\\]{{}}<>|=_]|''''') AND t <> '' AND length(t) <= 1900""")
+_SAYS = _STRIP.format("regexp_replace(role || ' says ' || regexp_replace(t, '[\\[\\]{}<>|=_'']', ' ', 'g'), '[ \t]+', ' ', 'g')")
+
+
+@query(f"""WITH {_TURNS}, s AS (SELECT 'dump.xml#' || (conv_id * 1000 + turn) AS doc_id, role, {_SAYS} AS text FROM turns WHERE t <> ''),
+p AS ({_split_sql(2000, 200, "s")}) SELECT p.doc_id, chunk_id, role AS page_title, p.text FROM p JOIN s ON s.doc_id = p.doc_id""")
 def wiki_ingest(spark, d):
-    """Turns without marks of their own, as wiki pages with bold text, a link, a template and a comment."""
-    kept = _turns(spark, d).where(~F.col("t").rlike(r"[\[\]{}<>|=_]|''") & (F.col("t") != "") & (F.length("t") <= 1900))
+    """Turns as wiki pages with bold text, a link, a template and a comment; a turn's own marks become blanks."""
+    kept = _turns(spark, d).where("t <> ''").withColumn("t", F.regexp_replace("t", r"[\[\]{}<>|=_']", " "))
     markup = F.concat(F.lit("{{box|a={{b}}}}'''"), F.col("role"), F.lit("''' [[Verb|says]] "), F.col("t"), F.lit("<!-- end -->[[Category:Talk]]"))
     pages = kept.select(F.lit("dump.xml").alias("source_path"), (F.col("conv_id") * 1000 + F.col("turn")).alias("page_id"), F.col("role").alias("title"), markup.alias("text"))
     return ingest.ingest_wiki(pages, NOW).select("doc_id", "chunk_id", "page_title", "text")
 
 
-@query(f"""WITH {_TURNS} SELECT 'c' || conv_id || '/' || turn || '.txt' AS doc_id, md5('c' || conv_id || '/' || turn || '.txt_0') AS chunk_id, turn || '.txt' AS filename, 'default' AS kb_id, '{NOW}' AS ingestion_timestamp, t AS text
-FROM turns WHERE t <> '' AND length(t) <= 2000""")
+@query(f"""WITH {_TURNS}, s AS (SELECT 'c' || conv_id || '/' || turn || '.txt' AS doc_id, turn, t AS text FROM turns WHERE t <> ''),
+p AS ({_split_sql(2000, 200, "s")}) SELECT p.doc_id, chunk_id, turn || '.txt' AS filename, 'default' AS kb_id, '{NOW}' AS ingestion_timestamp, p.text FROM p JOIN s ON s.doc_id = p.doc_id""")
 def text_ingest(spark, d):
-    kept = _turns(spark, d).where(F.length("t") <= 2000)  # empty ones are left out by the guard
+    kept = _turns(spark, d)  # empty ones are left out by the guard
     docs = kept.select(F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string"), F.lit(".txt")).alias("source_path"), F.lit("Turn").alias("page_title"), F.col("t").alias("content_text"))
     return ingest.ingest_texts(docs, NOW).select("doc_id", "chunk_id", "filename", "kb_id", "ingestion_timestamp", "text")
 
@@ -223,17 +230,16 @@ def current_jobs(spark, d):
 def sorted_listing(spark, d):
     """Files in order of path, PDFs left out; the limit is not set."""
     pages = derive.table(spark, d, "pages").select("page_id", F.col("url").alias("path"), files.classify(F.col("url")).alias("type")).where(F.col("path").rlike(r"\.html?$"))
-    from pyspark.sql import Window
-
-    return files.listing(pages, ("pdf",)).select("path", F.row_number().over(Window.orderBy("path", "page_id")).cast("long").alias("place"))
+    return numbered(files.listing(pages, ("pdf",)), "place", "path", "page_id").select("path", "place")
 
 
 @query("""SELECT doc_id, kb_id, CASE WHEN doc_id::BIGINT % 4 = 0 THEN 'completed' ELSE 'pending' END AS status, CASE WHEN doc_id::BIGINT % 4 = 0 THEN 7::BIGINT END AS chunk_count
 FROM (SELECT doc_id::VARCHAR AS doc_id, 'kb' || (substr(source, 4)::INT % 4) AS kb_id FROM documents) WHERE kb_id <> 'kb2'""")
 def catalog_records(spark, d):
     """The records that inserts, a finalisation and the removal of a knowledge base leave."""
-    from quillstone.sources import store
-
-    rows = derive.documents(spark, d).select("doc_id", "kb_id", F.lit("pending").alias("status"), F.lit(None).cast("long").alias("chunk_count"))
-    done = store.patch(rows, F.col("doc_id").cast("long") % 4 == 0, {"status": F.lit("completed"), "chunk_count": F.lit(7).cast("long")})
-    return store.delete(done, F.col("kb_id") == "kb2")
+    records = store.DocumentCatalog(store.Table(spark, f"{shared_dir(spark)}/catalog-{uuid.uuid4().hex}", CATALOG))
+    rows = derive.documents(spark, d).select("doc_id", "kb_id", F.lit("pending").alias("status"), *[F.lit(None).cast(f.dataType).alias(f.name) for f in CATALOG if f.name not in ("doc_id", "kb_id", "status", "content_hash")], text.content_hash(F.concat("doc_id", F.lit(":"), "text")).alias("content_hash"))
+    records.create(rows)
+    records.table.patch(F.col("doc_id").cast("long") % 4 == 0, {"status": F.lit("completed"), "chunk_count": F.lit(7).cast("long")})
+    records.delete_kb("kb2")
+    return records.table.read().select("doc_id", "kb_id", "status", "chunk_count")
