@@ -60,7 +60,15 @@ _DROP_NAMES = frozenset(
     "share sharing social related recommended recommendations widget widgets toolbar search pagination pager skip tags teaser teasers byline-links outbrain taboola paywall".split()
 )
 _DROP_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu menubar".split())
-_NEGATION = frozenset("has with no without is not".split())
+#: Words that may stand beside such a name in a compound one. Any other word (social-history, ad-hoc) says that the name is about something else.
+_LAYOUT = frozenset(
+    "area bar block body bottom box button buttons column container content copyright custom desktop first form global google group icon icons img image images inner item items js label last latest layout left "
+    "legal link links list local main meta middle mobile module more news outer page panel pane placeholder popular post posts primary region right row secondary section side site slot sticky sub tag text "
+    "thread title top unit user view wrap wrapper zone".split()
+)
+#: Names of an article's own element; beside one of these, those of frames (a post that is a widget area too) say nothing.
+_ARTICLE = frozenset("article post entry story".split())
+_FRAMES = frozenset("sidebar aside widget widgets header banner notice tags search social share sharing menu".split())
 
 
 def _boilerplate(tag: str, attributes: dict[str, str], within_article: bool) -> bool:
@@ -70,17 +78,22 @@ def _boilerplate(tag: str, attributes: dict[str, str], within_article: bool) ->
         return True
     if tag in ("html", "body", "main"):
         return False
-    for name in f"{attributes.get('class', '')} {attributes.get('id', '')}".split():
-        parts = re.split(r"[-_]+|(?<=[a-z])(?=[A-Z])", name)
-        parts = [p.lower() for p in parts if p]
+    names = f"{attributes.get('class', '')} {attributes.get('id', '')}".split()
+    own = any(n.lower() in _ARTICLE for n in names)
+    for name in names:
+        parts = [p.lower() for p in re.split(r"[-_]+|(?<=[a-z])(?=[A-Z])", name) if p and not p.isdigit()]
         if tag in _LEAF and tag not in ("ul", "ol", "table", "dl", "figure") and len(parts) > 1:
             continue
-        if any(p in _DROP_NAMES for p in parts) and not (parts and parts[0] in _NEGATION):
+        said = [p for p in parts if p in _DROP_NAMES and not (own and p in _FRAMES)]
+        if said and all(p in _DROP_NAMES or p in _LAYOUT for p in parts):
             return not (tag == "header" and within_article)
     return False
 
 
 _KEPT_NODES = 100_000
+#: Elements without attributes that frame a page's columns, told apart by their place, down to this depth and up to this number; deeper ones may be records of a list, which have one path.
+_FRAME_TAGS, FRAME_DEPTH, MOST_FRAMES = frozenset(("div", "section", "td")), 4, 9
+_HEADINGS, _LISTS = frozenset("h1 h2 h3 h4 h5 h6".split()), frozenset(("ul", "ol"))
 
 
 class Node:
@@ -92,18 +105,19 @@ class Node:
         self.tag, self.path, self.dropped, self.article, self.open = tag, path, dropped, article, opens
         self.token = _token(path)
         self.chain = (*above, self.token) if path else above
-        self.children: dict[str, Node] = {}
+        self.children: dict[tuple[str, int], Node] = {}
 
-    def child(self, tag: str, raw: str) -> Node:
-        found = self.children.get(raw)
+    def child(self, tag: str, raw: str, place: int = 0) -> Node:
+        """place: the element's number among its parent's frames without names, 0 for all others."""
+        found = self.children.get((raw, place))
         if found is None:
             attributes = {k.lower(): (v or "").strip("\"'") for k, v in _ATTRIBUTE.findall(raw[1 + len(tag) : -1])}
-            name = "".join([tag, *(f".{c}" for c in attributes.get("class", "").split()[:3] if sum(ch.isdigit() for ch in c) < 3)])
+            name = "".join([tag, *(f".{c}" for c in attributes.get("class", "").split()[:3] if sum(ch.isdigit() for ch in c) < 3), f":{place}" if place else ""])
             dropped = self.dropped or _boilerplate(tag, attributes, self.article)
             article = self.article or (tag in ("article", "main") or attributes.get("role") == "main") and not dropped
             found = Node(tag, f"{self.path}/{name}", dropped, article, tag not in _VOID and tag not in _RAW and not raw[:-1].rstrip().endswith("/"), self.chain)
             if len(self.children) < 1000:
-                self.children[raw] = found
+                self.children[raw, place] = found
                 _kept.append(found)
         return found
 
@@ -139,6 +153,7 @@ def parse(page: str) -> list[Node | Block]:
     """The elements that open and the text blocks of a page, in order. Lenient: what is not closed ends with its parent."""
     out: list[Node | Block] = []
     stack = [_start()]
+    frames = [0]  # by element of the stack: its frames without names so far
     held: list[str] = []
     link_depth = 0
     linked = 0
@@ -201,13 +216,19 @@ def parse(page: str) -> list[Node | Block]:
                     del stack[i:]
         if tag == "body":
             del stack[next((i for i, x in enumerate(stack) if x.tag == "head"), len(stack)) :]
-        node = stack[-1].child(tag, m[0])
+        del frames[len(stack) :]
+        place = 0
+        if tag in _FRAME_TAGS and len(stack) <= FRAME_DEPTH and not (m[3] or m[6] or "").strip(" /"):
+            frames[-1] += 1
+            place = min(frames[-1], MOST_FRAMES)
+        node = stack[-1].child(tag, m[0], place)
         out.append(node)
         if tag in _RAW:
             end = _RAW[tag].search(page, pos)
             pos = end.end() if end else len(page)
         elif node.open:
             stack.append(node)
+            frames.append(0)
     flush()
     return out
 
@@ -430,8 +451,25 @@ def main_text(page: str, roles_of=None) -> str:
     if not main:
         return own_text(events)
     left = {x.token for x, r in zip(events, roles, strict=True) if r == LEFT_OUT}
-    kept = [(x, r) for x, r in zip(events, roles.tolist(), strict=True) if isinstance(x, Block) and not x.node.dropped and main.intersection(x.node.chain) and not left.intersection(x.node.chain)]
-    varying = [x for x, r in kept if r != CONSTANT]
+    kept, told, seen = [], set(), {}
+    for x, r in zip(events, roles.tolist(), strict=True):
+        if isinstance(x, Node):
+            seen[x.token] = x
+            continue
+        if x.node.dropped or not main.intersection(x.node.chain):
+            continue
+        out = next((i for i, t in enumerate(x.node.chain) if t in left), -1)
+        # a list of links after text of the same parent is the article's own, one before it a menu
+        if out < 0 or seen[x.node.chain[out]].tag in _LISTS and out and x.node.chain[out - 1] in told:
+            kept.append((x, r))
+            if r != CONSTANT and x.linked < LINKED:
+                told.update(x.node.chain[:-1])
+    varying, follows = [], set()
+    for x, r in reversed(kept):  # a heading that all pages have stays where text of its parent follows
+        if r != CONSTANT or x.node.tag in _HEADINGS and len(x.node.chain) > 1 and x.node.chain[-2] in follows:
+            varying.append(x)
+            follows.update(x.node.chain[:-1])
+    varying.reverse()
     # a class that holds nearly all the text is a copied page, not a template
     if sum(len(x.text) for x in varying) < 0.2 * sum(len(x.text) for x, _ in kept):
         varying = [x for x, _ in kept]

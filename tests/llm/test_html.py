@@ -122,3 +122,54 @@ def test_classes_against_occurrence_vectors(spark):
     assert got == want and want
     made = html_template._token("made.example")
     assert {t for h, t in want if h == made} == {x.token for x in hosts["made.example"][0] if isinstance(x, Block) and x.text in ("Home", "About")}, "the notices change places, all else keeps its rank"
+
+
+def article(rng, i, body):
+    return (i, f"http://d.example/{i}", body)
+
+
+@pytest.mark.parametrize("name", ['class="article-with-sidebar"', 'class="post widget-area"', 'class="x" id="social-history"', 'class="ad-hoc"', 'class="story-header-note"'])
+def test_names_that_only_sound_like_frames(spark, name):
+    rng = np.random.default_rng(7)
+    rows, want = [], {}
+    for i in range(7):
+        want[i] = "\n\n".join(parts := [words(rng, 30) for _ in range(2)])
+        at = f"http://{'small' if i > 4 else 'large'}.example/{i}"  # five pages of one host, two of another
+        rows.append((i, at, f"<body><nav><a href='/'>Home</a></nav><div {name}><p>{parts[0]}</p><p>{parts[1]}</p></div><footer>Rights</footer></body>"))
+    assert extracted(spark, rows) == want
+
+
+def test_headings_and_lists_of_links_of_the_article(spark):
+    """Headings that all pages have, before text of the article, and a list of linked references after it, are part of it; menus before it and notices are not."""
+    rng = np.random.default_rng(8)
+    rows, want = [], {}
+    for i in range(6):
+        a, b, refs = words(rng, 30), words(rng, 30), [words(rng, 4) for _ in range(3)]
+        want[i] = "\n\n".join([a, "Conclusion", b, "References", *refs])
+        links = "".join(f'<li><a href="/r{k}">{r}</a></li>' for k, r in enumerate(refs))
+        rows.append((i, f"http://r.example/{i}", f"<body><main><ul><li><a href='/'>Start</a></li><li><a href='/b'>Back</a></li></ul><article><p>{a}</p><h2>Conclusion</h2><p>{b}</p><h2>References</h2><ul>{links}</ul><p>All rights reserved</p></article></main></body>"))
+    assert extracted(spark, rows) == want
+
+
+def test_columns_without_names(spark):
+    rng = np.random.default_rng(9)
+    rows, want = [], {}
+    for i in range(6):
+        want[i] = "\n\n".join(parts := [words(rng, 40) for _ in range(3)])
+        rows.append((i, f"http://c.example/{i}", f"<body><div><div>{''.join(f'<p>{p}</p>' for p in parts)}</div><div><p>{words(rng, 6)}</p><p>{words(rng, 5)}</p></div></div></body>"))
+    assert extracted(spark, rows) == want
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the small tables are not here")
+@pytest.mark.parametrize("classes", [True, False])
+def test_the_template_without_names(spark, classes):
+    """The texts of all pages of hosts with a template, when no element has a name: what the page's own names give."""
+    pages = [p for p in pq.read_table("/root/testdata/sf0.01/pages.parquet").to_pylist()]
+    want = {p["page_id"]: html_template.main_text(p["html"]) for p in pages}
+    host = lambda p: p["url"].split("://")[1].split("/")[0].split("?")[0].split("#")[0].lower()
+    many = {h for h, n in collections.Counter(map(host, pages)).items() if n >= 3}
+    neutral = lambda t: __import__("re").sub(r"<(/?)(nav|footer|article|aside|header|div)\b([^>]*)>", lambda m: f"<{m[1]}div" + ("" if m[1] or not classes else f" class='k{m[2]}'") + ">", t)
+    rows = [(p["page_id"], p["url"], neutral(p["html"])) for p in pages if host(p) in many]
+    got = extracted(spark, rows)
+    wrong = [i for i in got if got[i] != want[i]]
+    assert len(wrong) <= (0 if classes else 0.05 * len(got)), (len(wrong), len(got))
