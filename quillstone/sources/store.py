@@ -11,7 +11,7 @@ import contextlib
 import os
 import time
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from urllib.parse import unquote, urlparse
 
@@ -23,6 +23,7 @@ from quillstone.functions.filters import metadata_equals
 from quillstone.schemas import CHUNKS, DEFAULT_KB
 
 COUNT_MOST = 10_000
+_COPY = "partition_of_row"
 
 
 def upsert(existing: DataFrame, new: DataFrame, key: str = "chunk_id", order: str | None = None) -> DataFrame:
@@ -134,12 +135,67 @@ class Table:
         Conflict if another writer changed one of these since, or if ``clash`` holds for the rows of the partitions that did change.
         """
         base = base or self.snapshot()
-        folder, copy = f"{self.path}/data/v-{uuid.uuid4().hex}", "partition_of_row"
-        value = F.coalesce(F.col(self.partition), F.lit("")) if self.partition else F.lit("")
-        rows.select(*self.schema.fieldNames(), F.concat(F.lit("p"), value).alias(copy)).write.partitionBy(copy).parquet(folder)
-        written = {unquote(n.split("=", 1)[1])[1:]: f"{folder}/{n}" for n in self._names(folder) if n.startswith(f"{copy}=")}
+        _, written = self._write(rows.select(*self.schema.fieldNames(), self._copy()))
         return self._publish(written, touched, base, clash)
 
+    def _copy(self) -> Column:
+        value = F.coalesce(F.col(self.partition), F.lit("")) if self.partition else F.lit("")
+        return F.concat(F.lit("p"), value).alias(_COPY)
+
+    def _write(self, rows: DataFrame) -> tuple[str, dict[str, str]]:
+        """(new folder, the folder in it of each partition)"""
+        folder = f"{self.path}/data/v-{uuid.uuid4().hex}"
+        rows.write.partitionBy(_COPY).parquet(folder)
+        return folder, {unquote(n.split("=", 1)[1])[1:]: f"{folder}/{n}" for n in self._names(folder) if n.startswith(f"{_COPY}=")}
+
+    def cluster(self, key: str = "chunk_id", rows_per_file: int = 100_000) -> int:
+        """Rewrites the table so that each file holds a range of keys of its partition, and lists the ranges beside the files for scroll; the new version. Conflict if another writer was quicker."""
+        base = self.snapshot()
+        rows = self.read(at=base).select(*self.schema.fieldNames(), self._copy())
+        files = max(1, -(-rows.count() // rows_per_file))
+        folder, written = self._write(rows.repartitionByRange(files, _COPY, key).sortWithinPartitions(_COPY, key))
+        if written:
+            listed = self.spark.read.schema(self.schema).parquet(*written.values()).groupBy(F.col("_metadata.file_path").alias("file"))
+            listed.agg(F.min(key).alias("first"), F.max(key).alias("last"), F.count("*").alias("n")).coalesce(1).write.parquet(f"{folder}/_ranges")
+        return self._publish(written, None, base)
+
+    def _ranges(self, at: Snapshot, partitions: list[str] | None) -> list[tuple[str, str | None, str | None, int]]:
+        """(file or folder, first key, last key, rows) of the files in force; the keys of folders that are not clustered are not known."""
+        folders = [f for k, f in sorted(at.folders.items()) if partitions is None or k in partitions]
+        listed = {}
+        for top in sorted({f.rsplit("/", 1)[0] for f in folders}):
+            if "_ranges" in self._names(top):
+                listed |= {r.file: (r.first, r.last, r.n) for r in self.spark.read.parquet(f"{top}/_ranges").collect()}  # a row a file
+        own = lambda file: unquote(file).rsplit("/data/", 1)[-1].rsplit("/", 1)[0]
+        by_folder: dict[str, list] = {}
+        for file, (first, last, n) in listed.items():
+            by_folder.setdefault(own(file), []).append((file, first, last, n))
+        name = lambda folder: unquote(folder).rsplit("/data/", 1)[-1]
+        return [x for f in folders for x in by_folder.get(name(f), [(f, None, None, 0)])]
+
+    def scroll(self, after: str | None = None, limit: int = 1000, key: str = "chunk_id", partitions: list[str] | None = None, at: Snapshot | None = None) -> DataFrame:
+        """The ``limit`` rows whose keys follow ``after``, in order of the key; None begins. Of a clustered table only the files that can hold them are read. The last row's key is the next cursor; give ``at`` for
+        pages of one version."""
+        files = [r for r in self._ranges(at or self.snapshot(), partitions) if r[2] is None or after is None or r[2] > after]
+        held, end = 0, None
+        for _, first, last, n in sorted((r for r in files if r[1] is not None), key=lambda r: r[1]):
+            held += n if after is None or first > after else 0
+            end = last if end is None else max(end, last)
+            if held >= limit:  # so many keys lie up to here
+                break
+        else:
+            end = None
+        wanted = [unquote(f) if first is not None else f for f, first, _, _ in files if first is None or end is None or first <= end]
+        rows = self._load(wanted)
+        return (rows if after is None else rows.where(F.col(key) > after)).orderBy(key).limit(limit)
+
+    def pages(self, limit: int = 1000, key: str = "chunk_id", partitions: list[str] | None = None) -> Iterator[list]:
+        """All rows of the version in force, ``limit`` at a time; keys are unique."""
+        at, after = self.snapshot(), None
+        while page := self.scroll(after, limit, key, partitions, at).collect():
+            yield page
+            after = page[-1][key]
+
     def _publish(self, written: dict[str, str], touched: list[str] | None, base: Snapshot, clash: Callable[[DataFrame], bool] | None = None) -> int:
         """A version in which ``written`` takes the place of the partitions ``touched``."""
         while True:
