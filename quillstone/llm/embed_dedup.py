@@ -136,6 +136,12 @@ def _compare(cosine: float, kind: type):
     return run
 
 
+def _digest() -> list[F.Column]:
+    """96 bits that stand for a vector; those of two different ones are left to differ."""
+    v = F.transform("embedding", lambda x: x + F.lit(0.0).cast("float"))  # a zero has one sign
+    return [F.xxhash64(v).alias("digest"), F.hash(v).alias("digest2")]
+
+
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept.
 
@@ -146,9 +152,9 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), "embedding")
     v = v.withColumn("usable", usable(F.col("label"), F.col("embedding")) & F.col("vec_id").isNotNull())
     points = v.where("usable").groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
-    points = materialize(points.withColumn("dim", F.size("embedding")), "points")
-    largest, distinct = points.groupBy("label").count().agg(F.max("count"), F.sum("count")).first()  # two numbers
-    largest, distinct = largest or 0, distinct or 0
+    points = materialize(points.select("*", F.size("embedding").alias("dim"), *_digest()), "points")
+    largest, distinct, total = points.groupBy("label").agg(F.count("*").alias("n"), F.sum("copies").alias("c")).agg(F.max("n"), F.sum("n"), F.sum("c")).first()  # three numbers
+    largest, distinct, total = largest or 0, distinct or 0, total or 0
     bits, tables = plan(largest, cosine)
     kind = np.float32 if dict(points.dtypes)["embedding"] == "array<float>" else np.float64  # as they are stored: floats lose nothing
     hashed = points.select("rep", "label", "dim", "copies", "embedding").mapInArrow(_hash(bits, tables, kind), "rep long, label long, dim int, copies long, vector binary, signs binary")
@@ -165,9 +171,11 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     found = materialize(met.select(*_KEY, "rep", "copies", "vector", "signs", "block").mapInArrow(_compare(cosine, kind), "rep long, links long, peer long"), "found")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     components = connected_components(found.where("rep <> peer").select(F.col("rep").alias("a"), F.col("peer").alias("b")))
-    named = points.join(links, "rep", "left").join(components.withColumnRenamed("id", "rep"), "rep", "left")
-    named = named.select("label", "embedding", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "rep").alias("component"))
-    linked = v.where("usable").drop("usable").join(named, ["label", "embedding"]).select("vec_id", (F.col("links") + F.col("copies") - 1).alias("n_links"), F.col("component").alias("component_id"))
+    named = points.drop("embedding").join(links, "rep", "left").join(components.withColumnRenamed("id", "rep"), "rep", "left")
+    key = ["label", "digest", "digest2"]
+    named = materialize(named.select(*key, F.col("copies").alias("n"), F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "rep").alias("component")), "named")
+    # the vectors stay behind, and points of very many copies are joined by broadcast
+    linked = join_counted(v.where("usable").select("vec_id", "label", *_digest()), named, key, total).select("vec_id", (F.col("links") + F.col("n") - 1).alias("n_links"), F.col("component").alias("component_id"))
     alone = v.where("NOT usable").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     out = linked.unionByName(alone)
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

@@ -43,7 +43,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
 
 def _sized(docs: DataFrame, *more: F.Column) -> DataFrame:
     key = F.when(F.col("source").isNull(), F.lit("t")).otherwise(F.concat(F.lit("s"), F.col("source")))
-    return docs.select("doc_id", key.alias("key"), F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"), *more)
+    spread = F.coalesce(F.col("doc_id").cast("string"), F.xxhash64("text").cast("string"))  # rows without an id are dealt by their texts
+    return docs.select("doc_id", key.alias("key"), F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"), F.substring(F.md5(spread.cast("binary")), 1, 2).alias("salt"), *more)
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_COPIES, seed: str = "mix") -> DataFrame:
@@ -67,12 +68,10 @@ def mix_rows(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MA
 
 
 def _draw(sized: DataFrame, rows: DataFrame, ties: tuple[F.Column, ...], weights: tuple[int, ...], most: int, seed: str) -> DataFrame:
-    """rows with source_size, target and copies. sized: doc_id, key and size of the same rows."""
+    """rows with source_size, target and copies. sized: doc_id, key, size and salt of the same rows."""
     targets = source_targets(sized.groupBy("key").agg(F.sum("size").alias("source_size")), weights, most)
     digits = F.col("size").cast("string")
-    celled = lambda x: x.withColumn("block", (F.length(digits) * 100 + F.substring(digits, 1, 2).cast("int")).cast("int")).withColumn(
-        "salt", F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 2)
-    )
+    celled = lambda x: x.withColumn("block", (F.length(digits) * 100 + F.substring(digits, 1, 2).cast("int")).cast("int"))
     counts = celled(sized).groupBy("key", "block", "salt").agg(F.count("*").alias("n"))
     before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     blocks = celled(sized).groupBy("key", "block").agg(F.count("*").alias("n"))
