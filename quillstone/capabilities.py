@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import importlib
 import logging
+import os
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import SparkSession
 
 from quillstone import registry
 from quillstone.operators import artifacts, chunk, context, ingest, parse, retrieve
@@ -15,16 +15,6 @@ from quillstone.sources import files
 DEFAULT, BUILT_IN = 50, 100
 
 
-def no_pages(path: Column, content: Column) -> Column:
-    """The extractor where there is no PDF library: a document without title and pages."""
-    return F.struct(F.lit("").alias("title"), F.array().cast("array<struct<page:int,text:string>>").alias("pages"))
-
-
-def no_layer(found: DataFrame) -> DataFrame:
-    """The preprocessor where there is no recognition: files as they are."""
-    return found
-
-
 def parser_of(hint: str | None = None):
     """The parser that a hint names, else the default one."""
     name = f"parser:{hint}"
@@ -34,7 +24,7 @@ def parser_of(hint: str | None = None):
 def register_defaults() -> None:
     registry.register("chunker", chunk.text_chunks, BUILT_IN)
     registry.register("html_parser", parse.html_fields, BUILT_IN)
-    registry.register("pdf_extractor", no_pages, BUILT_IN)
+    registry.register("pdf_extractor", files.no_pages, BUILT_IN)
     registry.register("vlm_describer", ingest.no_description, BUILT_IN)
     registry.register("embedder", ingest.hashed_embedding, BUILT_IN)
     registry.register("retriever", retrieve.retrieve, BUILT_IN)
@@ -45,16 +35,21 @@ def register_defaults() -> None:
     registry.register("parser:default", parse.default_elements, DEFAULT)
     registry.register("parser:structural", parse.structural_elements, 2 * BUILT_IN)
     registry.register("detector", files.detect, BUILT_IN)
-    registry.register("ocr_preprocessor", no_layer, BUILT_IN)
+    registry.register("ocr_preprocessor", files.no_layer, BUILT_IN)
     registry.register("renderer:markdown", artifacts.markdown, BUILT_IN)
 
 
-def load_extensions(names: str) -> list[str]:
-    """Imports the modules of a comma-separated list, which register what they bring; one that fails is passed over. The names of those that loaded."""
+def load_extensions(names: str, spark: SparkSession | None = None) -> list[str]:
+    """Imports the modules of a comma-separated list and calls their register(registry), if they have one; one that fails is passed over. The names of those that loaded. With a session, a module that is one file is
+    sent to the executors, so that what it registers can run there."""
     loaded = []
     for name in filter(None, (n.strip() for n in names.split(","))):
         try:
-            importlib.import_module(name)
+            module = importlib.import_module(name)
+            if hasattr(module, "register"):
+                module.register(registry)
+            if spark is not None and os.path.basename(getattr(module, "__file__", None) or "") == f"{name}.py":
+                spark.sparkContext.addPyFile(module.__file__)
             loaded.append(name)
         except Exception:  # an extension may fail in any way; the engine goes on without it
             logging.getLogger(__name__).exception("extension %s did not load", name)

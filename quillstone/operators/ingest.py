@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillstone import registry
 from quillstone.functions.filters import has_content
 from quillstone.functions.text import basename, hashed_embedding
 from quillstone.operators.chunk import MOST, OVERLAP, image_chunks, text_chunks
@@ -34,11 +35,13 @@ def own_description(image: Column) -> Column:
     return image["vlm_description"]
 
 
-def document_chunks(docs: DataFrame, now: str, most: int = MOST, overlap: int = OVERLAP, describe: Callable[[Column], Column] = no_description) -> DataFrame:
+def document_chunks(docs: DataFrame, now: str, most: int = MOST, overlap: int = OVERLAP, describe: Callable[[Column], Column] | None = None) -> DataFrame:
     """docs (canonical_doc_id, content_text, and what they have of the payload's columns, images) to chunks with the whole payload but for the vector: text chunks, then those of images.
 
-    Documents without text and images give none. describe: an image's struct to its description; where that is empty its surroundings stand for it.
+    Documents without text and images give none. The text chunks are those of the registered chunker. describe: an image's struct to its description (without one, the registered describer); where that is empty its
+    surroundings stand for it.
     """
+    describe = describe or registry.resolve("vlm_describer", no_description)
     none = lambda kind="string": F.lit(None).cast(kind)
     canonical = F.col("canonical_doc_id")
     path = _column(docs, "source_path", canonical)
@@ -55,15 +58,15 @@ def document_chunks(docs: DataFrame, now: str, most: int = MOST, overlap: int =
         _column(docs, "content_size", none("long")).cast("long").alias("content_size"), _column(docs, "ingestion_status", F.lit("completed")).alias("ingestion_status"), _column(docs, "created_at", none()).alias("created_at"),
         _column(docs, "user_metadata", none("map<string,string>")).alias("user_metadata"), digest.alias("content_hash"), F.when(digest.isNotNull(), F.lit("sha256")).alias("content_hash_algorithm"), none().alias("metadata_updated_at"),
     ).where(has_content(F.col("content_text"), F.col("images")))
-    texts = text_chunks(rows.drop("images"), "canonical_doc_id", "content_text", most, overlap).withColumn("image_path", none())
+    texts = registry.resolve("chunker", text_chunks)(rows.drop("images"), "canonical_doc_id", "content_text", most, overlap).withColumn("image_path", none())
     pictures = image_chunks(rows.drop("content_text"), "canonical_doc_id")
     names = [n for n in CHUNKS.fieldNames() if n != "embedding"]
     return texts.select(*names).unionByName(pictures.select(*names))
 
 
-def embedded(chunks: DataFrame, embedder: Callable[[Column], Column] = hashed_embedding) -> DataFrame:
-    """chunks with their vectors, in the store's columns. embedder: a column function of the text."""
-    return chunks.withColumn("embedding", embedder(F.col("text"))).select(*CHUNKS.fieldNames())
+def embedded(chunks: DataFrame, embedder: Callable[[Column], Column] | None = None) -> DataFrame:
+    """chunks with their vectors, in the store's columns. embedder: a column function of the text; without one, the registered one."""
+    return chunks.withColumn("embedding", (embedder or registry.resolve("embedder", hashed_embedding))(F.col("text"))).select(*CHUNKS.fieldNames())
 
 
 def remote_embedder(
@@ -139,9 +142,9 @@ def ingest_wiki(pages: DataFrame, now: str, convert: bool = True) -> DataFrame:
     return document_chunks(docs.withColumn("canonical_doc_id", F.concat_ws("#", "source_path", F.col("page_id").cast("string"))).drop("page_id"), now)
 
 
-def ingest_images(images: DataFrame, now: str, describe: Callable[[Column], Column] = no_description) -> DataFrame:
+def ingest_images(images: DataFrame, now: str, describe: Callable[[Column], Column] | None = None) -> DataFrame:
     """images (file_path, source_path, page_title): one chunk each, with the image's description, else its path."""
-    told = F.coalesce(describe(F.col("file_path")), F.lit(""))
+    told = F.coalesce((describe or registry.resolve("vlm_describer", no_description))(F.col("file_path")), F.lit(""))
     last = F.when(told != "", F.concat(F.lit("Description: "), told)).otherwise(F.concat(F.lit("File: "), F.col("file_path")))
     rows = document_chunks(images.withColumn("canonical_doc_id", F.col("source_path")).withColumn("images", F.array(F.struct(F.col("file_path").alias("src"), *[F.lit("").alias(n) for n in ("alt", "caption", "surrounding_text")]))), now)
     text = images.select(F.col("source_path").alias("doc_id"), F.concat(F.lit("Image: "), basename(F.col("file_path")), F.lit("\n"), last).alias("told")).distinct()

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillstone import registry
 from quillstone.functions.filters import compile_filters, matching
 from quillstone.functions.text import truncate
 from quillstone.sources.shared import materialize
@@ -195,12 +196,19 @@ def hybrid(reranked: DataFrame, vector: DataFrame, m: int = HYBRID_M, n: int = H
 
 
 def retrieve(queries: DataFrame, chunks: DataFrame, top_k: int = 20, reranking: bool = True, hybrid_selection: bool = True, **search_options) -> DataFrame:
-    """queries (query_id, question, query_vector): recall, re-rank, diversity, hybrid selection, order by score. One row per chosen chunk: query_id, rank, chunk_id, doc_id, text, _score."""
+    """queries (query_id, question, query_vector): recall, re-rank, diversity, hybrid selection, order by score. One row per chosen chunk: query_id, rank, chunk_id, doc_id, text, _score.
+
+    The re-ranker and the hybrid selector are the registered ones; the two of this module are done in one pass.
+    """
     hits = payload(search(queries, chunks, fetch_k(top_k), **search_options), chunks, "text", "doc_id", "source_path").join(queries.select("query_id", "question"), "query_id")
-    if hybrid_selection and reranking:
+    reranker, selector = registry.resolve("reranker", rerank), registry.resolve("hybrid_selector", hybrid)
+    if hybrid_selection and reranking and reranker is rerank and selector is hybrid:
         chosen = _hybrid_in_place(_scored(hits, RERANK_TOP, lexical_score, RERANK_BATCH))
+    elif hybrid_selection and reranking:
+        hits = materialize(hits, "hits")  # both selections read the same recall
+        chosen = selector(diversity(reranker(hits)), hits)
     else:
-        chosen = diversity(rerank(hits) if reranking else hits).withColumn("source", F.lit(0)).withColumn("pos", F.col("rank"))
+        chosen = diversity(reranker(hits) if reranking else hits).withColumn("source", F.lit(0)).withColumn("pos", F.col("rank"))
     order = Window.partitionBy("query_id").orderBy(F.coalesce("_score", F.lit(0.0)).desc(), "source", "pos")
     return chosen.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k).select("query_id", "rank", "chunk_id", "doc_id", "text", "_score")
 

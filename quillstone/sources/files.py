@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillstone import registry
 from quillstone.functions.text import basename, stem_title, strip
 from quillstone.operators.parse import asset_key, html_fields, markdown_text, markdown_title, pdf_title
 
@@ -134,7 +135,7 @@ def parse_contents(found: DataFrame, kind: str, extract_pages=None) -> DataFrame
     path = F.col("path")
     text = F.decode("content", "UTF-8") if "content" in found.columns else None
     if kind == "html":
-        rows = found.select("path", html_fields(text).alias("h"))
+        rows = found.select("path", registry.resolve("html_parser", html_fields)(text).alias("h"))
         title = F.coalesce(F.nullif("h.title", F.lit("")), stem_title(path))
         return rows.select(*_parsed(path, title, F.coalesce("h.content", F.lit("")), F.col("h.language"), F.col("h.images")))
     if kind == "markdown":
@@ -155,14 +156,26 @@ def parse_contents(found: DataFrame, kind: str, extract_pages=None) -> DataFrame
     return found.select(*_parsed(path, stem_title(path), F.coalesce(text, F.lit(""))))
 
 
+def no_pages(path: Column, content: Column) -> Column:
+    """The extractor where there is no PDF library: a document without title and pages."""
+    return F.struct(F.lit("").alias("title"), F.array().cast(_PAGES).alias("pages"))
+
+
+def no_layer(found: DataFrame) -> DataFrame:
+    """The preprocessor where there is no recognition: files as they are."""
+    return found
+
+
 def parse_files(spark: SparkSession, path: str, extract_pages=None) -> DataFrame:
     """All files of known types below a path, parsed by their types (wiki exports have a reader of their own). The folder is listed once and each file opened by its type's scan alone; images, and PDFs where
-    nothing extracts their pages, are not opened."""
+    nothing extracts their pages, are not opened. extract_pages: without one, the registered extractor; the registered preprocessor gets the PDFs (path, content) before it."""
     every, out = files(spark, path), None
+    extract_pages, layer = extract_pages or registry.resolve("pdf_extractor", no_pages), registry.resolve("ocr_preprocessor", no_layer)
+    extract_pages = None if extract_pages is no_pages else extract_pages
     for kind in (k for k in TYPES if k != "mediawiki"):
         found = of_type(every, kind)
         found = found.select("path") if kind == "image" else found.select("path", "content") if kind != "pdf" or extract_pages else found.select("path", F.lit(None).cast("binary").alias("content"))
-        part = parse_contents(found, kind, extract_pages)
+        part = parse_contents(layer(found) if kind == "pdf" and extract_pages else found, kind, extract_pages)
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -290,10 +290,10 @@ def test_streams(spark, tmp_path):
 
 
 def test_registry():
-    registry.register("chunker", "low", 1)
-    registry.register("chunker", "high", 5)
-    registry.register("chunker", "later", 5)
-    assert registry.get("chunker") == "later"
+    registry.register("of a test", "low", 1)
+    registry.register("of a test", "high", 5)
+    registry.register("of a test", "later", 5)
+    assert registry.get("of a test") == "later" and registry.resolve("of a test", "x") == "later" and registry.resolve("no such", "x") == "x"
     with pytest.raises(KeyError):
         registry.get("nothing")
 
