@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from quillstone import registry
 from quillstone.functions.filters import compile_filters, matching
 from quillstone.functions.text import truncate
+from quillstone.operators.metrics import Phases
 from quillstone.sources.shared import materialize
 
 FETCH_FACTOR, FETCH_LEAST = 5, 50
@@ -195,12 +196,14 @@ def hybrid(reranked: DataFrame, vector: DataFrame, m: int = HYBRID_M, n: int = H
     return first.withColumn("source", F.lit(0)).unionByName(more.withColumn("source", F.lit(1)), allowMissingColumns=True)
 
 
-def retrieve(queries: DataFrame, chunks: DataFrame, top_k: int = 20, reranking: bool = True, hybrid_selection: bool = True, **search_options) -> DataFrame:
+def retrieve(queries: DataFrame, chunks: DataFrame, top_k: int = 20, reranking: bool = True, hybrid_selection: bool = True, phases: Phases | None = None, **search_options) -> DataFrame:
     """queries (query_id, question, query_vector): recall, re-rank, diversity, hybrid selection, order by score. One row per chosen chunk: query_id, rank, chunk_id, doc_id, text, _score.
 
-    The re-ranker and the hybrid selector are the registered ones; the two of this module are done in one pass.
+    The re-ranker and the hybrid selector are the registered ones; the two of this module are done in one pass. phases gets the marks recalled, payload and chosen.
     """
-    hits = payload(search(queries, chunks, fetch_k(top_k), **search_options), chunks, "text", "doc_id", "source_path").join(queries.select("query_id", "question"), "query_id")
+    mark = phases.mark if phases else lambda df, _: df
+    recalled = mark(search(queries, chunks, fetch_k(top_k), **search_options), "recalled")
+    hits = mark(payload(recalled, chunks, "text", "doc_id", "source_path"), "payload").join(queries.select("query_id", "question"), "query_id")
     reranker, selector = registry.resolve("reranker", rerank), registry.resolve("hybrid_selector", hybrid)
     if hybrid_selection and reranking and reranker is rerank and selector is hybrid:
         chosen = _hybrid_in_place(_scored(hits, RERANK_TOP, lexical_score, RERANK_BATCH))
@@ -210,7 +213,8 @@ def retrieve(queries: DataFrame, chunks: DataFrame, top_k: int = 20, reranking:
     else:
         chosen = diversity(reranker(hits) if reranking else hits).withColumn("source", F.lit(0)).withColumn("pos", F.col("rank"))
     order = Window.partitionBy("query_id").orderBy(F.coalesce("_score", F.lit(0.0)).desc(), "source", "pos")
-    return chosen.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k).select("query_id", "rank", "chunk_id", "doc_id", "text", "_score")
+    out = chosen.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k).select("query_id", "rank", "chunk_id", "doc_id", "text", "_score")
+    return mark(out, "chosen")
 
 
 def _hybrid_in_place(h: DataFrame, m: int = HYBRID_M, n: int = HYBRID_L, most: int = PER_DOCUMENT) -> DataFrame:
