@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from quillstone import runs
 from quillstone.functions.filters import metadata_equals
-from quillstone.schemas import CHUNKS, DEFAULT_KB
+from quillstone.schemas import CATALOG, CHUNKS, DEFAULT_KB
 
 COUNT_MOST = 10_000
 _COPY = "partition_of_row"
@@ -335,6 +335,20 @@ class DocumentCatalog:
         return retried(drop)
 
 
+_RECORD = "doc_id string, kb_id string, content_hash string, collection_name string, ingestion_status string, source_paths array<string>, user_metadata map<string,string>, chunk_count long"
+
+
+def catalog_file(spark: SparkSession, path: str) -> DataFrame:
+    """The records of a catalogue kept as a JSON file ({"records": [...]}), in the catalogue's columns, to be created in a DocumentCatalog. A file that is missing or can't be parsed has none; fields that a record does not
+    have are null, its collection "chunks"."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        return spark.createDataFrame([], CATALOG)
+    found = spark.read.schema(f"records array<struct<{_RECORD.replace(' ', ':').replace(',:', ',')}>>").option("multiLine", True).option("mode", "PERMISSIVE").json(path)
+    rows = found.select(F.explode("records").alias("r")).select("r.*").where("doc_id IS NOT NULL")
+    return rows.withColumn("collection_name", F.coalesce("collection_name", F.lit("chunks"))).withColumnRenamed("ingestion_status", "status").select(*CATALOG.fieldNames())
+
+
 def remove_document(chunks: Table, catalog: DocumentCatalog, doc_id: str) -> bool:
     """Whether the document was there. Its record goes with its chunks, so that it can be uploaded again; without it nothing is done."""
     here = not chunks.read().where(F.col("doc_id") == doc_id).limit(1).isEmpty()

@@ -144,3 +144,18 @@ def test_the_rename_of_other_file_systems(spark, table):
         fs.create(path(f"{table.path}/current/_{name}"), False).close()
     assert table._rename_without_links(f"{table.path}/current/_mine", f"{table.path}/current/7") and not table._rename_without_links(f"{table.path}/current/_yours", f"{table.path}/current/7")
     assert table.version() == 7
+
+
+def test_a_catalogue_file_of_any_state(spark, tmp_path):
+    path = tmp_path / "catalog.json"
+    assert store.catalog_file(spark, str(path)).count() == 0
+    for body in ("", "{", "[1, 2]", '{"records": 5}', '{"other": []}', '{"records": [{"doc_id": "a"', "null"):
+        path.write_text(body)
+        assert store.catalog_file(spark, str(path)).count() == 0, body
+    path.write_text('{"records": [{"doc_id": "a", "kb_id": "k", "content_hash": "h", "ingestion_status": "completed", "source_paths": ["x", "y"], "user_metadata": {"t": "1"}, "more": 1},\n {"doc_id": "b", "collection_name": "c"}, {"kb_id": "z"}]}')
+    rows = {r.doc_id: r.asDict() for r in store.catalog_file(spark, str(path)).collect()}
+    assert set(rows) == {"a", "b"} and rows["a"] == {"doc_id": "a", "kb_id": "k", "content_hash": "h", "collection_name": "chunks", "status": "completed", "source_paths": ["x", "y"], "user_metadata": {"t": "1"}, "chunk_count": None}
+    assert rows["b"]["collection_name"] == "c" and rows["b"]["status"] is None
+    table = store.Table(spark, f"file://{tmp_path}/t", schemas.CATALOG)
+    store.DocumentCatalog(table).create(store.catalog_file(spark, str(path)))
+    assert table.read().count() == 2
