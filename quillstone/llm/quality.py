@@ -69,10 +69,14 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     top = np.zeros(rows)
     np.maximum.at(top, word_row, word_count)
     lines = _by_row(data == 10, offsets) + 1
-    line_first = np.concatenate([[0], np.flatnonzero(data == 10) + 1])
-    lengths = np.diff(np.append(line_first, len(data)))
-    line_row = np.searchsorted(offsets, line_first, "right") - 1
-    short = np.bincount(np.clip(line_row, 0, rows - 1), lengths < 40, rows)[:rows] if len(data) else np.zeros(rows)
+    breaks = np.flatnonzero(data == 10)
+    line_row = np.concatenate([np.arange(rows), np.searchsorted(offsets, breaks, "right") - 1])
+    line_first = np.concatenate([offsets[:-1], breaks + 1])
+    order = np.lexsort((line_first, line_row))
+    line_row, line_first = line_row[order], line_first[order]
+    line_end = np.append(line_first[1:], len(data))
+    line_end = np.where(np.append(line_row[1:] != line_row[:-1], True), offsets[line_row + 1], line_end) if rows else line_end  # a row's last line ends with it
+    short = np.bincount(line_row, line_end - line_first < 40, rows)[:rows]
     last = kinds[e - 1] if len(e) else np.zeros(0, np.uint8)
     stats = np.stack(
         [

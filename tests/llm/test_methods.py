@@ -511,3 +511,39 @@ def test_items_without_words_take_no_room(spark, docs, monkeypatch):
     assert [(r.doc_id, r.item_id) for r in decontaminate.find_leaks(frame, benchmark, space).collect()] == [(1, 99)]
     with pytest.raises(ValueError, match="at most"):
         decontaminate.load_items(frame, spark.createDataFrame([(i, f"w{i}") for i in range(51)], "item_id long, text string"))
+
+
+def plain_statistics(text):
+    """The statistics of one text in the order of quality.STATS, byte by byte and word by word."""
+    data, lines = text.encode(), text.encode().split(b"\n")
+    words = [w for w in re.split(rb"[\x20\x09-\x0D]+", data) if w]
+    low, n, size = [w.lower() for w in words], max(1, len(words)), max(1, len(data))
+    kind = lambda b: 1 if 65 <= b <= 90 else 2 if 48 <= b <= 57 else 4 if b in b".,;:?" else 5 if b == 32 or 9 <= b <= 13 else 6 if b >= 128 else 0 if 97 <= b <= 122 else 3
+    kinds, counts = collections.Counter(map(kind, data)), collections.Counter(low)
+    runs = [tuple(low[i : i + 5]) for i in range(max(1, len(low) - 4))] if low else []
+    ends = [len(line) + 1 for line in lines[:-1]] + [len(lines[-1])]
+    return [
+        *(kinds[k] / size for k in (1, 2, 3, 4, 5, 6)), sum(map(len, words)) / n, math.log1p(len(words)), len(counts) / math.sqrt(n), max(counts.values(), default=0) / n, len(set(runs)) / max(1, len(runs)),
+        math.log1p(n / len(lines)), sum(x < 40 for x in ends) / len(lines), sum(kind(w[-1]) == 3 for w in words) / n, math.log1p(len(data)), sum(len(w) >= 7 for w in words) / n,
+    ]
+
+
+def test_quality_scores_one_text_at_a_time(spark, docs):
+    """All texts of a table, scored by all pairs of their features, whatever rows they share a batch with."""
+    texts = [*docs.text, "", "one", "two\n", "\n\n", "a\nb\n" + "c" * 50, "!? .. é"] * 2
+    machine = quality.train(spark.createDataFrame(docs[["doc_id", "text"]]), spark.read.parquet(f"{SF}/labels.parquet"))
+    want, n = {}, len(quality.STATS)
+    for t in set(texts):
+        stats = np.array(plain_statistics(t))
+        counts = collections.Counter(words.word_hash(w.decode(), words.SPACE_WORDS) >> (64 - 15) for w in re.split(rb"[\x20\x09-\x0D]+", t.encode()) if w)
+        value = {b: math.log1p(c) for b, c in counts.items()}
+        norm = math.sqrt(sum(x * x for x in value.values())) or 1
+        features = [(b, x / norm) for b, x in value.items()]
+        for j in range(n):
+            z = min(3, max(-3, (stats[j] - machine.mean[j]) / machine.scale[j]))
+            features += [(quality.BUCKETS + j, z / math.sqrt(n)), (quality.BUCKETS + n + j * quality.BINS + int(sum(machine.edges[:, j] < stats[j])), 1 / math.sqrt(n))]
+        at, x = np.array([f for f, _ in features]), np.array([v for _, v in features])
+        vx = machine.v[at].astype(float) * x[:, None]
+        want[t] = 1 / (1 + math.exp(-(machine.w0 + float(machine.w[at] @ x) + float(np.triu(vx @ vx.T, 1).sum()))))
+    got = quality.score_column(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, text string").repartition(7), machine).collect()
+    assert max(abs(r.score - want[r.text]) for r in got) < 2e-4
