@@ -2,7 +2,7 @@
 
 Vectors become grid points x = floor(64*c) + 1000000; each distinct point counts once in the fit. A pass multiplies the points' covariance V by a few
 columns: every task sums x' (x' Q) over its centred rows, and one row of that sum a coordinate goes to the next step. Passes repeat from random columns, more
-of them than components are wanted, until the residuals of the Rayleigh-Ritz vectors vanish; where they do not within PASSES, the columns become the whole
+of them than components are wanted, until the residuals of the Rayleigh-Ritz vectors vanish; where they do not within PASSES, or fall too slowly to, the columns become the whole
 space and the same step is exact. Points of other lengths are spaces of their own. What the driver holds is columns by coordinates, never rows.
 """
 
@@ -146,7 +146,7 @@ def fit(points: DataFrame, passes: int = PASSES, oversample: int = OVERSAMPLE) -
     spaces = _means(points)
     draw = np.random.default_rng(12)
     columns = {w: np.linalg.qr(draw.standard_normal((w, min(w, COMPONENTS + oversample))))[0] for w in sorted(spaces)}
-    left = passes
+    left, before = passes, {}
     while columns:
         again = {}
         for w, (product, trace) in _multiply(points, spaces, columns).items():
@@ -156,8 +156,10 @@ def fit(points: DataFrame, passes: int = PASSES, oversample: int = OVERSAMPLE) -
             if space.full or residual <= RESIDUAL:
                 some = values > NOTHING * max(values[0], 0)
                 space.eigenvalues, space.axes = values[some], vectors[:, some]
-            else:
-                again[w] = np.linalg.qr(product)[0] if left > 1 else np.eye(w)
+            else:  # the passes left go on as the last one did, or they are spared
+                reached = residual * min(1.0, residual / before[w]) ** (left - 1) if w in before else 0.0
+                again[w] = np.linalg.qr(product)[0] if left > 1 and reached <= RESIDUAL else np.eye(w)
+                before[w] = residual
         columns, left = again, left - 1
     white = {w: s.axes / np.sqrt(s.eigenvalues) for w, s in spaces.items() if len(s.eigenvalues)}
     for w, (product, _) in (_multiply(points, spaces, white) if white else {}).items():
