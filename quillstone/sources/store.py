@@ -13,7 +13,7 @@ import time
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from urllib.parse import unquote, urlparse
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -170,7 +170,7 @@ class Table:
         by_folder: dict[str, list] = {}
         for file, (first, last, n) in listed.items():
             by_folder.setdefault(own(file), []).append((file, first, last, n))
-        name = lambda folder: unquote(folder).rsplit("/data/", 1)[-1]
+        name = lambda folder: folder.rsplit("/data/", 1)[-1]
         return [x for f in folders for x in by_folder.get(name(f), [(f, None, None, 0)])]
 
     def scroll(self, after: str | None = None, limit: int = 1000, key: str = "chunk_id", partitions: list[str] | None = None, at: Snapshot | None = None) -> DataFrame:
@@ -226,7 +226,7 @@ class Table:
         """``mine`` under a new name, in one step that fails if the name is taken: a hard link in a local folder, elsewhere the file system's rename without overwriting."""
         fs, path = self._fs()
         if fs.getUri().getScheme() == "file":
-            local = [urlparse(str(path(p).toUri().getPath())).path for p in (mine, name)]
+            local = [path(p).toUri().getPath() for p in (mine, name)]
             try:
                 os.link(*local)
             except FileExistsError:

@@ -52,6 +52,15 @@ def test_partitions_written_since(spark, table):
     assert table.scroll("d00010", 3, "doc_id").select("status").collect() == [(None,), (None,), ("x",)]
 
 
+def test_partitions_with_odd_names(spark, tmp_path):
+    t = store.Table(spark, f"file://{tmp_path}/t #1", schemas.CATALOG)
+    rows = spark.range(300).select(F.format_string("d%05d", "id").alias("doc_id"), F.element_at(F.array(*map(F.lit, ("a/b", "50%", "x=y"))), (F.col("id") % 3 + 1).cast("int")).alias("kb_id"))
+    t.commit(rows.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in schemas.CATALOG if f.name not in rows.columns]))
+    t.cluster("doc_id", 30)
+    assert ids(r for p in t.pages(70, "doc_id") for r in p) == [f"d{i:05}" for i in range(300)]
+    assert files_of(t.scroll("d00100", 10, "doc_id", ["50%"])) <= 2 < files_of(t.read(["50%"]))
+
+
 def test_no_rows(spark, tmp_path):
     t = store.Table(spark, f"file://{tmp_path}/t", schemas.CATALOG)
     assert list(t.pages(10, "doc_id")) == []
