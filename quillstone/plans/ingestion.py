@@ -7,10 +7,10 @@ import uuid
 from pyspark.sql import functions as F
 
 from quillstone.functions import filters, text
-from quillstone.operators import artifacts, context, dedup, ingest, parse, retrieve
+from quillstone.operators import answers, artifacts, context, dedup, ingest, parse, retrieve
 from quillstone.plans import derive
 from quillstone.plans.catalogue import _HITS, _STRIP, _hits, _split_sql, joined_map, query
-from quillstone.schemas import CATALOG
+from quillstone.schemas import CATALOG, CHUNKS
 from quillstone.sources import files, store
 from quillstone.sources.shared import numbered, shared_dir
 
@@ -243,3 +243,39 @@ def catalog_records(spark, d):
     records.table.patch(F.col("doc_id").cast("long") % 4 == 0, {"status": F.lit("completed"), "chunk_count": F.lit(7).cast("long")})
     records.delete_kb("kb2")
     return records.table.read().select("doc_id", "kb_id", "status", "chunk_count")
+
+
+@query(f"WITH {derive.CHUNKS} SELECT chunk_id, kb_id, CASE kb_id WHEN 'kb0' THEN 'first' WHEN 'kb2' THEN 'second' ELSE page_title END AS page_title FROM chunks WHERE kb_id <> 'kb3'")
+def concurrent_commits(spark, d):
+    """What two writers and a removal leave that all began with one version and touch partitions of their own."""
+    table = store.Table(spark, f"{shared_dir(spark)}/commits-{uuid.uuid4().hex}")
+    c = derive.chunks(spark, d)
+    table.commit(c.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in CHUNKS if f.name not in c.columns]))
+    base = table.snapshot()
+    for kb, title in (("kb0", "first"), ("kb2", "second")):
+        table.commit(table.read([kb], base).withColumn("page_title", F.lit(title)), [kb], base)
+    table.drop_partition("kb3", base)
+    return table.read().select("chunk_id", "kb_id", "page_title")
+
+
+@query(f"WITH {derive.CHUNKS} SELECT chunk_id, doc_id, text FROM chunks WHERE chunk_id > '2' ORDER BY chunk_id LIMIT 1000")
+def chunk_scroll(spark, d):
+    """The page of 1,000 chunks after a cursor, from a clustered table."""
+    table = store.Table(spark, f"{shared_dir(spark)}/scroll-{uuid.uuid4().hex}")
+    c = derive.chunks(spark, d)
+    table.commit(c.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in CHUNKS if f.name not in c.columns]))
+    table.cluster(rows_per_file=10_000)
+    return table.scroll("2", 1000).select("chunk_id", "doc_id", "text")
+
+
+@query("""WITH t AS (SELECT conv_id, turn, role, translate(text, '[]', '()') AS t FROM conversations),
+c AS (SELECT *, CASE WHEN contains(t, '.') THEN length(t) - strpos(reverse(t), '.') + 1 WHEN contains(t, chr(10)) THEN length(t) - strpos(reverse(t), chr(10)) + 1 ELSE 0 END AS cut FROM t),
+s AS (SELECT *, substr(t || ' ', cut + 1) AS rest FROM c)
+SELECT conv_id, turn, sha256(t || '  and more') AS clean, sha256(t || ' [1] and more') AS compat, (cut + length(rest) - length(regexp_replace(rest, '^\\s+', '')))::VARCHAR || '-' || (length(t) + 1) || ':0' AS refs FROM s""")
+def turn_marks(spark, d):
+    """A mark after the whole text of each turn: its reference begins with the turn's last sentence."""
+    said = F.concat(F.translate("text", "[]", "()"), F.lit(" ["), F.upper("role"), F.lit("] and more"))
+    marks = answers.source_marks()(said, F.array(F.concat("role", F.lit(".md"))), F.array().cast("array<array<string>>"))
+    refs = F.array_join(F.transform("m.refs", lambda r: F.concat(r["start"].cast("string"), F.lit("-"), r["stop"].cast("string"), F.lit(":"), r["citation"].cast("string"))), ";")
+    digest = lambda c: F.sha2(F.col(c).cast("binary"), 256)
+    return derive.table(spark, d, "conversations").select("conv_id", "turn", marks.alias("m")).select("conv_id", "turn", digest("m.clean").alias("clean"), digest("m.compat").alias("compat"), refs.alias("refs"))
