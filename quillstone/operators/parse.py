@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from html.entities import html5
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -92,19 +93,30 @@ class _Reader(HTMLParser):
         return {"content": content, "title": "".join(self.title or []).strip(), "language": (self.language.split("-")[0] or "en").lower(), "images": images}
 
 
-def parse_html(html: str) -> dict:
-    """content (null without any of the selectors), title, language (default en) and images of a page."""
+_REFERENCE = re.compile(r"&(#[0-9]+;|#[xX][0-9a-fA-F]+;|[A-Za-z][A-Za-z0-9]*;)?")
+
+
+def _open_kept(html: str) -> str:
+    """Marks that begin no reference with its semicolon become references of themselves."""
+    return _REFERENCE.sub(lambda m: m[0] if m[1] and (m[1][0] == "#" or m[1] in html5) else f"&amp;{m[0][1:]}", html)
+
+
+def parse_html(html: str, closed_only: bool = False) -> dict:
+    """content (null without any of the selectors), title, language (default en) and images of a page.
+
+    A browser decodes some references without their semicolon too (``&amp`` and ``&copy=1``), and so does this; with ``closed_only`` they stay as they are written.
+    """
     reader = _Reader()
-    reader.feed(html)
+    reader.feed(_open_kept(html) if closed_only else html)
     reader.close()
     return reader.result()
 
 
-def html_fields(html: Column) -> Column:
+def html_fields(html: Column, closed_only: bool = False) -> Column:
     @F.arrow_udf(HTML)
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for pages in batches:
-            yield pa.array([None if p is None else parse_html(p) for p in pages.to_pylist()], _HTML)
+            yield pa.array([None if p is None else parse_html(p, closed_only) for p in pages.to_pylist()], _HTML)
 
     return run(html)
 
