@@ -1,6 +1,6 @@
 """Vector retrieval over batches of queries.
 
-The chunk table is scanned once for each block of query vectors: every Arrow batch is multiplied with the block, and a task passes on only its best
+The chunk table is scanned once for each block of query vectors: every Arrow batch is multiplied with the block, by tiles of fixed size, and a task passes on only its best
 k rows a query, so what is shuffled is queries x k x tasks, whatever the table holds. Everything after the recall works on
 those few rows; payload columns are fetched for them at the end.
 """
@@ -24,8 +24,12 @@ FETCH_FACTOR, FETCH_LEAST = 5, 50
 PER_DOCUMENT, BOOST = 3, 0.1
 RERANKED, RERANK_BATCH, RERANK_TOP, RERANK_CHARS = 100, 100, 30, 4096
 HYBRID_M, HYBRID_L = 4, 2
-#: Query vectors that one scan compares, in bytes; more are searched for in blocks, a scan each.
+#: What a scan compares and holds, in bytes, twice: query vectors, and each query's best rows. More queries are searched for in blocks, a scan each.
 BLOCK_BYTES = 64 << 20
+#: Bytes of a held row, about.
+HELD_BYTES = 48
+#: Queries and rows whose scores a task has at once.
+QUERIES, ROWS = 128, 2048
 
 
 def fetch_k(top_k: int) -> int:
@@ -40,39 +44,69 @@ def _best(found: pa.Table, k: int) -> pa.Table:
     return found.filter(pa.array(np.arange(len(n)) - first < k))
 
 
+class _Tile:
+    """The k best rows of each of a few queries, among all rows that are added. What it holds at once is the scores of ROWS rows and its best rows, twice.
+
+    All products have one shape, filled up with zeros, since the last bits of a product depend on its shape: a pair has one score wherever it is compared.
+    """
+
+    def __init__(self, numbers: np.ndarray, vectors: np.ndarray, k: int) -> None:
+        self.numbers, self.vectors, self.k = numbers, np.zeros((QUERIES, vectors.shape[1])), k
+        self.vectors[: len(vectors)] = vectors
+        self.least, self.held, self.parts, self.more = np.full((len(numbers), 1), -np.inf), None, [], 0
+
+    def add(self, x: np.ndarray, ids: pa.Array) -> None:
+        """x: ROWS vectors at unit length, of which the first have ids."""
+        scores = (self.vectors @ x.T)[: len(self.numbers), : len(ids)]
+        found = scores >= self.least
+        if self.k < len(ids) and np.count_nonzero(found) > self.k * len(self.numbers):  # all ties of the k-th stay, for the order by chunk_id
+            found = scores >= np.maximum(self.least, -np.partition(-scores, self.k - 1, axis=1)[:, self.k - 1 : self.k])
+        n, at = np.nonzero(found)
+        if len(at):
+            self.parts.append(pa.table([pa.array(self.numbers[n]), ids.take(pa.array(at)), pa.array(scores[n, at])], ["n", "chunk_id", "_score"]))
+            self.more += len(at)
+        if self.more >= self.k * len(self.numbers):
+            self.settle()
+
+    def settle(self) -> pa.Table | None:
+        """The best rows so far; others below the last of a query that has its k are passed over from now on."""
+        if self.parts:
+            self.held = _best(pa.concat_tables(self.parts if self.held is None else [self.held, *self.parts]), self.k).combine_chunks()
+            self.parts, self.more = [], 0
+            n, score = self.held["n"].to_numpy(), self.held["_score"].to_numpy()
+            last = np.flatnonzero(np.append(n[1:] != n[:-1], True))
+            last = last[last - np.searchsorted(n, n[last]) == self.k - 1]
+            self.least[np.searchsorted(self.numbers, n[last]), 0] = score[last]
+        return self.held
+
+
 def _recall(k: int, block):
-    """Arrow batches of (chunk_id, embedding) to a task's k best of each query. block: vectors by length, with the numbers of their queries."""
+    """Arrow batches of (chunk_id, embedding) to a task's k best of each query. block: vectors by length, with the numbers of their queries in order."""
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, least = None, {length: np.full(len(q), -np.inf) for length, (_, q) in block.value.items()}
+        tiles = {}
+        for length, (numbers, q) in block.value.items():
+            cuts = np.array_split(np.arange(len(numbers)), -(-len(numbers) // QUERIES))
+            tiles[length] = [_Tile(numbers[c], q[c], k) for c in cuts]
         for b in batches:
-            if not b.num_rows:
-                continue
-            lengths, parts = b["embedding"].value_lengths().to_numpy(), [] if held is None else [held]
+            lengths = b["embedding"].value_lengths().to_numpy()
             for length in np.unique(lengths).tolist():
-                if length not in block.value:  # vectors of a length that no query has
+                if length not in tiles:  # vectors of a length that no query has
                     continue
-                numbers, q = block.value[length]
                 rows = b.filter(pa.array(lengths == length)) if (lengths != length).any() else b
-                x = rows["embedding"].flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(rows.num_rows, length)
-                with np.errstate(invalid="ignore", divide="ignore"):
-                    scores = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ q.T
-                scores = np.where(np.isnan(scores), -np.inf, scores)
-                cut = least[length]
-                if k < rows.num_rows:  # all ties of the k-th stay, for the order by chunk_id
-                    cut = np.maximum(cut, -np.partition(-scores, k - 1, axis=0)[k - 1])
-                at, n = np.nonzero((scores >= cut) & np.isfinite(scores))
-                if len(at):
-                    parts.append(pa.table([pa.array(numbers[n]), rows["chunk_id"].take(pa.array(at)), pa.array(scores[at, n])], ["n", "chunk_id", "_score"]))
-            if len(parts) > (held is not None):
-                held = _best(pa.concat_tables(parts), k).combine_chunks()
-                n, score = held["n"].to_numpy(), held["_score"].to_numpy()
-                last = np.searchsorted(n, n, "right") - np.searchsorted(n, n) == k  # those of queries that have their k
-                worst = dict(zip(n[last].tolist(), score[last].tolist(), strict=True))  # the last of a query is its least
-                for length, (numbers, _) in block.value.items():
-                    least[length] = np.array([worst.get(x, -np.inf) for x in numbers.tolist()])
-        if held is not None:
-            yield from held.to_batches()
+                for lo in range(0, rows.num_rows, ROWS):
+                    some = rows.slice(lo, ROWS)
+                    x = some["embedding"].flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(some.num_rows, length)
+                    with np.errstate(invalid="ignore", divide="ignore"):
+                        x = x / np.linalg.norm(x, axis=1, keepdims=True)
+                    able = np.isfinite(x).all(1)
+                    ids = some["chunk_id"] if able.all() else some["chunk_id"].filter(pa.array(able))
+                    x = np.concatenate([x[able], np.zeros((ROWS - len(ids), length))])
+                    for tile in tiles[length] if len(ids) else ():
+                        tile.add(x, ids)
+        for tile in (t for of in tiles.values() for t in of):
+            if (held := tile.settle()) is not None:
+                yield from held.to_batches()
 
     return best
 
@@ -87,7 +121,7 @@ def cosine_recall(queries: DataFrame, chunks: DataFrame, k: int, where: Column |
     types = dict(queries.dtypes) | {"chunk_id": dict(chunks.dtypes)["chunk_id"]}
     queries = queries.select("query_id", "query_vector").where("query_vector IS NOT NULL")
     size = queries.agg(F.count("*"), F.sum(F.size("query_vector")), F.max(F.size("query_vector"))).first()  # three numbers
-    blocks = max(1, -(-2 * (size[0] or 0) * (size[2] or 0) * 8 // BLOCK_BYTES))
+    blocks = max(1, -(-2 * (size[0] or 0) * ((size[2] or 0) * 8 + k * HELD_BYTES) // BLOCK_BYTES))
     vectors_of = matching(chunks, where).where("embedding IS NOT NULL").select("chunk_id", "embedding")
     out = None
     for i in range(blocks):  # about half of BLOCK_BYTES each
