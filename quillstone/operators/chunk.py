@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions.text import chunk_identity, paragraphs
 
 MOST, OVERLAP = 2000, 200
+#: Bytes of text that are split at once.
+AT_ONCE = 1 << 20
 SEPARATORS = ("\n", ". ", " ")
 
 
@@ -51,13 +55,23 @@ def split_text(text: str, most: int = MOST, overlap: int = OVERLAP) -> list[str]
     return out
 
 
+def _few(texts: pa.Array) -> Iterator[pa.Array]:
+    """Slices of at most AT_ONCE bytes, or of one text."""
+    ends, lo = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(), dtype=np.int64), 0
+    while lo < len(texts):
+        hi = max(lo + 1, int(np.searchsorted(ends, AT_ONCE + (ends[lo - 1] if lo else 0), "right")))
+        yield texts.slice(lo, hi - lo)
+        lo = hi
+
+
 def splitter(most: int = MOST, overlap: int = OVERLAP):
-    """An Arrow UDF, text -> array of pieces; the split is sequential, so it is no native expression."""
+    """An Arrow UDF, text -> array of pieces; the split is sequential, so it is no native expression. Python strings are made of AT_ONCE bytes at a time."""
 
     @F.arrow_udf("array<string>")
     def split(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield pa.array([None if t is None else split_text(t, most, overlap) for t in texts.to_pylist()], pa.list_(pa.string()))
+            for some in _few(texts):
+                yield pa.array([None if t is None else split_text(t, most, overlap) for t in some.to_pylist()], pa.list_(pa.string()))
 
     return split
 
