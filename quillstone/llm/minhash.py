@@ -105,7 +105,10 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
 def idf_table(counts: np.ndarray, total: int) -> np.ndarray:
     """1 + SPAN ln((N + 1) / (df + 1)) / ln(N + 2), from 1 to 1 + SPAN: rare shingles weigh more. The span is small, since in a large group of near copies what they share is frequent
     and what sets them apart is rare: a wide one would take their similarity far below what the texts have in common."""
-    return (1 + SPAN * np.log((total + 1) / (counts + 1.0)) / np.log(total + 2)).clip(1, 1 + SPAN).astype(np.float32)
+    out = np.empty(len(counts), np.float32)
+    for lo in range(0, len(counts), 1 << BLOCK_BITS):  # the driver holds no copies of the whole table in double precision
+        out[lo : lo + (1 << BLOCK_BITS)] = (1 + SPAN * np.log((total + 1) / (counts[lo : lo + (1 << BLOCK_BITS)] + 1.0)) / np.log(total + 2)).clip(1, 1 + SPAN)
+    return out
 
 
 class Sampler:
@@ -326,7 +329,8 @@ def groups(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame,
 
 
 def _first_pairs(members: DataFrame, total: int) -> DataFrame:
-    """(a, b): all pairs of small buckets, and those that settle most of a large one."""
+    """(a, b): all pairs of small buckets, and those that settle most of a large one. Those of a depth are written before the next, since one plan of all depths is large in the driver: adaptive
+    execution writes it out anew at each of its stages."""
     count = F.lit(BANDS)
     central = members.where(F.col("n") > SMALL).groupBy("node").agg(F.sum("n").alias("meets"))
     here, pairs = members.select("node", "bands", "tab", "band", "n").join(central, "node", "left"), None
@@ -342,6 +346,7 @@ def _first_pairs(members: DataFrame, total: int) -> DataFrame:
         centres = here.groupBy("band").agg(F.max_by("node", F.struct("meets", -F.col("node"))).alias("most"), F.max_by("node", F.xxhash64("band", "node")).alias("any"), F.count("*").alias("n"))
         met = join_counted(here.drop("n"), centres, ["band"], total).select("node", F.explode(F.array("most", "any")).alias("centre")).where("node <> centre")
         found = found.union(met.select(F.greatest("node", "centre").alias("a"), F.least("node", "centre").alias("b")))
+        found = materialize(found, "found")
         pairs = found if pairs is None else pairs.union(found)
     return pairs
 
