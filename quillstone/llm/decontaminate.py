@@ -1,8 +1,8 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Every document is cut into passages of two segments of SEGMENT words, at steps of one segment. Passages are TF-IDF vectors over hashed
-words (the frequencies counted over all passages of all documents). A randomised SVD, distributed over the passages of about
-FIT_DOCS documents, gives a latent space; coordinates are centred and whitened, so that a language or a topic does not
+words (the frequencies counted over all passages of all documents). A randomised SVD, distributed over the passages of all
+documents too, gives a latent space; coordinates are centred and whitened, so that a language or a topic does not
 dominate. All passages of all documents are projected and compared by cosine with the benchmark's items, in blocks; candidates that
 share too few words with the item (SLACK of what one passage must have where the item is) are dropped, and the rest are decided on the words: the weighted longest common
 subsequence with the item, and the item's answer (its rarest words) being there.
@@ -19,15 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm.minhash import _sum
-from quillstone.llm.storage import materialize
 from quillstone.llm.words import ALNUM_WORDS, hash_words, row_ranges, utf8
 
 SEGMENT = 16
 BITS = 13
 BUCKETS = 1 << BITS
 RANK = 64
-#: Documented bound (in expectation) of the documents whose passages the space is fitted on; frequencies and search cover all.
-FIT_DOCS = 8000
 COSINE = 0.3
 #: The share of the exact bound on its words that a candidate passage must reach: the passage whose vector is near may be the neighbour of the one that holds most of the item.
 SLACK = 0.66
@@ -136,8 +133,8 @@ class Space:
         return p / (np.linalg.norm(p, axis=1, keepdims=True) + 1e-9)
 
 
-def fit_space(docs: DataFrame, rank: int = RANK, rounds: int = 2, fit_docs: int = FIT_DOCS, seed: int = 1) -> Space:
-    """docs: doc_id, text (lower case, not null). Frequencies over all; range finding by ``rounds`` distributed products with A^T A of the fitted passages."""
+def fit_space(docs: DataFrame, rank: int = RANK, rounds: int = 2, seed: int = 1) -> Space:
+    """docs: text (lower case, not null). Range finding by ``rounds`` distributed products with A^T A of the passages of all documents, then their moments: a pass over the texts each."""
     sc = docs.sparkSession.sparkContext
     counts, totals = np.zeros((32, BUCKETS // 32)), np.zeros(2)
     for r in docs.select("text").mapInArrow(_frequencies, _SCHEMA).repartition("block").mapInArrow(_sum, _SCHEMA).toLocalIterator():
@@ -147,15 +144,13 @@ def fit_space(docs: DataFrame, rank: int = RANK, rounds: int = 2, fit_docs: int
         else:
             counts[r.block] = values
     idf = np.log((totals[0] + 1) / (counts.ravel() + 1)).astype(np.float32)
-    share = min(1.0, fit_docs / max(int(totals[1]), 1))
-    fitted = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + (share >= 1)).select("text")
-    fitted = materialize(fitted, "fit-passages")
+    texts = docs.select("text")
 
     def product(basis: np.ndarray) -> np.ndarray:
         shared = sc.broadcast(basis)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros((BUCKETS, rank))
+            total = np.zeros((rank, BUCKETS))
             some = False
             for batch in batches:
                 for _, _, s in _pieces(batch.column(0)):
@@ -165,16 +160,15 @@ def fit_space(docs: DataFrame, rank: int = RANK, rounds: int = 2, fit_docs: int
                         y = p.copy()
                         at = np.flatnonzero(s.paired)
                         y[at + 1] += p[at]
-                        b = s.bucket
-                        order = np.argsort(b, kind="stable")
-                        b = b[order]
-                        begin = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
-                        total[b[begin]] += np.add.reduceat(y[s.of_word()[order]], begin, 0) * idf[b[begin], None]
+                        b, lengths = s.bucket, np.diff(np.append(s.starts, len(s.hashes)))
+                        for j in range(rank):  # a column at a time: the words of a segment stand together, so its value is repeated
+                            total[j] += np.bincount(b, np.repeat(y[:, j], lengths), BUCKETS)
+            total = np.ascontiguousarray((total * idf).T)
             if some:
                 yield _packed(dict(enumerate(total.reshape(32, -1))))
 
         out = np.zeros((32, BUCKETS // 32 * rank))
-        for r in fitted.mapInArrow(run, _SCHEMA).repartition("block").mapInArrow(_add, _SCHEMA).toLocalIterator():
+        for r in texts.mapInArrow(run, _SCHEMA).repartition("block").mapInArrow(_add, _SCHEMA).toLocalIterator():
             out[r.block] = np.frombuffer(r.counts)
         return np.linalg.qr(out.reshape(BUCKETS, rank))[0].astype(np.float32)
 
@@ -193,7 +187,7 @@ def fit_space(docs: DataFrame, rank: int = RANK, rounds: int = 2, fit_docs: int
         if m[-1, -1]:
             yield _packed({0: m})
 
-    m = sum((np.frombuffer(r.counts).reshape(rank + 1, rank + 1) for r in fitted.mapInArrow(moments, _SCHEMA).toLocalIterator()), np.zeros((rank + 1, rank + 1)))
+    m = sum((np.frombuffer(r.counts).reshape(rank + 1, rank + 1) for r in texts.mapInArrow(moments, _SCHEMA).repartition("block").mapInArrow(_add, _SCHEMA).toLocalIterator()), np.zeros((rank + 1, rank + 1)))
     n = max(m[-1, -1], 1.0)
     mean = m[-1, :-1] / n
     values, axes = np.linalg.eigh(m[:-1, :-1] / n - np.outer(mean, mean))
