@@ -35,6 +35,8 @@ MOST_QUERIES, MOST_BYTES = 200_000, 1 << 28
 #: A character that words are made of (ALNUM_WORDS).
 _WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 _PASSAGES_AT_ONCE = 1 << 15
+#: Segments that a task of the fit has at least, where there are more tasks than twice the cores: each task passes on a sum of BUCKETS x rank numbers, however few texts it has.
+FIT_SEGMENTS = 1 << 19
 
 
 @dataclass
@@ -144,7 +146,7 @@ def fit_space(docs: DataFrame, rank: int = RANK, rounds: int = 2, seed: int = 1)
         else:
             counts[r.block] = values
     idf = np.log((totals[0] + 1) / (counts.ravel() + 1)).astype(np.float32)
-    texts = docs.select("text")
+    texts = docs.select("text").coalesce(max(2 * sc.defaultParallelism, int(-(-totals[0] // FIT_SEGMENTS))))  # so that the sums that are shuffled stay a small share of the texts
 
     def product(basis: np.ndarray) -> np.ndarray:
         shared = sc.broadcast(basis)

@@ -16,3 +16,21 @@ def test_the_space_is_of_all_documents(spark):
     assert np.abs(p.mean(0) - space.mean).max() < 1e-4 * np.abs(p).max()
     white = (p - p.mean(0)) @ space.white
     assert np.abs(white.T @ white / len(white) - np.eye(white.shape[1])).max() < 1e-2
+
+
+def test_sums_do_not_grow_with_the_partitions(spark, monkeypatch):
+    sent, add = spark.sparkContext.accumulator(0), decontaminate._add
+
+    def counted(batches):
+        def seen():
+            for b in batches:
+                sent.add(b.num_rows)
+                yield b
+
+        yield from add(seen())
+
+    monkeypatch.setattr(decontaminate, "_add", counted)
+    cores = spark.sparkContext.defaultParallelism
+    docs = spark.range(20 * cores, numPartitions=10 * cores).selectExpr("id AS doc_id", "concat('some words of text ', id) AS text")
+    decontaminate.fit_space(docs)
+    assert 0 < sent.value <= 2 * cores * (2 * 32 + 1)  # two products of 32 blocks, and the moments
